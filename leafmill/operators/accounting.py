@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.operators.aggregates import tidy
 from leafmill.operators.running import running
 
 # Blended USD per 1,000 tokens, and the rate of an unknown model.
@@ -51,7 +52,7 @@ def fallback_chain(model: Column) -> Column:
 def cost_by_model(usage: DataFrame, key: str) -> DataFrame:
     """Tokens and USD per tenant and model; usage rows are summed before they are priced."""
     per = usage.groupBy(key, "model").agg(F.sum("tokens").cast("bigint").alias("tokens"))
-    return per.withColumn("cost_usd", F.round(F.col("tokens") / 1000 * rate(F.col("model")), 6))
+    return per.withColumn("cost_usd", tidy(F.col("tokens") / 1000 * rate(F.col("model")), 6))
 
 
 def budget_summary(usage: DataFrame, budgets: DataFrame, key: str) -> DataFrame:

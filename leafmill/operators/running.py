@@ -42,6 +42,15 @@ def running(
     return out.drop(*drop)
 
 
+def previous(df: DataFrame, keys: list[str], order: list[str], bin_: Column, value: str, out: str) -> DataFrame:
+    """Value of the row before, per ``keys`` along ``order``, across bins (``value`` must follow the order)."""
+    src = df.withColumn("_bin", bin_)
+    last = src.groupBy(*keys, "_bin").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    earlier = last.select(*keys, "_bin", F.lag("_last").over(W.partitionBy(*keys).orderBy("_bin")).alias("_prev"))
+    inside = F.lag(value).over(W.partitionBy(*keys, "_bin").orderBy(*order))
+    return src.join(earlier, [*keys, "_bin"]).withColumn(out, F.coalesce(inside, "_prev")).drop("_bin", "_prev")
+
+
 def _split_points(df: DataFrame, keys: list[str], value: str, n_bins: int) -> DataFrame:
     probs = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
     return df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, probs, F.lit(10_000))).alias("_splits"))
@@ -115,8 +124,25 @@ def sliding_count(df: DataFrame, keys: list[str], micros: str, window_us: int, t
         enter.unionByName(leave),
         keys,
         [F.col("_at")],
-        F.floor(F.col("_at") / window_us),
+        F.floor(F.col("_at") / max(window_us // 64, 1)),
         {"n_in_window": ("sum", F.col("_w"))},
         peers=True,
     )
     return run.where(F.col(tie).isNotNull()).select(*keys, tie, F.col("_at").alias(micros), "n_in_window")
+
+
+def rank_rows(df: DataFrame, keys: list[str], score: str, tie: str, out: str = "rank", tie_grain: int = 65_536) -> DataFrame:
+    """1-based rank by score descending, then by the integer ``tie``.
+
+    Rows above come from counts of distinct scores; the place among equal scores from bins of ``tie``.
+    So neither a large group nor one score that a third of the rows share ends in one task.
+    """
+    above = cumulative_counts(df, keys, score).select(*keys, score, (F.col("total_n") - F.col("cum_n")).alias("_above"))
+    within = running(
+        df, [*keys, score], [F.col(tie)], F.floor(F.col(tie) / tie_grain), {out: ("sum", F.lit(1))}
+    )
+    return (
+        within.join(above, [*keys, score])
+        .withColumn(out, (F.col(out) + F.col("_above")).cast("int"))
+        .drop("_above")
+    )
