@@ -27,6 +27,16 @@ SCHEMAS: dict[str, str] = {
 }
 
 
+# Text tables: per-row work is heavy enough that every core should get a share.
+SPREAD_BY = {"documents": "doc_id", "pages": "page_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan that has fewer splits than there are cores (one small file); larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Lazy access to the tables of one data directory: ``Tables(spark, d).documents``."""
 
@@ -37,7 +47,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}.parquet")
+        df = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}.parquet")
+        return spread(df, SPREAD_BY[name]) if name in SPREAD_BY else df
 
     @cached_property
     def all(self) -> dict[str, DataFrame]:
