@@ -113,7 +113,7 @@ def with_cer(df: DataFrame, pred: str, truth: str, out: str = "cer", max_exact:
     windows = F.transform(
         starts, lambda s: rate(F.substring(p, s, F.lit(max_exact)), F.substring(g, s, F.lit(max_exact)))
     )
-    mean = F.aggregate(windows, F.lit(0.0), lambda a, x: a + x) / F.size(windows)
+    mean = F.aggregate(windows, F.lit(0.0), lambda a, x: a + x) / F.size(starts)
     value = (
         F.when(F.col(pred).isNull() | F.col(truth).isNull(), 1.0)
         .when(F.length(g) == 0, F.when(F.length(p) == 0, 0.0).otherwise(1.0))
