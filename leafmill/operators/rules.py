@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.functions import patterns as P
 from leafmill.functions import text as X
@@ -86,14 +89,11 @@ def token_score(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y), F.lit(1))
 
 
-def _pair_off(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """k-th left row of a key with the k-th right row of it; ranks come from binned running counts."""
-
-    def ranked(df: DataFrame, side: str) -> DataFrame:
-        r = running(df, keys, [F.col(f"{side}_seq")], F.substring(f"{side}_seq", 1, 12), {"_k": ("sum", F.lit(1))})
-        return r
-
-    return ranked(left, "inv").join(ranked(right, "po"), [*keys, "_k"]).drop("_k")
+def _numbered(df: DataFrame, other: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """Place ``_k`` of each row within its keys and the number of rows ``_m`` the other side has for them."""
+    bins = F.substring(seq, 1, 12)
+    counts = other.groupBy(*keys).agg(F.count("*").alias("_m"))
+    return running(df, keys, [F.col(seq)], bins, {"_k": ("sum", F.lit(1))}).join(counts, keys, "left").na.fill(0, ["_m"])
 
 
 def po_match(lines: DataFrame, po: DataFrame) -> DataFrame:
@@ -104,17 +104,22 @@ def po_match(lines: DataFrame, po: DataFrame) -> DataFrame:
     enough to reach the fuzzy threshold is matched greedily inside its invoice.
     """
     words = lambda c: F.array_join(F.array_sort(F.array_distinct(X.split_space(F.lower(c)))), " ")
-    a = lines.withColumns({"sku": sku_of(F.col("inv_text")), "bag": words(F.col("inv_text"))})
-    b = po.withColumns({"sku": sku_of(F.col("po_text")), "bag": words(F.col("po_text"))})
-    m1 = _pair_off(a.where("sku <> ''").drop("bag"), b.where("sku <> ''").drop("bag"), ["invoice", "sku"])
-    one = m1.select("invoice", "inv_seq", "po_seq", "unit_price", "po_price", F.lit(1.0).alias("score"), F.lit("exact").alias("match"))
-    a2 = a.join(one.select("invoice", "inv_seq"), ["invoice", "inv_seq"], "left_anti")
-    b2 = b.join(one.select("invoice", "po_seq"), ["invoice", "po_seq"], "left_anti")
-    m2 = _pair_off(a2.drop("sku"), b2.drop("sku"), ["invoice", "bag"])
-    two = m2.select("invoice", "inv_seq", "po_seq", "unit_price", "po_price", F.lit(1.0).alias("score"), F.lit("fuzzy").alias("match"))
+    a = lines.withColumns({"sku": sku_of(F.col("inv_text")), "bag": words(F.col("inv_text"))}).drop("inv_text")
+    b = po.withColumns({"sku": sku_of(F.col("po_text")), "bag": words(F.col("po_text"))}).drop("po_text")
+
+    def stage(a: DataFrame, b: DataFrame, key: str, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        keys, k, m = ["invoice", key], F.col("_k"), F.col("_m")
+        na, nb = _numbered(a, b, keys, "inv_seq"), _numbered(b, a, keys, "po_seq")
+        left = na.where(k <= m).select(*keys, "_k", "inv_seq", "unit_price")
+        hits = left.join(nb.where(k <= m).select(*keys, "_k", "po_seq", "po_price"), [*keys, "_k"])
+        cols = ["invoice", "inv_seq", "po_seq", "unit_price", "po_price"]
+        return hits.select(*cols, F.lit(1.0).alias("score"), F.lit(kind).alias("match")), na.where(k > m).drop("_k", "_m"), nb.where(k > m).drop("_k", "_m")
+
+    has = F.col("sku") != ""
+    one, a_left, b_left = stage(a.where(has), b.where(has), "sku", "exact")
+    two, a3, b3 = stage(a_left.unionByName(a.where(~has)), b_left.unionByName(b.where(~has)), "bag", "fuzzy")
     long = F.size(X.split_space(F.col("bag"))) >= 7
-    a3 = a2.join(two.select("invoice", "inv_seq"), ["invoice", "inv_seq"], "left_anti").where(long)
-    b3 = b2.join(two.select("invoice", "po_seq"), ["invoice", "po_seq"], "left_anti").where(long)
+    a3, b3 = a3.where(long), b3.where(long)
 
     def greedy(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         free = {r.po_seq: (set(r.bag.split()), r.po_price) for r in right.sort_values("po_seq").itertuples()}
@@ -176,41 +181,53 @@ def iou_pairs(a: DataFrame, b: DataFrame, threshold: float = 0.5, cell: float =
     return scored.where(F.col("iou") > threshold).select("page", "id_a", "id_b", "iou")
 
 
+def greedy_pairs(pairs: DataFrame) -> DataFrame:
+    """Best pairs first, each box once. The fold runs inside one page's sorted pair array."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("o"), "id_a", "id_b")))
+
+    def step(acc: Column, p: Column) -> Column:
+        taken = F.exists(acc, lambda m: (m["id_a"] == p["id_a"]) | (m["id_b"] == p["id_b"]))
+        return F.when(taken, acc).otherwise(F.concat(acc, F.array(F.struct(p["id_a"].alias("id_a"), p["id_b"].alias("id_b")))))
+
+    ids = dict(pairs.dtypes)
+    empty = F.array().cast(f"array<struct<id_a:{ids['id_a']},id_b:{ids['id_b']}>>")
+    per_page = pairs.groupBy("page").agg(ordered.alias("_p"))
+    return per_page.select("page", F.explode(F.aggregate("_p", empty, step)).alias("m")).select("page", "m.*")
+
+
+@F.pandas_udf(T.DoubleType())
+def closest_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Highest similarity of a text to any of the given texts."""
+    for text, others in batches:
+        yield pd.Series(
+            [max((SequenceMatcher(None, x, y).ratio() for y in ys), default=0.0) for x, ys in zip(text, others)], dtype="float64"
+        )
+
+
 def iou_block_merge(a: DataFrame, b: DataFrame, threshold: float = 0.5, similar: float = 0.95) -> DataFrame:
     """One block list per page from two readings (page, id, box, line, text, confidence).
 
     Pairs are taken best first, each box once, and keep the surer text; unmatched boxes of b are added unless
-    some text of a on the page is nearly the same. A page is the unit of work.
+    some text of a on the page is nearly the same. Only such leftovers reach Python.
     """
-    pairs = iou_pairs(a, b, threshold)
-    side = lambda df, s: df.select("page", "id", "line", "text", "confidence", F.lit(s).alias("side"))
-    blocks = side(a, "a").unionByName(side(b, "b"))
-    page_t, id_t = dict(a.dtypes)["page"], dict(a.dtypes)["id"]
-
-    def merge(blk: pd.DataFrame, prs: pd.DataFrame) -> pd.DataFrame:
-        left = {r.id: r for r in blk[blk["side"] == "a"].itertuples()}
-        right = {r.id: r for r in blk[blk["side"] == "b"].itertuples()}
-        used_a, used_b, out = set(), set(), []
-        for r in prs.sort_values(["iou", "id_a", "id_b"], ascending=[False, True, True]).itertuples():
-            if r.id_a in used_a or r.id_b in used_b:
-                continue
-            used_a.add(r.id_a)
-            used_b.add(r.id_b)
-            out.append(max((left[r.id_a], right[r.id_b]), key=lambda x: (x.confidence, x.side == "a")))
-        out += [r for i, r in left.items() if i not in used_a]
-        texts = {r.text for r in left.values()}
-        for i, r in right.items():
-            if i not in used_b and r.text not in texts:
-                if all(SequenceMatcher(None, r.text, t).ratio() <= similar for t in texts):
-                    out.append(r)
-        rows = sorted(((r.line, r.side, r.id, r.text, r.confidence) for r in out), key=lambda r: (r[0], r[1], r[2]))
-        page = blk["page"].iloc[0] if len(blk) else None
-        return pd.DataFrame([(page, n, *r) for n, r in enumerate(rows)], columns=["page", "seq", "line", "side", "id", "text", "confidence"])
-
-    pairs = pairs.withColumnRenamed("page", "_pg")
-    return blocks.groupBy("page").cogroup(pairs.groupBy("_pg")).applyInPandas(
-        merge, f"page {page_t}, seq int, line int, side string, id {id_t}, text string, confidence double"
+    cols = ["page", "line", "side", "id", "text", "confidence"]
+    matched = greedy_pairs(iou_pairs(a, b, threshold))
+    other = b.select("page", F.col("id").alias("id_b"), F.struct("line", F.lit("b").alias("side"), "id", "text", "confidence").alias("_b"))
+    mine = a.select("page", F.col("id").alias("id_a"), F.struct("line", F.lit("a").alias("side"), "id", "text", "confidence").alias("_a"))
+    pairs = matched.join(other, ["page", "id_b"])
+    kept = mine.join(pairs, ["page", "id_a"], "left").select(
+        "page", F.when(F.col("_b.confidence") > F.col("_a.confidence"), F.col("_b")).otherwise(F.col("_a")).alias("r")
+    ).select("page", "r.*")
+    texts = a.groupBy("page").agg(F.collect_set("text").alias("_texts"))
+    rest = (
+        b.select("page", "line", F.lit("b").alias("side"), "id", "text", "confidence")
+        .join(matched.select("page", F.col("id_b").alias("id")), ["page", "id"], "left_anti")
+        .join(texts, "page", "left")
+        .where(~F.coalesce(F.array_contains("_texts", F.col("text")), F.lit(False)))
+        .where(closest_text("text", F.coalesce("_texts", F.array().cast("array<string>"))) <= similar)
     )
+    order = W.partitionBy("page").orderBy("line", "side", "id")
+    return kept.select(*cols).unionByName(rest.select(*cols)).withColumn("seq", F.row_number().over(order) - 1)
 
 
 def gst_checks(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -1 +1,102 @@
-"""Placeholder."""
+"""Registered provenance and version queries: E13-E15, A34, A37."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from leafmill.operators import graph as G
+from leafmill.operators import provenance as V
+from leafmill.operators.ranking import version_history
+from leafmill.operators.retrieval import bm25_topk
+from leafmill.plans.retrieving import BM25, passages
+from leafmill.registry import query
+from leafmill.sources.tables import Tables
+
+
+@query(
+    "find_text_span",
+    "E13",
+    rf"""with {BM25}, c as (select b.query_id, b.doc_id, b.score, d.text as page, regexp_replace(q.text, '^\s+|\s+$', '', 'g') as needle from bm b join documents d using (doc_id) join benchmark q on q.item_id = b.query_id where rank <= 10),
+n as (select *, trim(substr(needle, 1, 100)) as short, trim(regexp_replace(substr(needle, 1, 200), '\s+', ' ', 'g')) as norm from c),
+s0 as (select *, strpos(page, needle) as e, case when length(short) >= 20 then strpos(page, short) else 0 end as p,
+  case when length(norm) >= 20 then strpos(page, nullif(regexp_extract(page, replace(regexp_replace(norm, '([^\p{{L}}\p{{N}}\s])', '\\\1', 'g'), ' ', '\s+')), '')) else 0 end as l0 from n), s as (select *, coalesce(l0, 0) as l from s0)
+select query_id, doc_id, (case when e > 0 then e when p > 0 then p when l > 0 then l end - 1)::int as "start",
+ case when greatest(e, p, l) > 0 then least(case when e > 0 then e when p > 0 then p else l end - 1 + length(needle), length(page)) end::int as "end",
+ case when e > 0 then 1 when p > 0 then 2 when l > 0 then 3 else 0 end::int as stage, case when score >= 120 then 'green' when score >= 90 then 'yellow' else 'red' end as color from s""",
+)
+def find_text_span(t: Tables) -> DataFrame:
+    hits = bm25_topk(passages(t), t.documents, 10)
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("chunk"))
+    j = hits.join(t.documents.select("doc_id", F.col("text").alias("page")), "doc_id").join(q, "query_id")
+    span = V.find_text_span(F.col("page"), F.col("chunk"))
+    confidence = F.when(F.col("score") >= 120, 0.9).when(F.col("score") >= 90, 0.7).otherwise(0.1)
+    s = j.select("query_id", "doc_id", span.alias("s"), V.highlight_color(confidence).alias("color"))
+    return s.select("query_id", "doc_id", "s.start", F.when(F.col("s.start").isNotNull(), F.col("s.end")).alias("end"), "s.stage", "color")
+
+
+def _versions(t: Tables) -> DataFrame:
+    v = version_history(t.documents.select("source", "doc_id", "text"), "source", "doc_id", "text", F.floor(F.col("doc_id") / 1000))
+    return v.where("previous_text is not null").select("source", "doc_id", "previous_text", "text")
+
+
+@query(
+    "text_diff",
+    "E14",
+    r"""with v as (select doc_id, text, lag(text) over (partition by source order by doc_id) as p from documents),
+s as (select doc_id, list_distinct(list_filter(list_transform(string_split(p, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) as a,
+   list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) as b from v where p is not null)
+select doc_id, len(list_filter(b, lambda x: not list_contains(a, x)))::int as n_added, len(list_filter(a, lambda x: not list_contains(b, x)))::int as n_removed,
+  len(list_filter(a, lambda x: list_contains(b, x)))::int as n_kept from s""",
+)
+def text_diff(t: Tables) -> DataFrame:
+    parts = V.line_sets(F.col("previous_text"), F.col("text"))
+    return _versions(t).select("doc_id", *[F.size(c).alias(f"n_{n}") for n, c in parts.items()])
+
+
+# Ordered line differences have no SQL form; tests compare them with the library directly.
+@query("text_diff_opcodes", "E14")
+def text_diff_opcodes(t: Tables) -> DataFrame:
+    d = _versions(t).select("doc_id", V.line_opcodes("previous_text", "text").alias("d")).select("doc_id", "d.*")
+    return d.withColumn(
+        "summary", V.change_summary(F.col("n_added"), F.col("n_removed"), F.col("n_modified"), F.col("similarity"))
+    ).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "version_id",
+    "E15",
+    "select doc_id, substr(sha256(text), 1, 16) || '_' || (1704067200000 + doc_id * 1000) as version_id from documents",
+)
+def version_id(t: Tables) -> DataFrame:
+    ts = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id"))
+    return t.documents.select("doc_id", V.version_id(F.col("text"), ts).alias("version_id"))
+
+
+@query(
+    "query_history",
+    "A34",
+    """with c as (select l_orderkey, count(*) as n, string_agg(distinct l_suppkey::varchar, ',' order by l_suppkey::varchar) as sources from lineitem group by 1)
+select o_orderkey, o_orderdate, coalesce(n, 0) as n_citations, coalesce(sources, '') as sources from orders left join c on l_orderkey = o_orderkey order by o_orderdate desc, o_orderkey limit 100 offset 50""",
+)
+def query_history(t: Tables) -> DataFrame:
+    page = t.orders.select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(50).limit(100)
+    cites = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").cast("string").alias("s"))
+    # only the page's citations are gathered
+    c = cites.join(page.select("o_orderkey"), "o_orderkey", "left_semi").groupBy("o_orderkey").agg(
+        F.count("*").alias("n_citations"), F.array_join(F.array_sort(F.collect_set("s")), ",").alias("sources")
+    )
+    return page.join(c, "o_orderkey", "left").na.fill({"n_citations": 0, "sources": ""})
+
+
+@query(
+    "compare_docs",
+    "A37",
+    r"""with l as (select source, doc_id, trim(line) as line from (select source, doc_id, unnest(string_split(text, chr(10))) as line from documents)),
+d as (select source, line, doc_id, count(*) as n from l where line <> '' group by all)
+select source, md5(line) as line_md5, count(*) as n_docs, sum(n)::bigint as n_occurrences from d group by source, line having count(*) >= 2""",
+)
+def compare_docs(t: Tables) -> DataFrame:
+    return G.compare_documents(t.documents, "source", "doc_id", "text").select(
+        "source", F.md5("line").alias("line_md5"), "n_docs", "n_occurrences"
+    )
