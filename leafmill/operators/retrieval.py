@@ -37,8 +37,8 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, key: str = "doc_id", query_
     """
     post = bm25_postings(docs, key)
     sizes = docs.select(F.size(X.tokenize_words(F.col("text"))).alias("dl")).where("dl > 0")
-    n = sizes.select(F.count("*")).scalar()
-    avgdl = sizes.select(F.avg("dl")).scalar()
+    corpus = sizes.select(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))).scalar()
+    n, avgdl = corpus["n"], corpus["avgdl"]
 
     def raw_idf(n_docs):
         return F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)

@@ -89,11 +89,22 @@ def token_score(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y), F.lit(1))
 
 
-def _numbered(df: DataFrame, other: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """Place ``_k`` of each row within its keys and the number of rows ``_m`` the other side has for them."""
-    bins = F.substring(seq, 1, 12)
-    counts = other.groupBy(*keys).agg(F.count("*").alias("_m"))
-    return running(df, keys, [F.col(seq)], bins, {"_k": ("sum", F.lit(1))}).join(counts, keys, "left").na.fill(0, ["_m"])
+def _pair_off(rows: DataFrame, key: str, kind: str) -> DataFrame:
+    """Join the k-th open invoice line of a key with its k-th open order line, by grouping on (key, k).
+
+    A row carries an invoice side, an order side or both; finished rows and rows without a key get a key of
+    their own and pass through. Places come from binned running counts, so a large key is not gathered.
+    """
+    open_ = F.col("inv_seq").isNull() | F.col("po_seq").isNull()
+    seq = F.coalesce("inv_seq", "po_seq")
+    side = F.when(F.col("inv_seq").isNull(), "po").otherwise("inv")
+    own = F.concat_ws("|", side, seq)
+    keyed = rows.withColumns({"_key": F.when(open_ & (F.col(key) != ""), F.concat(F.lit("k:"), key)).otherwise(own), "_side": side, "_seq": seq})
+    numbered = running(keyed, ["invoice", "_key", "_side"], [F.col("_seq")], F.substring("_seq", 1, 12), {"_k": ("sum", F.lit(1))})
+    carried = ["inv_seq", "unit_price", "po_seq", "po_price", "sku", "bag", "match"]
+    paired = numbered.groupBy("invoice", "_key", "_k").agg(*[F.max(c).alias(c) for c in carried])
+    done = F.col("inv_seq").isNotNull() & F.col("po_seq").isNotNull()
+    return paired.drop("_key", "_k").withColumn("match", F.when(done & F.col("match").isNull(), kind).otherwise(F.col("match")))
 
 
 def po_match(lines: DataFrame, po: DataFrame) -> DataFrame:
@@ -104,25 +115,23 @@ def po_match(lines: DataFrame, po: DataFrame) -> DataFrame:
     enough to reach the fuzzy threshold is matched greedily inside its invoice.
     """
     words = lambda c: F.array_join(F.array_sort(F.array_distinct(X.split_space(F.lower(c)))), " ")
-    a = lines.withColumns({"sku": sku_of(F.col("inv_text")), "bag": words(F.col("inv_text"))}).drop("inv_text")
-    b = po.withColumns({"sku": sku_of(F.col("po_text")), "bag": words(F.col("po_text"))}).drop("po_text")
-
-    def stage(a: DataFrame, b: DataFrame, key: str, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        keys, k, m = ["invoice", key], F.col("_k"), F.col("_m")
-        na, nb = _numbered(a, b, keys, "inv_seq"), _numbered(b, a, keys, "po_seq")
-        left = na.where(k <= m).select(*keys, "_k", "inv_seq", "unit_price")
-        hits = left.join(nb.where(k <= m).select(*keys, "_k", "po_seq", "po_price"), [*keys, "_k"])
-        cols = ["invoice", "inv_seq", "po_seq", "unit_price", "po_price"]
-        return hits.select(*cols, F.lit(1.0).alias("score"), F.lit(kind).alias("match")), na.where(k > m).drop("_k", "_m"), nb.where(k > m).drop("_k", "_m")
-
-    has = F.col("sku") != ""
-    one, a_left, b_left = stage(a.where(has), b.where(has), "sku", "exact")
-    two, a3, b3 = stage(a_left.unionByName(a.where(~has)), b_left.unionByName(b.where(~has)), "bag", "fuzzy")
+    none = lambda t: F.lit(None).cast(t)
+    a = lines.select(
+        "invoice", "inv_seq", "unit_price", none("string").alias("po_seq"), none("double").alias("po_price"),
+        sku_of(F.col("inv_text")).alias("sku"), words(F.col("inv_text")).alias("bag"), none("string").alias("match"),
+    )
+    b = po.select(
+        "invoice", none("string").alias("inv_seq"), none("double").alias("unit_price"), "po_seq", "po_price",
+        sku_of(F.col("po_text")).alias("sku"), words(F.col("po_text")).alias("bag"), none("string").alias("match"),
+    )
+    two = _pair_off(_pair_off(a.unionByName(b), "sku", "exact"), "bag", "fuzzy")
     long = F.size(X.split_space(F.col("bag"))) >= 7
-    a3, b3 = a3.where(long), b3.where(long)
+    fuzzy_left = F.col("match").isNull() & long
+    a3 = two.where(fuzzy_left & F.col("inv_seq").isNotNull()).select("invoice", "inv_seq", "bag", "unit_price")
+    b3 = two.where(fuzzy_left & F.col("po_seq").isNotNull()).select(F.col("invoice").alias("po_invoice"), F.col("po_seq").alias("seq"), F.col("bag").alias("po_bag"), F.col("po_price").alias("price"))
 
     def greedy(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free = {r.po_seq: (set(r.bag.split()), r.po_price) for r in right.sort_values("po_seq").itertuples()}
+        free = {r.seq: (set(r.po_bag.split()), r.price) for r in right.sort_values("seq").itertuples()}
         out = []
         for r in left.sort_values("inv_seq").itertuples():
             mine, best = set(r.bag.split()), (0.0, None)
@@ -130,21 +139,26 @@ def po_match(lines: DataFrame, po: DataFrame) -> DataFrame:
                 s = len(mine & theirs) / max(len(mine), len(theirs), 1)
                 if s >= DESCRIPTION_MATCH and s > best[0]:
                     best = (s, seq)
-            if best[1] is not None:
-                out.append((r.invoice, r.inv_seq, best[1], r.unit_price, free.pop(best[1])[1], best[0], "fuzzy"))
-        return pd.DataFrame(out, columns=["invoice", "inv_seq", "po_seq", "unit_price", "po_price", "score", "match"])
+            price = free.pop(best[1])[1] if best[1] is not None else None
+            out.append((r.invoice, r.inv_seq, r.unit_price, best[1], price, best[0], "fuzzy" if price is not None else None))
+        return pd.DataFrame(out, columns=["invoice", "inv_seq", "unit_price", "po_seq", "po_price", "score", "match"])
 
     inv_t = dict(lines.dtypes)["invoice"]
-    three = (
-        a3.select("invoice", "inv_seq", "bag", "unit_price").groupBy("invoice")
-        .cogroup(b3.select("invoice", "po_seq", "bag", "po_price").groupBy("invoice"))
-        .applyInPandas(greedy, f"invoice {inv_t}, inv_seq string, po_seq string, unit_price double, po_price double, score double, match string")
+    cols = ["invoice", "inv_seq", "unit_price", "po_seq", "po_price", "score", "match"]
+    three = a3.groupBy("invoice").cogroup(b3.groupBy("po_invoice")).applyInPandas(
+        greedy, f"invoice {inv_t}, inv_seq string, unit_price double, po_seq string, po_price double, score double, match string"
+    )
+    settled = two.where(F.col("inv_seq").isNotNull() & ~fuzzy_left).withColumn(
+        "score", F.when(F.col("match").isNotNull(), 1.0).otherwise(0.0)
     )
-    matched = one.unionByName(two).unionByName(three)
     gap = F.abs(F.col("unit_price") - F.col("po_price")) > PRICE_TOLERANCE * F.col("po_price")
-    flagged = matched.withColumn("price_mismatch", F.coalesce((F.col("po_price") > 0) & gap, F.lit(False)))
-    return lines.select("invoice", "inv_seq").join(flagged.drop("unit_price", "po_price"), ["invoice", "inv_seq"], "left").withColumns(
-        {"match": F.coalesce("match", F.lit("none")), "score": F.coalesce("score", F.lit(0.0))}
+    return settled.select(*cols).unionByName(three.select(*cols)).select(
+        "invoice",
+        "inv_seq",
+        "po_seq",
+        F.coalesce("match", F.lit("none")).alias("match"),
+        "score",
+        F.when(F.col("match").isNotNull(), F.coalesce((F.col("po_price") > 0) & gap, F.lit(False))).alias("price_mismatch"),
     )
 
 

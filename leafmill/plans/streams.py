@@ -1 +1,81 @@
-"""Placeholder."""
+"""Batch twins of the streams: ST1, ST2, ST4, ST6, ST8. Tests run the same functions as streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from leafmill.plans.sqlparts import BLOCKS
+from leafmill.plans.text import _scrub_sql
+from leafmill.registry import query
+from leafmill.sources.tables import Tables
+from leafmill.streaming import streams as S
+
+
+def _events(t: Tables) -> DataFrame:
+    return t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _ntz(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
+
+
+@query(
+    "metrics_windows",
+    "ST1",
+    """with x as (select event_type, value, date_trunc('hour', ts) - to_hours(i::int) as window_start from events, range(24) r(i))
+select window_start, event_type, count(*) as n, round(sum(value), 4) as total, max(value) as max_value from x group by all""",
+)
+def metrics_windows(t: Tables) -> DataFrame:
+    return _ntz(S.metrics_windows(_events(t)).withColumn("total", F.round("total", 4)), "window_start")
+
+
+@query(
+    "usage_counters",
+    "ST2",
+    """select date_trunc('day', ts)::timestamp as day, user_id, count(*) as n_actions, count(*) filter (event_type = 'view') as n_queries, count(*) filter (event_type = 'click') as n_uploads
+from events group by 1, 2""",
+)
+def usage_counters(t: Tables) -> DataFrame:
+    return _ntz(S.usage_counters(_events(t)), "day")
+
+
+@query(
+    "task_progress",
+    "ST4",
+    """select user_id, arg_max(event_type, (ts, event_id)) as state, max(ts) as last_ts, count(*) as n_events from events group by 1""",
+)
+def task_progress(t: Tables) -> DataFrame:
+    return _ntz(S.latest_state(_events(t), "user_id", F.struct("ts", "event_id"), F.col("event_type")), "last_ts")
+
+
+@query(
+    "ingest_chunks",
+    "ST6",
+    f"""with {BLOCKS} select substr(sha256(source || ':' || page || ':' || block_index || ':' || substr(text, 1, 100)), 1, 32) as chunk_id,
+  count(*) as n, min(doc_id) as first_doc, min(md5({_scrub_sql('text')})) as text_md5 from blocks group by 1""",
+)
+def ingest_chunks(t: Tables) -> DataFrame:
+    return (
+        S.ingest_chunks(t.documents)
+        .groupBy("chunk_id")
+        .agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.min(F.md5("text")).alias("text_md5"))
+    )
+
+
+@query(
+    "alert_rules",
+    "ST8",
+    """with x as (select event_type, value / 10 as seconds, event_id, time_bucket(interval 30 minutes, ts) - to_minutes((30 * i)::int) as window_start from events, range(12) r(i))
+select window_start, count(*) as n, count(*) filter (event_type = 'error') / count(*) > 0.05 as high_error_rate, count(*) filter (seconds > 5) / count(*) > 0.01 as p99_above_5s,
+ count(*) filter (seconds > 10) / count(*) > 0.05 as p95_above_10s, count(*) filter (event_id % 50 = 0) > 0 as quota_error, count(*) filter (event_type in ('view', 'click')) > 100 as backlog from x group by 1""",
+)
+def alert_rules(t: Tables) -> DataFrame:
+    r = _events(t).select(
+        "ts",
+        (F.col("event_type") == "error").alias("is_error"),
+        (F.col("value") / 10).alias("seconds"),
+        (F.col("event_id") % 50 == 0).alias("is_quota"),
+        F.col("event_type").isin("view", "click").alias("is_pending"),
+    )
+    return _ntz(S.alert_rules(r, "6 hours", "30 minutes"), "window_start")
