@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.operators.joins import broadcast_if_small
 from leafmill.operators.ranking import top_k_per_key
 
 # Keyword ranking and fusion constants.
@@ -33,26 +34,32 @@ def bm25_terms(postings: DataFrame) -> DataFrame:
 def bm25_scores(queries: DataFrame, docs: DataFrame, key: str = "doc_id", query_key: str = "query_id") -> DataFrame:
     """(query, doc, score) for every pair that shares a term; repeated query terms add repeatedly.
 
-    Queries meet documents only through terms. Corpus statistics are scalar subqueries.
+    Queries meet documents only through terms; tokens nobody asked for are dropped before the first shuffle when
+    the asked terms are few enough to broadcast. Corpus statistics are scalar subqueries.
     """
-    post = bm25_postings(docs, key)
-    sizes = docs.select(F.size(X.tokenize_words(F.col("text"))).alias("dl")).where("dl > 0")
-    corpus = sizes.select(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))).scalar()
+    tok = docs.select(key, X.tokenize_words(F.col("text")).alias("_t")).where(F.size("_t") > 0)
+    corpus = tok.select(F.struct(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl"))).scalar()
     n, avgdl = corpus["n"], corpus["avgdl"]
 
     def raw_idf(n_docs):
         return F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
-    terms = bm25_terms(post)
+    terms = tok.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     floor = terms.select(F.avg(raw_idf(n)) * EPSILON).scalar()
     q = (
         queries.select(query_key, F.explode(X.tokenize_words(F.col("text"))).alias("term"))
         .groupBy(query_key, "term")
         .agg(F.count("*").alias("qtf"))
     )
-    wanted = terms.join(q.select("term").distinct(), "term", "left_semi")
-    idf = wanted.select("term", F.when(raw_idf(n) < 0, floor).otherwise(raw_idf(n)).alias("idf"))
+    asked = broadcast_if_small(q.select("term").distinct())
+    idf = terms.join(asked, "term", "left_semi").select("term", F.when(raw_idf(n) < 0, floor).otherwise(raw_idf(n)).alias("idf"))
     weights = q.join(idf, "term").select(query_key, "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    post = (
+        tok.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+        .join(asked, "term", "left_semi")
+        .groupBy(key, "dl", "term")
+        .agg(F.count("*").alias("tf"))
+    )
     tf = F.col("tf")
     part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
     return post.join(weights, "term").groupBy(query_key, key).agg(F.sum(part).alias("score")).where("score > 0")

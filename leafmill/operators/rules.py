@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from leafmill.functions import patterns as P
 from leafmill.functions import text as X
-from leafmill.operators.running import running
 
 # Invoice and order-matching limits.
 DEVIATION_HIGH, DEVIATION_CRITICAL, ROUND_MIN, MISSING_PO_MIN, MAX_AGE_DAYS = 0.10, 0.25, 1000, 1000, 90
@@ -100,7 +99,8 @@ def _pair_off(rows: DataFrame, key: str, kind: str) -> DataFrame:
     side = F.when(F.col("inv_seq").isNull(), "po").otherwise("inv")
     own = F.concat_ws("|", side, seq)
     keyed = rows.withColumns({"_key": F.when(open_ & (F.col(key) != ""), F.concat(F.lit("k:"), key)).otherwise(own), "_side": side, "_seq": seq})
-    numbered = running(keyed, ["invoice", "_key", "_side"], [F.col("_seq")], F.substring("_seq", 1, 12), {"_k": ("sum", F.lit(1))})
+    order = W.partitionBy("invoice", "_key", "_side").orderBy("_seq")
+    numbered = keyed.withColumn("_k", F.row_number().over(order))
     carried = ["inv_seq", "unit_price", "po_seq", "po_price", "sku", "bag", "match"]
     paired = numbered.groupBy("invoice", "_key", "_k").agg(*[F.max(c).alias(c) for c in carried])
     done = F.col("inv_seq").isNotNull() & F.col("po_seq").isNotNull()
@@ -127,25 +127,25 @@ def po_match(lines: DataFrame, po: DataFrame) -> DataFrame:
     two = _pair_off(_pair_off(a.unionByName(b), "sku", "exact"), "bag", "fuzzy")
     long = F.size(X.split_space(F.col("bag"))) >= 7
     fuzzy_left = F.col("match").isNull() & long
-    a3 = two.where(fuzzy_left & F.col("inv_seq").isNotNull()).select("invoice", "inv_seq", "bag", "unit_price")
-    b3 = two.where(fuzzy_left & F.col("po_seq").isNotNull()).select(F.col("invoice").alias("po_invoice"), F.col("po_seq").alias("seq"), F.col("bag").alias("po_bag"), F.col("po_price").alias("price"))
+    left_over = two.where(fuzzy_left).select("invoice", "inv_seq", "unit_price", "po_seq", "po_price", "bag")
 
-    def greedy(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free = {r.seq: (set(r.po_bag.split()), r.price) for r in right.sort_values("seq").itertuples()}
+    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
+        orders = rows[rows["inv_seq"].isna()].sort_values("po_seq")
+        free = {r.po_seq: (set(r.bag.split()), r.po_price) for r in orders.itertuples()}
         out = []
-        for r in left.sort_values("inv_seq").itertuples():
+        for r in rows[rows["inv_seq"].notna()].sort_values("inv_seq").itertuples():
             mine, best = set(r.bag.split()), (0.0, None)
             for seq, (theirs, _) in free.items():
                 s = len(mine & theirs) / max(len(mine), len(theirs), 1)
                 if s >= DESCRIPTION_MATCH and s > best[0]:
                     best = (s, seq)
             price = free.pop(best[1])[1] if best[1] is not None else None
-            out.append((r.invoice, r.inv_seq, r.unit_price, best[1], price, best[0], "fuzzy" if price is not None else None))
+            out.append((r.invoice, r.inv_seq, r.unit_price, best[1], price, best[0], "fuzzy" if best[1] else None))
         return pd.DataFrame(out, columns=["invoice", "inv_seq", "unit_price", "po_seq", "po_price", "score", "match"])
 
     inv_t = dict(lines.dtypes)["invoice"]
     cols = ["invoice", "inv_seq", "unit_price", "po_seq", "po_price", "score", "match"]
-    three = a3.groupBy("invoice").cogroup(b3.groupBy("po_invoice")).applyInPandas(
+    three = left_over.groupBy("invoice").applyInPandas(
         greedy, f"invoice {inv_t}, inv_seq string, unit_price double, po_seq string, po_price double, score double, match string"
     )
     settled = two.where(F.col("inv_seq").isNotNull() & ~fuzzy_left).withColumn(
