@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from leafmill.functions import text as X
 from leafmill.operators.aggregates import tidy
+from leafmill.operators.joins import broadcast_if_small
 from leafmill.operators.ranking import top_k_per_key
 from leafmill.operators.running import running
 
@@ -343,18 +344,20 @@ def containing_documents(passages: DataFrame, docs: DataFrame) -> DataFrame:
     The passage's rarest inner word finds the candidates (its edge words may be cut words in the document;
     passages of one or two words use those); ``contains`` then decides.
     """
-    words = docs.select("doc_id", F.explode(F.array_distinct(X.tokenize_words(F.col("text")))).alias("term"))
-    df = words.groupBy("term").agg(F.count("*").alias("df"))
     toks = X.tokenize_words(F.col("text"))
     inner = F.when(F.size(toks) > 2, F.slice(toks, 2, F.size(toks) - 2)).otherwise(toks)
     q = passages.select("query_id", F.col("text").alias("passage"), F.explode(F.array_distinct(inner)).alias("term"))
+    asked = broadcast_if_small(q.select("term").distinct())
+    every = docs.select("doc_id", F.explode(F.array_distinct(toks)).alias("term"))
+    words = every.join(asked, "term", "left_semi")
+    df = words.groupBy("term").agg(F.count("*").alias("df"))
     anchor = (
         q.join(df, "term")
         .groupBy("query_id", "passage")
         .agg(F.min(F.struct("df", "term")).alias("a"))
         .select("query_id", "passage", F.col("a.term").alias("term"))
     )
-    cand = words.join(anchor, "term").select("query_id", "passage", "doc_id")
+    cand = every.join(broadcast_if_small(anchor, 100_000), "term").select("query_id", "passage", "doc_id")
     return (
         cand.join(docs.select("doc_id", "text"), "doc_id")
         .where(F.contains("text", F.col("passage")))

@@ -56,15 +56,20 @@ def window_stats(t: Tables) -> DataFrame:
     return A.window_stats(metrics(t), t.events.select(F.max("ts")).scalar(), 1000.0)
 
 
+def _nan_values():
+    k = F.get_json_object("props", "$.k").cast("int")
+    return F.when(k < 20, F.lit(float("nan"))).otherwise(F.col("value"))
+
+
 @query(
     "percentile_linear",
     "A2",
     """select event_type, count(value) as n_values, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95,
-  round(quantile_cont(value, 0.99), 6) as p99 from events where event_id % 7 <> 0 group by event_type""",
+  round(quantile_cont(value, 0.99), 6) as p99 from events where (props->>'k')::int >= 20 group by event_type""",
 )
 def percentile_linear(t: Tables) -> DataFrame:
-    # every seventh value is NaN: it must not count
-    ev = t.events.withColumn("value", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    # values with a small k become NaN: they must not count
+    ev = t.events.withColumn("value", _nan_values())
     p = percentiles(ev, ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
     return p.select("event_type", "n_values", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
 
@@ -83,11 +88,10 @@ def percentile_nearest(t: Tables) -> DataFrame:
 @query(
     "safe_mean",
     "A4",
-    "select event_type, round(avg(value), 6) as mean_value from events where event_id % 7 <> 0 group by 1",
+    "select event_type, round(avg(value), 6) as mean_value from events where (props->>'k')::int >= 20 group by 1",
 )
 def safe_mean(t: Tables) -> DataFrame:
-    v = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
-    return t.events.groupBy("event_type").agg(F.round(F.avg(A.clean(v)), 6).alias("mean_value"))
+    return t.events.groupBy("event_type").agg(F.round(F.avg(A.clean(_nan_values())), 6).alias("mean_value"))
 
 
 @query(
@@ -261,10 +265,10 @@ def compliance_summary(t: Tables) -> DataFrame:
 
 
 _PAIR_SQL = """a as (select o_orderkey as k, unnest(['status', 'total', 'priority']) as field,
-   unnest([o_orderstatus, (o_totalprice * 100)::bigint::varchar, o_orderpriority]) as value from orders where o_orderkey % 11 <> 0),
+   unnest([o_orderstatus, (o_totalprice * 100)::bigint::varchar, o_orderpriority]) as value from orders where o_orderpriority <> '5-LOW'),
 b as (select o_orderkey as k, unnest(['status', 'total', 'priority']) as field,
    unnest([case when o_custkey % 5 = 0 then 'X' else o_orderstatus end, (o_totalprice * 100 + (o_custkey % 3 = 0)::int)::bigint::varchar, o_orderpriority]) as value
-   from orders where o_orderkey % 13 <> 0)"""
+   from orders where o_orderpriority <> '1-URGENT')"""
 
 
 @query(
@@ -285,9 +289,9 @@ def discrepancy_report(t: Tables) -> DataFrame:
         )
         return wide.unpivot(["k"], ["status", "total", "priority"], "field", "value")
 
-    a = fields(o.where("o_orderkey % 11 <> 0"), F.col("o_orderstatus"), F.col("cents"))
+    a = fields(o.where("o_orderpriority <> '5-LOW'"), F.col("o_orderstatus"), F.col("cents"))
     b = fields(
-        o.where("o_orderkey % 13 <> 0"),
+        o.where("o_orderpriority <> '1-URGENT'"),
         F.when(F.col("o_custkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")),
         F.col("cents") + (F.col("o_custkey") % 3 == 0).cast("int"),
     )

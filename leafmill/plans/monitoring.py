@@ -42,13 +42,13 @@ def ks_drift(t: Tables) -> DataFrame:
     "D2",
     """select event_id, value * 100 as latency_ms, value / 500 as confidence, (props->>'k')::double as answer_length, (event_id % 8)::double as retrieval_count,
  (event_type = 'click')::int::double as web_search, (event_type = 'view')::int::double as action_view, (event_type = 'purchase')::int::double as action_purchase,
- case when event_id % 4 = 0 then 'nan'::double else value / 100 end as faithfulness from events where event_id % 10 <> 0""",
+ case when event_id % 4 = 0 then 'nan'::double else value / 100 end as faithfulness from events where event_type <> 'signup'""",
 )
 def metric_features(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
     ev = t.events.select(
         "event_id",
-        F.when(F.col("event_id") % 10 != 0, F.col("value") * 100).alias("latency_ms"),
+        F.when(F.col("event_type") != "signup", F.col("value") * 100).alias("latency_ms"),
         (F.col("value") / 500).alias("confidence"),
         k.alias("answer_length"),
         (F.col("event_id") % 8).alias("retrieval_count"),

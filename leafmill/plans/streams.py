@@ -1,10 +1,11 @@
-"""Batch twins of the streams: ST1, ST2, ST4, ST6, ST8. Tests run the same functions as streams."""
+"""Batch twins of the streams: ST1-ST6, ST8. Tests run the streams and compare."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.operators import ranking as R
 from leafmill.plans.sqlparts import BLOCKS
 from leafmill.plans.text import _scrub_sql
 from leafmill.registry import query
@@ -79,3 +80,34 @@ def alert_rules(t: Tables) -> DataFrame:
         F.col("event_type").isin("view", "click").alias("is_pending"),
     )
     return _ntz(S.alert_rules(r, "6 hours", "30 minutes"), "window_start")
+
+
+_DAY_US = 86_400_000_000
+
+
+@query(
+    "rate_limit_decisions",
+    "ST3",
+    f"""with r as (select user_id, event_id, epoch_us(ts) as us from events),
+c as (select *, lag(us, 10) over (partition by user_id order by us, event_id) as tenth from r)
+select user_id, event_id, coalesce(tenth <= us - {10 * _DAY_US}, true) as allowed from c""",
+)
+def rate_limit_decisions(t: Tables) -> DataFrame:
+    """The stream's rule as rows: a request passes when the limit-th one before it has left the window."""
+    req = t.events.select("user_id", F.lit("ingest").alias("grp"), "event_id", "ts")
+    return R.sliding_rate_limit(req, ["user_id"], "grp", 10 * 86_400, "event_id").select("user_id", "event_id", "allowed")
+
+
+@query(
+    "cooldown_alerts",
+    "ST5",
+    """with recursive a as (select user_id, date_trunc('hour', ts) as fired_at from events where event_type = 'error' group by 1, 2),
+f as (select user_id, min(fired_at) as fired_at from a group by 1
+  union all
+  select f.user_id, min(a.fired_at) as fired_at from f join a on a.user_id = f.user_id and a.fired_at >= f.fired_at + interval 48 hours group by f.user_id, f.fired_at)
+select user_id, fired_at from f""",
+)
+def cooldown_alerts(t: Tables) -> DataFrame:
+    """One alert per tenant and hour with an error; the cool-down keeps one per 48 hours."""
+    runs = t.events.where("event_type = 'error'").select("user_id", F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("fired_at")).distinct()
+    return R.cooldown_gate(runs, "user_id", "fired_at", 48.0)

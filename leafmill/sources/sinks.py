@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def report_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Fixed column order, every value as text, missing ones empty."""
+    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
+
+
 def csv_report(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Fixed column order, missing values as empty text, one header per part file."""
-    out = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
-    out.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    """CSV folder of :func:`report_columns`, one header per part file."""
+    report_columns(df, columns).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
