@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
-from leafmill.operators.joins import broadcast_if_small
+from leafmill.operators.joins import is_small
 from leafmill.operators.ranking import top_k_per_key
 
 # Keyword ranking and fusion constants.
@@ -19,7 +19,7 @@ K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 
 def bm25_postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, dl, term, tf); documents without tokens are skipped. A document's terms combine before the shuffle."""
-    tok = docs.select(key, X.tokenize_words(F.col(text)).alias("_t")).where(F.size("_t") > 0)
+    tok = docs.select(key, X.tokenize_words(F.col(text)).alias("_t"))
     return (
         tok.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
         .groupBy(key, "dl", "term")
@@ -37,8 +37,10 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, key: str = "doc_id", query_
     Queries meet documents only through terms; tokens nobody asked for are dropped before the first shuffle when
     the asked terms are few enough to broadcast. Corpus statistics are scalar subqueries.
     """
-    tok = docs.select(key, X.tokenize_words(F.col("text")).alias("_t")).where(F.size("_t") > 0)
-    corpus = tok.select(F.struct(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl"))).scalar()
+    # empty documents fall out at explode; a filter on the tokens would tokenize every text once more
+    tok = docs.select(key, X.tokenize_words(F.col("text")).alias("_t"))
+    dl = tok.select(F.size("_t").alias("dl"))
+    corpus = dl.select(F.struct(F.count_if(F.col("dl") > 0).alias("n"), F.avg(F.nullif("dl", F.lit(0))).alias("avgdl"))).scalar()
     n, avgdl = corpus["n"], corpus["avgdl"]
 
     def raw_idf(n_docs):
@@ -51,15 +53,16 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, key: str = "doc_id", query_
         .groupBy(query_key, "term")
         .agg(F.count("*").alias("qtf"))
     )
-    asked = broadcast_if_small(q.select("term").distinct())
+    small = is_small(q)
+    asked = q.select("term").distinct()
+    asked = F.broadcast(asked) if small else asked
     idf = terms.join(asked, "term", "left_semi").select("term", F.when(raw_idf(n) < 0, floor).otherwise(raw_idf(n)).alias("idf"))
     weights = q.join(idf, "term").select(query_key, "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    post = (
-        tok.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-        .join(asked, "term", "left_semi")
-        .groupBy(key, "dl", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    rows = tok.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(asked, "term", "left_semi")
+    if small:
+        # weights have at most as many rows as q; with documents co-located both groupings need no further shuffle
+        rows, weights = rows.repartition(key), F.broadcast(weights)
+    post = rows.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     tf = F.col("tf")
     part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avgdl))
     return post.join(weights, "term").groupBy(query_key, key).agg(F.sum(part).alias("score")).where("score > 0")

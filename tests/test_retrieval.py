@@ -35,7 +35,7 @@ def brute_bm25(query):
 @pytest.mark.parametrize("limit", [0, 500_000])
 def test_bm25(spark, monkeypatch, limit):
     if not limit:
-        monkeypatch.setattr(R, "broadcast_if_small", lambda df: df)
+        monkeypatch.setattr(R, "is_small", lambda df: False)
     docs = spark.createDataFrame(DOCS, "doc_id int, text string")
     qs = spark.createDataFrame(QUERIES, "query_id int, text string")
     got = R.bm25_topk(qs, docs, 10).collect()
