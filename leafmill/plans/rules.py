@@ -65,10 +65,10 @@ def highest_risk_clauses(t: Tables) -> DataFrame:
     return top_k_per_key(cl, ["contract"], "s", "id", 5).select("contract", "id", "clause_type", "rank")
 
 
-_PO = """ln as (select l_orderkey as invoice, printf('%010d-%08d-%08d', l_linenumber, l_partkey, l_suppkey) as inv_seq,
+_PO = """ln as (select l_orderkey as invoice, printf('%010d-%08d-%08d-%012d', l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::bigint) as inv_seq,
    case when l_partkey % 2 = 0 then 'SKU ' || printf('%06d', l_partkey) else '' end as sku,
    case when l_partkey % 2 = 0 then 'sku' || ' ' || printf('%06d', l_partkey) || ' ' else '' end || lower(p_name) as name, l_extendedprice / l_quantity as unit_price from lineitem join part on p_partkey = l_partkey),
-po as (select l_orderkey as invoice, printf('%010d-%08d-%08d', 9 - l_linenumber, l_partkey, l_suppkey) as po_seq,
+po as (select l_orderkey as invoice, printf('%010d-%08d-%08d-%012d', 9 - l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::bigint) as po_seq,
    case when l_partkey % 2 = 0 then 'SKU ' || printf('%06d', l_partkey) else '' end as sku,
    case when l_partkey % 2 = 0 then 'sku' || ' ' || printf('%06d', l_partkey) || ' ' else '' end || lower(p_name) as name, p_retailprice * 30 as po_price from lineitem join part on p_partkey = l_partkey where l_returnflag <> 'R'),
 a1 as (select *, row_number() over (partition by invoice, sku order by inv_seq) as k from ln where sku <> ''),
@@ -93,7 +93,8 @@ def po_match(t: Tables) -> DataFrame:
     desc = F.concat(sku, "p_name")
 
     def seq(line):
-        return F.format_string("%010d-%08d-%08d", line, F.col("l_partkey"), F.col("l_suppkey"))
+        cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+        return F.format_string("%010d-%08d-%08d-%012d", line, F.col("l_partkey"), F.col("l_suppkey"), cents)
 
     lines = j.select(
         F.col("l_orderkey").alias("invoice"), seq(F.col("l_linenumber")).alias("inv_seq"), desc.alias("inv_text"),
