@@ -359,7 +359,7 @@ def risk_rollup(cl: DataFrame, key: str) -> DataFrame:
     base = cl.withColumns({"_s": s, "_w": w}).groupBy(key).agg(
         F.count("clause_type").alias("n_clauses"),
         (F.sum(F.col("_s") * F.col("_w")) / F.sum("_w")).alias("_base"),
-        (F.lit(len(P.STANDARD_CLAUSES)) - F.coalesce(present, F.lit(0))).alias("n_missing"),
+        (F.lit(len(P.STANDARD_CLAUSES)) - F.coalesce(present, F.lit(0))).cast("bigint").alias("n_missing"),
         F.count_if((F.col("_s") >= 9) & F.col("clause_type").isNotNull()).alias("n_critical"),
         F.count_if((F.col("_s") >= 7) & (F.col("_s") < 9) & F.col("clause_type").isNotNull()).alias("n_high"),
     )

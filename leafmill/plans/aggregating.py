@@ -236,7 +236,7 @@ def exact_duplicates(t: Tables) -> DataFrame:
     """with r as (select o_orderkey, (o_orderkey % 100)::double as gdpr, (o_custkey % 100)::double as hipaa,
   case when o_orderkey % 3 = 0 then (o_orderkey % 50)::double end as given, o_orderkey % 4 as nv from orders)
 select o_orderkey, coalesce(given, (gdpr + hipaa) / 2) as overall, nv as n_violations,
-  case when nv > 0 then 1 else 0 end + case when nv > 2 then 1 else 0 end as n_high, greatest(nv - 1, 0) - case when nv > 2 then 1 else 0 end as n_medium from r""",
+  (case when nv > 0 then 1 else 0 end + case when nv > 2 then 1 else 0 end)::bigint as n_high, greatest(nv - 1, 0) - case when nv > 2 then 1 else 0 end as n_medium from r""",
 )
 def compliance_summary(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")

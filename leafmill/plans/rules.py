@@ -335,7 +335,7 @@ def _contract_chunks(t: Tables) -> DataFrame:
 @query(
     "clauses",
     "X8",
-    rf"""with {BLOCKS}, {_CHUNK_SQL}, g as (select doc_id, (block_index // 3) as grp, string_agg(text, chr(10) || chr(10) order by block_index) as txt from ck group by all),
+    rf"""with {BLOCKS}, {_CHUNK_SQL}, g as (select doc_id, (block_index // 3)::bigint as grp, string_agg(text, chr(10) || chr(10) order by block_index) as txt from ck group by all),
 h as (select doc_id, grp, regexp_extract_all(txt, '(?:Section|Article|Clause|§)\s*[\d\.]+[A-Za-z]?\s*[:\.]?\s*([A-Z][^\.]{{5,80}})', 1) || regexp_extract_all(txt, '\b(?:WHEREAS|NOW,?\s+THEREFORE|IN\s+WITNESS)\b')
    || regexp_extract_all(txt, '\b(?:\d+\.\d+)\s+([A-Z][a-z][\w\s]{{5,60}})\b', 1) as h from g),
 e as (select doc_id, grp, i::int as pos, h[i + 1] as title from (select *, unnest(range(len(h))) as i from h))
