@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.llm.shared import checkpointed
+
 #: White space that changes under normalisation: anything but a lone blank.
 _ODD_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -54,9 +56,11 @@ class DigestIndex:
         Within a batch the smallest id stays; across batches the earlier batch does. A batch that is appended again
         (after a failure, say) adds nothing.
         """
-        new = _first(batch).repartition(self.buckets, "digest")
-        if self.spark.catalog.tableExists(self.name):
+        new = checkpointed(_first(batch))
+        if self.spark.catalog.tableExists(self.name):  # only the batch is shuffled, to the index's buckets
             new = new.join(self.spark.table(self.name).hint("merge"), "digest", "left_anti")
+        else:
+            new = new.repartition(self.buckets, "digest")
         new.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
 
     def rows(self) -> DataFrame:
