@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import exact, packing, simhash
+from leafmill.llm import exact, packing, quality, simhash
 from leafmill.llm.registry import query
 from leafmill.llm.shared import checkpointed, table
 
@@ -53,3 +53,63 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Measures of each document, with words and lines as lists; shared by the quality oracle.
+_MEASURED_SQL = r"""
+texts as (select doc_id, lang, source, coalesce(text, '') as t from documents),
+parts as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') as words,
+  list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines from texts),
+windows as (select doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as w
+  from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from parts)),
+twice as (select *, count(*) over (partition by doc_id, w) as n from windows),
+repeated as (select doc_id, count(distinct i + k) as n from twice, (select unnest([0, 1, 2]) as k) where n > 1 group by 1),
+counted as (select doc_id, lang, source, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(lines) as n_lines,
+  len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n, 0) as n_repeat_words
+  from parts left join repeated using (doc_id)),
+measured as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  coalesce(n_symbols * 10000 // nullif(n_words, 0), 0) as m_symbols,
+  coalesce(n_dup_lines * 10000 // nullif(n_lines, 0), 0) as m_dup_lines,
+  coalesce(n_repeat_words * 10000 // nullif(n_words, 0), 0) as m_repeats,
+  coalesce(word_chars * 100 // nullif(n_words, 0), 0) as m_length from counted)"""
+
+
+def _quartiles_sql(keys: str) -> str:
+    by = f"{keys}, measure" if keys else "measure"
+    return f"""(select {by}, min(bin) filter (upto * 4 >= total) as q1, min(bin) filter (upto * 4 >= total * 3) as q3,
+      max(total) as total from (select {by}, bin, sum(n) over (partition by {by} order by bin) as upto,
+      sum(n) over (partition by {by}) as total
+      from (select {by}, bin, sum(n) as n from bins group by all)) group by all)"""
+
+
+def _quality_sql(fence: int = 4, min_docs: int = 200) -> str:
+    floors = " ".join(f"when '{m}' then {v}" for m, v in quality.MEASURES.items())
+    edge = "(((b - e * 32 + 1)::bigint << e) - 1)"
+    edges = {q: edge.replace("e *", f"e{q} *").replace("<< e", f"<< e{q}").replace("(b", f"(b{q}") for q in ("1", "3")}
+    return f"""with {_MEASURED_SQL},
+    bins as (select lang, source, measure, greatest(length(bin(v)) - 6, 0) * 32
+      + (v >> greatest(length(bin(v)) - 6, 0)) as bin, count(*) as n
+      from (select lang, source, measure, v::bigint as v from measured
+        unpivot (v for measure in ({', '.join(quality.MEASURES)})) where not base_failed) group by all),
+    chosen as (select o.lang, o.source, o.measure,
+      case when o.total >= {min_docs} then o.q1 when l.total >= {min_docs} then l.q1 else a.q1 end as b1,
+      case when o.total >= {min_docs} then o.q3 when l.total >= {min_docs} then l.q3 else a.q3 end as b3
+      from {_quartiles_sql('lang, source')} o
+      join {_quartiles_sql('lang')} l on o.lang is not distinct from l.lang and o.measure = l.measure
+      join {_quartiles_sql('')} a on o.measure = a.measure),
+    edges as (select *, greatest(b1 // 32 - 1, 0)::bigint as e1, greatest(b3 // 32 - 1, 0)::bigint as e3 from chosen),
+    limits as (select lang, source, measure,
+      greatest({edges['3']} + {fence} * ({edges['3']} - {edges['1']}), case measure {floors} end) as upper,
+      {edges['1']} - {fence} * ({edges['3']} - {edges['1']}) as low from edges),
+    odd as (select distinct m.doc_id from measured m
+      join limits t on m.lang is not distinct from t.lang and m.source is not distinct from t.source
+      where case t.measure {' '.join(f"when '{m}' then m.{m}" for m in quality.MEASURES)} end > t.upper
+        or (t.measure = '{quality.TWO_SIDED}' and m.{quality.TWO_SIDED} < t.low))
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      not base_failed and doc_id not in (select doc_id from odd) as kept from measured"""
+
+
+@query("op5_quality", _quality_sql())
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
