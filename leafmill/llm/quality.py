@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.shared import SPACE_RUN, SPACES, checkpointed, let
 
 #: Measures (parts per 10,000, word length in hundredths) with the least limit that an upper fence may take.
-MEASURES = {"m_symbols": 1_000, "m_dup_lines": 3_000, "m_repeats": 3_000, "m_length": 0}
+MEASURES = {"m_symbols": 1_000, "m_dup_lines": 5_000, "m_repeats": 3_000, "m_length": 0}
 #: The measure that has a lower fence as well.
 TWO_SIDED = "m_length"
 
@@ -129,7 +129,7 @@ def _quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def thresholds(bins: DataFrame, fence: int = 4, min_docs: int = 200) -> DataFrame:
+def thresholds(bins: DataFrame, fence: int = 5, min_docs: int = 200) -> DataFrame:
     """``(lang, source, low, m_symbols, ...)``: far-out fences ``q3 + fence * (q3 - q1)`` per language and source."""
     own = _quartiles(bins, ["lang", "source"])
     lang = _quartiles(bins, ["lang"]).select(
@@ -167,7 +167,7 @@ def judged(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
-    fence: int = 4,
+    fence: int = 5,
     min_docs: int = 200,
 ) -> DataFrame:
     """``doc_id``, the measures, ``base_failed`` and ``kept``; one row per input row.

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import exact, packing, quality, simhash
+from leafmill.llm import exact, lines, packing, quality, simhash
 from leafmill.llm.registry import query
 from leafmill.llm.shared import checkpointed, table
 
@@ -83,7 +83,7 @@ def _quartiles_sql(keys: str) -> str:
       from (select {by}, bin, sum(n) as n from bins group by all)) group by all)"""
 
 
-def _quality_sql(fence: int = 4, min_docs: int = 200) -> str:
+def _quality_sql(fence: int = 5, min_docs: int = 200) -> str:
     floors = " ".join(f"when '{m}' then {v}" for m, v in quality.MEASURES.items())
     edge = "(((b - e * 32 + 1)::bigint << e) - 1)"
     edges = {q: edge.replace("e *", f"e{q} *").replace("<< e", f"<< e{q}").replace("(b", f"(b{q}") for q in ("1", "3")}
@@ -113,3 +113,8 @@ def _quality_sql(fence: int = 4, min_docs: int = 200) -> str:
 @query("op5_quality", _quality_sql())
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
+
+
+@query("op6_lines")
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_groups(table(spark, sf_dir, "documents"))
