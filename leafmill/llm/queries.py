@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import exact, lines, packing, quality, simhash
+from leafmill.llm import exact, lines, mixing, packing, quality, simhash
 from leafmill.llm.registry import query
 from leafmill.llm.shared import checkpointed, table
 
@@ -118,3 +118,38 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_lines")
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_groups(table(spark, sf_dir, "documents"))
+
+
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """Labelled good documents are drawn twice as readily as unlabelled ones, labelled bad ones half as readily."""
+    weight = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
+    return labels.select(F.col("doc_id").alias("id"), weight.alias("weight"))
+
+
+@query(
+    "op3_mixing",
+    r"""
+with w as (select doc_id, max(case quality when 1 then 2.0 when 0 then 0.5 else 1.0 end)::double as weight
+           from labels group by 1),
+d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+        -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint + 0.5::double)
+            / 4503599627370496.0::double) / coalesce(weight, 1.0::double) as key
+      from documents left join w using (doc_id)),
+s as (select source, sum(size)::bigint as z, row_number() over (order by source nulls last) - 1 as place from d group by 1),
+ranked as (select *, [5, 2, 1][place % 3 + 1] as w, sum(z) over () as zz, sum([5, 2, 1][place % 3 + 1]) over () as ww from s),
+run as (select *, coalesce(sum(z) over b, 0) as z0, coalesce(sum(w) over b, 0) as w0 from ranked
+        window b as (order by z / w, place rows between unbounded preceding and 1 preceding)),
+capped as (select *, (3 * zz - 4 * z0)::hugeint * w >= 4 * z::hugeint * (ww - w0) as full_ from run),
+rest as (select *, sum(case when full_ then z else 0 end) over () as zc,
+         sum(case when full_ then 0 else w end) over () as wu from capped),
+t as (select source, z, case when full_ then 2 * z::double
+        else w * (1.5::double * zz::double - 2.0::double * zc::double) / wu::double end as target from rest),
+e as (select *, case when z > 0 then least(floor(target / z), 2) else 0 end as epochs from t),
+p as (select d.*, z, target, epochs, target - epochs * z as rest,
+        2 * sum(size) over (partition by d.source order by key, doc_id) - sum(size) over (partition by d.source, key, doc_id)
+        as twice from d join e on d.source is not distinct from e.source)
+select doc_id, size, z as source_size, target,
+  (size * (epochs + case when epochs < 2 and twice <= 2 * rest then 1 else 0 end))::bigint as taken from p""",
+)
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), quality_weights(table(spark, sf_dir, "labels")))
