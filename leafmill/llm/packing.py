@@ -7,6 +7,7 @@ capacities finds that window in log(window) steps.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,29 +81,46 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 _TOKENIZERS: dict = {}
 
 
+class _WordCache(dict):
+    """Word -> its ids as bytes, filled on demand; words of the generation before are taken over."""
+
+    def __init__(self, tokenizer, older: dict):
+        super().__init__({"": b""})
+        self.tokenizer, self.older = tokenizer, older
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            # The tokenizer folds case and never merges letters with what follows them.
+            base, tail = (word.lower() if word.isascii() and "|" not in word else word), b""
+            if len(base) > 1 and base[-1] in ",." and base[-2].isalpha():
+                base, tail = base[:-1], self[base[-1]]
+            if base == word:
+                found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            else:
+                found = self[base] + tail
+        self[word] = found
+        return found
+
+
 class WordIds:
     """Token ids (little-endian uint32 bytes) of whole texts, through a bounded cache of their words.
 
     The tokenizer splits on white space before it merges, so the ids of a text are those of its words in order.
     """
 
-    def __init__(self, path: str, max_words: int = 250_000):
+    def __init__(self, path: str, max_words: int = 1_200_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.max_words = Tokenizer.from_file(path), {"": b""}, max_words
+        self.tokenizer, self.half = Tokenizer.from_file(path), max_words // 2
+        self.cache = _WordCache(self.tokenizer, {})
 
-    def __call__(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words}.difference(self.cache))
-        if len(self.cache) + len(new) > self.max_words:
-            self.cache = {"": b""}
-            new = list({w for words in split for w in words if w})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get, end = self.cache.__getitem__, np.array([end_id], "<u4").tobytes()
-        return [b"".join(map(get, words)) + end for words in split]
+    def __call__(self, text: str | None) -> bytes:
+        if len(self.cache) > self.half:
+            self.cache.older = {}
+            self.cache = _WordCache(self.tokenizer, self.cache)
+        words = (text or "").replace("\n", " ").split(" ")
+        return b"".join(map(self.cache.__getitem__, words))
 
 
 def _word_ids(path: str) -> WordIds:
@@ -134,7 +152,8 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, next_id = _word_ids(tokenizer_path), TaskContext.get().partitionId() << 40
+        encode, end = _word_ids(tokenizer_path), array("I", [end_id]).tobytes()
+        next_id = TaskContext.get().partitionId() << 40
         held: list[tuple] = []
         held_tokens = 0
 
@@ -163,10 +182,10 @@ def pack(
             types = [b.schema.types[0], pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
             keys, texts = b.column(0).to_pylist(), b.column(1)
-            for i in range(0, len(keys), 500):
-                encoded = encode(texts.slice(i, 500).to_pylist(), end_id)
-                held += zip(keys[i : i + 500], encoded)
-                held_tokens += sum(map(len, encoded)) // 4
+            for key, text in zip(keys, texts):
+                ids = encode(text.as_py()) + end
+                held.append((key, ids))
+                held_tokens += len(ids) // 4
                 if held_tokens >= block_tokens:
                     yield from flush()
         if held:

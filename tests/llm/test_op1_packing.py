@@ -82,3 +82,10 @@ def test_best_fit_takes_the_tightest_window():
     after = {int(i): 50 - int(offset[i]) - int(lengths[i]) for i in range(400)}
     assert after == want
     assert n == len(set(where))
+
+
+def test_cache_generations_and_odd_words(tokenizer):
+    encode = packing.WordIds(tokenizer_path(), max_words=8)
+    texts = ["It's a, B. c., d.. <|endoftext|>. <|ENDOFTEXT|> É. é, ΣΑΣ ΑΣ. İ. ǰ J̌. x", "a, b. É. 12. don't'S. 's 'S"] * 3
+    for t in texts + [f"w{i}. W{i} w{i}" for i in range(40)]:
+        assert np.frombuffer(encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
