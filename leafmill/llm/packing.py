@@ -91,9 +91,10 @@ class _WordCache(dict):
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
-            # The tokenizer folds case and never merges letters with what follows them.
+            # The tokenizer folds case and never merges letters with what follows them. Letters below U+0130 stay
+            # single letters when it normalises them.
             base, tail = (word.lower() if word.isascii() and "|" not in word else word), b""
-            if len(base) > 1 and base[-1] in ",." and base[-2].isalpha():
+            if len(base) > 1 and base[-1] in ",." and base[-2] < "\u0130" and base[-2].isalpha():
                 base, tail = base[:-1], self[base[-1]]
             if base == word:
                 found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
