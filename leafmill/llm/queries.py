@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import exact, lines, mixing, packing, quality, simhash
+from leafmill.llm import exact, lines, mixing, packing, quality, sharding, simhash
 from leafmill.llm.registry import query
 from leafmill.llm.shared import checkpointed, table
 
@@ -153,3 +153,17 @@ select doc_id, size, z as source_size, target,
 )
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), quality_weights(table(spark, sf_dir, "labels")))
+
+
+@query("op7_sharding")
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = sharding.shard(table(spark, sf_dir, "documents"), 40)
+    return plan.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
