@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import exact, lines, mixing, packing, quality, sharding, simhash
+from leafmill.llm import exact, licenses, lines, mixing, packing, quality, sharding, simhash
 from leafmill.llm.registry import query
 from leafmill.llm.shared import checkpointed, table
 
@@ -167,3 +167,35 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def _licenses_sql() -> str:
+    """Phrases by list positions, templates as regular expressions over the words."""
+    places = []
+    for phrase, label in licenses.PHRASES.items():
+        same = " and ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(phrase.split()))
+        places.append(f"select doc_id, '{label}' as label, i - 1 as pos from spot where {same}")
+    found = " union ".join(
+        f"select doc_id, '{label}' as label from texts where regexp_matches(line, '{licenses.to_regex(t)}')"
+        for label, t in licenses.TEMPLATES.items()
+    )
+    return f"""
+with cut as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+       'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents),
+texts as (select *, array_to_string(words, ' ') || ' ' as line from cut),
+spot as (select doc_id, words, unnest(range(1, len(words) + 1)) as i from texts where line like '%license%'),
+base as ({' union all '.join(places)}),
+b as (select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word,
+        string_agg(distinct label, ',' order by label) as base_labels from base group by 1),
+own as ({found}),
+l as (select doc_id, string_agg(distinct label, ',' order by label) as labels
+      from (select doc_id, label from own union select doc_id, label from base) group by 1)
+select doc_id, len(words) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+  case when doc_id in (select doc_id from own) then 1.0 when n_base > 0 then 0.5 else 0.0 end::double as score
+from texts left join b using (doc_id) left join l using (doc_id)"""
+
+
+@query("op4_licenses", _licenses_sql())
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
