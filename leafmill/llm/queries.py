@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import exact, licenses, lines, mixing, packing, quality, sharding, simhash
+from leafmill.llm import chat, exact, licenses, lines, mixing, packing, quality, sharding, simhash
 from leafmill.llm.registry import query
 from leafmill.llm.shared import checkpointed, table
 
@@ -199,3 +199,28 @@ from texts left join b using (doc_id) left join l using (doc_id)"""
 @query("op4_licenses", _licenses_sql())
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query(
+    "op2_chat",
+    r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+           union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+-- An opening of a control string gets one character more.
+e as (select *, case when role = 'assistant' then text else '' end as learned,
+        len(regexp_extract_all(text, '(?:<|\[)\\*(?:\||/?s>|/?SYS>>|/?INST\])'))
+        + len(regexp_extract_all(role, '(?:<|\[)\\*(?:\||/?s>|/?SYS>>|/?INST\])')) as escapes from t)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sum(length(learned))::bigint as loss_chars, sha256(string_agg(learned, '' order by turn, role, text)) as loss_sha256,
+  sum(length(role) + length(text) + escapes + 8 + 8 + 7)::bigint as formatted_chars
+from e group by conv_id""",
+)
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).selectExpr(
+        "-1L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", "'</s>[INST] ok [/INST]' as text"
+    )
+    formatted = chat.format_conversations(chat.with_parts(turns.unionByName(probe)))
+    return chat.read_back(formatted, in_order=True)
