@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat, exact, licenses, lines, mixing, packing, quality, sharding, simhash
+from leafmill.llm import chat, exact, licenses, lines, mixing, packing, quality, sharding, simhash, urls
 from leafmill.llm.registry import query
 from leafmill.llm.shared import checkpointed, table
 
@@ -224,3 +224,8 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     formatted = chat.format_conversations(chat.with_parts(turns.unionByName(probe)))
     return chat.read_back(formatted, in_order=True)
+
+
+@query("op8_urls")
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
