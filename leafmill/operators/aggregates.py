@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from leafmill.operators.running import percentiles
 
 
-def clamp_hours(hours: float, low: float = 1.0, high: float = 720.0) -> float:
-    return max(low, min(high, hours))
-
-
 def clean(c: Column) -> Column:
     """NaN as NULL, so built-in aggregates skip it."""
     return F.when(~F.isnan(c.cast("double")), c)
@@ -24,8 +20,10 @@ def tidy(c: Column, digits: int) -> Column:
 
 def window_stats(metrics: DataFrame, now: Column, hours: float, key: str = "workspace_id") -> DataFrame:
     """One row per tenant over ``(now - hours, now]``: means, percentiles, rates, action mix, alerts."""
-    h = clamp_hours(hours)
-    recent = metrics.where((F.col("ts") > now - F.make_dt_interval(F.lit(0), F.lit(int(h)))) & (F.col("ts") <= now))
+    if hours <= 0:
+        raise ValueError(f"hours must be positive, not {hours}")
+    span = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(hours * 3600).cast("decimal(18,6)"))
+    recent = metrics.where((F.col("ts") > now - span) & (F.col("ts") <= now))
     means = {"latency_ms": 1, "confidence": 4, "relevance": 4, "answer_length": 1, "retrieval_count": 2, "faithfulness": 4}
     base = recent.groupBy(key).agg(
         F.count("*").alias("query_count"),
@@ -45,7 +43,7 @@ def window_stats(metrics: DataFrame, now: Column, hours: float, key: str = "work
     return (
         base.join(pct, key).join(mix, key)
         .withColumn("faithfulness_alert", F.coalesce(F.col("_f") < 0.70, F.lit(False)))
-        .withColumn("window_hours", F.lit(h))
+        .withColumn("window_hours", F.lit(float(hours)))
         .drop("_f")
     )
 

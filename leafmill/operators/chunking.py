@@ -41,10 +41,10 @@ def fixed_windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     ).select(*keep, "chunk_index", "start", F.col("text").substr(F.col("start") + 1, F.lit(size)).alias("text"))
 
 
-def chunk_id(source: Column, page: Column, index: Column, text: Column) -> Column:
-    raw = F.concat_ws(
-        ":", source, page.cast("string"), index.cast("string"), F.substring(text, 1, 100)
-    )
+def chunk_id(doc: Column, source: Column, page: Column, index: Column, text: Column) -> Column:
+    """Id of a block: two documents of one source, or two texts with the same beginning, never share one."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (doc, source, page, index, text)]
+    raw = F.concat_ws(":", *parts)
     return F.substring(F.sha2(raw, 256), 1, 32)
 
 
@@ -105,7 +105,7 @@ def parent_child_chunks(
             yield s.map(lambda t: split_recursive(t, child_size, child_overlap))
 
     return blocks.withColumn(
-        "parent_id", chunk_id(F.col("source"), F.col("page"), F.col("block_index"), F.col("text"))
+        "parent_id", chunk_id(*[F.col(c) for c in ("doc_id", "source", "page", "block_index", "text")])
     ).select(
         "doc_id", "source", "page", "block_index", "parent_id",
         F.length("text").alias("parent_chars"),

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from leafmill.functions import text as X
 from leafmill.operators.aggregates import tidy
-from leafmill.operators.joins import broadcast_if_small
+from leafmill.operators.joins import broadcast_if_small, is_small
 from leafmill.operators.ranking import top_k_per_key
 from leafmill.operators.running import running
 
@@ -101,34 +101,34 @@ def bootstrap_ci(
     )
 
 
-def with_cer(df: DataFrame, pred: str, truth: str, out: str = "cer", max_exact: int = 5000) -> DataFrame:
-    """Character error rate of normalised texts; above ``max_exact`` characters the mean over half-overlapping windows."""
-    n = df.withColumns({"_p": X.normalise_text(F.col(pred)), "_g": X.normalise_text(F.col(truth))})
-    p, g = F.col("_p"), F.col("_g")
-    longest = F.greatest(F.length(p), F.length(g))
+def _distance(a: Column, b: Column) -> Column:
+    """Exact edit distance: a narrow band first, as most readings are close; each wider one only where it is needed."""
 
-    def rate(a: Column, b: Column) -> Column:
-        return F.levenshtein(a, b) / F.length(b)
+    def within(n: int) -> Column:
+        return F.nullif(F.call_function("levenshtein", a, b, F.lit(n)), F.lit(-1))
 
-    starts = F.sequence(F.lit(1), F.greatest(F.length(g), F.lit(1)), F.lit(max_exact // 2))
-    windows = F.transform(
-        starts, lambda s: rate(F.substring(p, s, F.lit(max_exact)), F.substring(g, s, F.lit(max_exact)))
-    )
-    mean = F.aggregate(windows, F.lit(0.0), lambda a, x: a + x) / F.size(starts)
+    return F.coalesce(within(64), within(1024), F.levenshtein(a, b))
+
+
+def with_cer(df: DataFrame, pred: str, truth: str, out: str = "cer") -> DataFrame:
+    """Character error rate of normalised texts, of any length."""
+    n = df.withColumns({"_p": X.normalise_text(F.col(pred)), "_g": X.normalise_text(F.col(truth))})
+    p, g = F.col("_p"), F.col("_g")
     value = (
         F.when(F.col(pred).isNull() | F.col(truth).isNull(), 1.0)
         .when(F.length(g) == 0, F.when(F.length(p) == 0, 0.0).otherwise(1.0))
-        .when(longest > max_exact, mean)
-        .otherwise(F.least(F.lit(1.0), rate(p, g)))
+        .otherwise(F.least(F.lit(1.0), _distance(p, g) / F.length(g)))
     )
     return n.withColumn(out, value).drop("_p", "_g")
 
 
 def _letter(i: Column) -> Column:
-    """The i-th (from 1) three-byte character: one letter per distinct word."""
-    cp = i + 0x7FF
+    """The i-th (from 1) four-byte character: one letter per distinct word, for over a million words."""
+    if_too_many = F.raise_error(F.lit("a pair has more than 1,048,576 distinct words"))
+    cp = F.when(i <= 0x100000, i + 0xFFFF).otherwise(if_too_many.cast("int"))
     utf8 = (
-        F.shiftleft(F.shiftright(cp, 12) + 0xE0, 16)
+        F.shiftleft(F.shiftright(cp, 18).cast("long") + 0xF0, 24)
+        + F.shiftleft(F.shiftright(cp, 12).bitwiseAND(63) + 0x80, 16)
         + F.shiftleft(F.shiftright(cp, 6).bitwiseAND(63) + 0x80, 8)
         + cp.bitwiseAND(63)
         + 0x80
@@ -149,7 +149,7 @@ def with_wer(df: DataFrame, pred: str, truth: str, out: str = "wer") -> DataFram
     value = (
         F.when(F.col(pred).isNull() | F.col(truth).isNull(), 1.0)
         .when(F.size("_g") == 0, F.when(F.size("_p") == 0, 0.0).otherwise(1.0))
-        .otherwise(F.least(F.lit(1.0), F.levenshtein("_ps", "_gs") / F.size("_g")))
+        .otherwise(F.least(F.lit(1.0), _distance(F.col("_ps"), F.col("_gs")) / F.size("_g")))
     )
     return n.withColumn(out, value).drop("_p", "_g", "_w", "_ps", "_gs")
 
@@ -341,11 +341,33 @@ def train_val_split(df: DataFrame, key: str, ratio: float = 0.1, seed: str = "42
 def containing_documents(passages: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id) of documents that contain the passage.
 
-    The passage's rarest inner word finds the candidates (its edge words may be cut words in the document;
-    passages of one or two words use those); ``contains`` then decides.
+    The passage's rarest inner word finds the candidates (its edge words may be cut words in the document); passages
+    of up to two words have no inner word and are found by their first characters. ``contains`` then decides. Empty
+    passages find nothing.
     """
     toks = X.tokenize_words(F.col("text"))
-    inner = F.when(F.size(toks) > 2, F.slice(toks, 2, F.size(toks) - 2)).otherwise(toks)
+    inner = F.slice(toks, 2, F.size(toks) - 2)
+    long_ = passages.where(F.size(toks) > 2)
+    short = passages.where((F.size(toks) <= 2) & (F.length("text") > 0))
+    by_word = _containing_by_word(long_, docs, toks, inner)
+    if short.isEmpty():
+        return by_word
+    return by_word.unionByName(_containing_by_start(short, docs))
+
+
+def _containing_by_start(passages: DataFrame, docs: DataFrame, n: int = 3) -> DataFrame:
+    """Candidates share the passage's first ``n`` characters (all, if it has fewer)."""
+    q = passages.select("query_id", F.col("text").alias("passage"), F.substring("text", 1, n).alias("gram"))
+    lengths = F.array(*[F.lit(k) for k in range(1, n + 1)])
+    places = F.sequence(F.lit(1), F.length("text"))
+    grams = F.transform(lengths, lambda k: F.transform(places, lambda i: F.substring(F.col("text"), i, k)))
+    found = docs.where(F.length("text") > 0).select("doc_id", F.explode(F.array_distinct(F.flatten(grams))).alias("gram"))
+    cand = found.join(broadcast_if_small(q, 100_000), "gram").select("query_id", "passage", "doc_id")
+    inside = cand.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage")))
+    return inside.select("query_id", "doc_id")
+
+
+def _containing_by_word(passages: DataFrame, docs: DataFrame, toks: Column, inner: Column) -> DataFrame:
     q = passages.select("query_id", F.col("text").alias("passage"), F.explode(F.array_distinct(inner)).alias("term"))
     asked = broadcast_if_small(q.select("term").distinct())
     every = docs.select("doc_id", F.explode(F.array_distinct(toks)).alias("term"))
@@ -357,7 +379,9 @@ def containing_documents(passages: DataFrame, docs: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("df", "term")).alias("a"))
         .select("query_id", "passage", F.col("a.term").alias("term"))
     )
-    cand = every.join(broadcast_if_small(anchor, 100_000), "term").select("query_id", "passage", "doc_id")
+    # One row per passage at most: the passages bound the side, so its own plan need not run to be counted.
+    small = is_small(passages, 100_000)
+    cand = every.join(F.broadcast(anchor) if small else anchor, "term").select("query_id", "passage", "doc_id")
     return (
         cand.join(docs.select("doc_id", "text"), "doc_id")
         .where(F.contains("text", F.col("passage")))

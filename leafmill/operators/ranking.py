@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,16 +12,20 @@ from pyspark.sql import functions as F
 from leafmill.operators.running import rank_rows, running, sliding_count
 
 
-def clamp_k(k: int, low: int = 1, high: int = 100) -> int:
-    return max(low, min(high, int(k)))
+def _positive(k: int, what: str) -> int:
+    if int(k) < 1:
+        raise ValueError(f"{what} must be at least 1, not {k}")
+    return int(k)
 
 
 def top_k(df: DataFrame, score: str, tie: str, k: int) -> DataFrame:
-    return df.orderBy(F.desc(score), tie).limit(clamp_k(k))
+    return df.orderBy(F.desc(score), tie).limit(_positive(k, "k"))
 
 
 def page(df: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
-    return df.orderBy(*order).offset(max(0, offset)).limit(clamp_k(limit))
+    if offset < 0:
+        raise ValueError(f"offset must not be negative, not {offset}")
+    return df.orderBy(*order).offset(offset).limit(_positive(limit, "limit"))
 
 
 def top_k_per_key(df: DataFrame, keys: list[str], score: str, tie: str, k: int, rank: str = "rank") -> DataFrame:
@@ -75,6 +81,36 @@ def version_history(docs: DataFrame, key: str, version: str, text: str, bin_: Co
     )
 
 
+def cached_replay(requests: DataFrame, key: str, at: str, cacheable: str, tie: str, ttl_s: int) -> DataFrame:
+    """Add ``hit``: does a stored result of the same key answer the request?
+
+    A cacheable request that misses is stored at its time; it answers requests up to ``ttl_s`` seconds later, and a
+    hit does not renew it. Whether a request is stored depends on those before it, so a key is folded in order: its
+    rows stream through one sorted partition, and the state is one time.
+    """
+    ttl = ttl_s * 1_000_000
+    cols = [tie, key, "_us", cacheable]
+    src = requests.select(*[c for c in requests.columns], F.unix_micros(F.col(at).cast("timestamp")).alias("_us"))
+    ordered = src.repartition(key).sortWithinPartitions(key, "_us", tie)
+    out = [c for c in requests.columns]
+    types = dict(requests.dtypes)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, stored = None, None
+        for pdf in batches:
+            hits = []
+            for _, k, us, ok in pdf[cols].itertuples(index=False):
+                if k != last_key:
+                    last_key, stored = k, None
+                hit = stored is not None and us - stored <= ttl
+                if not hit and ok:
+                    stored = us
+                hits.append(hit)
+            yield pdf[out].assign(hit=hits)
+
+    return ordered.mapInPandas(fold, ", ".join(f"{c} {types[c]}" for c in out) + ", hit boolean")
+
+
 def cooldown_gate(alerts: DataFrame, key: str, at: str, hours: float = 24.0) -> DataFrame:
     """At most one action per key per ``hours``.
 

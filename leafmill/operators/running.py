@@ -42,15 +42,6 @@ def running(
     return out.drop(*drop)
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], bin_: Column, value: str, out: str) -> DataFrame:
-    """Value of the row before, per ``keys`` along ``order``, across bins (``value`` must follow the order)."""
-    src = df.withColumn("_bin", bin_)
-    last = src.groupBy(*keys, "_bin").agg(F.max_by(value, F.struct(*order)).alias("_last"))
-    earlier = last.select(*keys, "_bin", F.lag("_last").over(W.partitionBy(*keys).orderBy("_bin")).alias("_prev"))
-    inside = F.lag(value).over(W.partitionBy(*keys, "_bin").orderBy(*order))
-    return src.join(earlier, [*keys, "_bin"]).withColumn(out, F.coalesce(inside, "_prev")).drop("_bin", "_prev")
-
-
 def _split_points(df: DataFrame, keys: list[str], value: str, n_bins: int) -> DataFrame:
     probs = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
     return df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, probs, F.lit(10_000))).alias("_splits"))

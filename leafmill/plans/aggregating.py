@@ -39,7 +39,7 @@ def metrics(t: Tables) -> DataFrame:
 @query(
     "window_stats",
     "A1",
-    f"""with {METRICS_SQL}, w as (select * from m where ts > (select max(ts) from events) - interval 720 hours),
+    f"""with {METRICS_SQL}, w as (select * from m where ts > (select max(ts) from events) - interval 1000 hours),
 x as (select workspace_id, string_agg(action || '=' || n, ',' order by action || '=' || n) as action_mix from
   (select workspace_id, action, count(*) as n from w group by all) group by 1)
 select workspace_id, count(*) as query_count, round(round(avg(latency_ms), 9), 1) as latency_ms_mean, round(round(avg(confidence), 9), 4) as confidence_mean,
@@ -49,7 +49,7 @@ select workspace_id, count(*) as query_count, round(round(avg(latency_ms), 9), 1
   round(round(case when count(*) < 2 then 0 else quantile_cont(latency_ms, 0.95) end, 9), 1)::double as latency_ms_p95,
   round(round(case when count(*) < 2 then 0 else quantile_cont(latency_ms, 0.99) end, 9), 1)::double as latency_ms_p99,
   case when count(*) < 2 then 0 else quantile_cont(latency_ms, 0.95) end > 8000 as latency_alert,
-  any_value(action_mix) as action_mix, coalesce(avg(faithfulness) < 0.7, false) as faithfulness_alert, 720.0::double as window_hours
+  any_value(action_mix) as action_mix, coalesce(avg(faithfulness) < 0.7, false) as faithfulness_alert, 1000.0::double as window_hours
 from w join x using (workspace_id) group by workspace_id""",
 )
 def window_stats(t: Tables) -> DataFrame:

@@ -10,7 +10,7 @@ from leafmill.registry import query
 from leafmill.sources.tables import Tables
 
 
-@query("top_k", "K1", "select event_id, value from events order by value desc, event_id limit 100")
+@query("top_k", "K1", "select event_id, value from events order by value desc, event_id limit 500")
 def top_k(t: Tables) -> DataFrame:
     return R.top_k(t.events.select("event_id", "value"), "value", "event_id", 500)
 

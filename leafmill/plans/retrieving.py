@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as X
 from leafmill.functions import vectors as V
 from leafmill.operators import retrieval as R
-from leafmill.operators.ranking import threshold_top_k, top_k_per_key
-from leafmill.operators.running import previous
+from leafmill.operators.ranking import cached_replay, threshold_top_k, top_k_per_key
 from leafmill.plans.sqlparts import BLOCKS, tokens_sql
 from leafmill.registry import query
 from leafmill.sources.tables import Tables
@@ -292,9 +291,15 @@ def keyword_kb_search(t: Tables) -> DataFrame:
 @query(
     "query_cache_keys",
     "R19",
-    """with k as (select event_id, ts, sha256(lower(event_type) || '|' || (props->>'k')) as cache_key, value >= 20 as cacheable from events),
-l as (select *, lag(ts) over (partition by cache_key order by ts, event_id) as p from k)
-select event_id, cache_key, cacheable, coalesce(ts - p <= interval 24 hours, false) as hit from l""",
+    """with recursive k as (select event_id, ts, sha256(lower(event_type) || '|' || (props->>'k')) as cache_key, value >= 20 as cacheable from events),
+opening as (select cache_key, min(ts) as stored_at from k where cacheable group by 1),
+stores as (select cache_key, stored_at from opening
+  union all
+  select s.cache_key, min(k.ts) from stores s join k on k.cache_key = s.cache_key and k.cacheable and k.ts > s.stored_at + interval 30 minutes group by s.cache_key, s.stored_at),
+o as (select *, row_number() over (partition by cache_key order by ts, event_id) as rn from k),
+w as (select o.cache_key, s.stored_at, min(rn) as stored_by from o join stores s on s.cache_key = o.cache_key and s.stored_at = o.ts where cacheable group by all)
+select event_id, o.cache_key, cacheable, exists (select 1 from w where w.cache_key = o.cache_key and w.stored_by < o.rn
+  and o.ts >= w.stored_at and o.ts <= w.stored_at + interval 30 minutes) as hit from o""",
 )
 def query_cache_keys(t: Tables) -> DataFrame:
     k = t.events.select(
@@ -303,9 +308,8 @@ def query_cache_keys(t: Tables) -> DataFrame:
         F.sha2(F.concat_ws("|", F.lower("event_type"), F.get_json_object("props", "$.k")), 256).alias("cache_key"),
         (F.col("value") >= 20).alias("cacheable"),
     )
-    p = previous(k, ["cache_key"], ["ts", "event_id"], F.date_trunc("day", F.col("ts")), "ts", "prev_ts")
-    hit = F.col("ts") - F.col("prev_ts") <= F.expr("interval 24 hours")
-    return p.select("event_id", "cache_key", "cacheable", F.coalesce(hit, F.lit(False)).alias("hit"))
+    replay = cached_replay(k, "cache_key", "ts", "cacheable", "event_id", 1_800)
+    return replay.select("event_id", "cache_key", "cacheable", "hit")
 
 
 @query(

@@ -53,7 +53,7 @@ def task_progress(t: Tables) -> DataFrame:
 @query(
     "ingest_chunks",
     "ST6",
-    f"""with {BLOCKS} select substr(sha256(source || ':' || page || ':' || block_index || ':' || substr(text, 1, 100)), 1, 32) as chunk_id,
+    f"""with {BLOCKS} select substr(sha256(doc_id || ':' || source || ':' || page || ':' || block_index || ':' || text), 1, 32) as chunk_id,
   count(*) as n, min(doc_id) as first_doc, min(md5({_scrub_sql('text')})) as text_md5 from blocks group by 1""",
 )
 def ingest_chunks(t: Tables) -> DataFrame:

@@ -66,24 +66,38 @@ def query_expand_local(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.concat_ws(" ", phrase, "text").alias("expanded"))
 
 
-def dedupe_questions(questions, min_len: int = 10, prefix: int = 20, keep: int = 4):
-    """First questions that differ: case-folded, mutual ``prefix`` test, at most ``keep``."""
+def dedupe_questions(questions, min_len: int = 1, prefix: int | None = None, keep: int | None = None):
+    """First questions that differ, case-folded: as a whole, or by a mutual test of ``prefix`` characters if one is asked for."""
 
     def step(acc, q):
         n = F.lower(X.strip(q))
-        seen = F.exists(
-            acc,
-            lambda a: F.lower(a).startswith(F.substring(n, 1, prefix))
-            | n.startswith(F.substring(F.lower(a), 1, prefix)),
-        )
-        take = (F.length(n) >= min_len) & (F.size(acc) < keep) & ~seen
+        if prefix is None:
+            seen = F.exists(acc, lambda a: F.lower(a) == n)
+        else:
+            seen = F.exists(
+                acc,
+                lambda a: F.lower(a).startswith(F.substring(n, 1, prefix))
+                | n.startswith(F.substring(F.lower(a), 1, prefix)),
+            )
+        take = (F.length(n) >= min_len) & ~seen
+        if keep is not None:
+            take = take & (F.size(acc) < keep)
         return F.when(take, F.concat(acc, F.array(X.strip(q)))).otherwise(acc)
 
     return F.aggregate(questions, F.array().cast("array<string>"), step)
 
 
 # Sentences of each turn stand in for the sub-questions asked about it; the fold is per row.
-@query("subquestion_dedupe", "R17")
+@query(
+    "subquestion_dedupe",
+    "R17",
+    r"""
+with s as (select conv_id, turn, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+   lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as s from conversations),
+q as (select conv_id, turn, unnest(s) as question, unnest(range(len(s))) as i from s),
+f as (select *, min(i) over (partition by conv_id, turn, lower(question)) as j from q)
+select conv_id, turn, (row_number() over (partition by conv_id, turn order by i) - 1)::int as rank, question from f where i = j""",
+)
 def subquestion_dedupe(t: Tables) -> DataFrame:
     return t.conversations.select(
         "conv_id", "turn", F.posexplode(dedupe_questions(X.sentences(F.col("text")))).alias("rank", "question")
@@ -131,14 +145,14 @@ def fixed_window_chunks(t: Tables) -> DataFrame:
     "chunk_id",
     "C3",
     f"""with {BLOCKS} select doc_id, block_index,
-  substr(sha256(source || ':' || page || ':' || block_index || ':' || substr(text, 1, 100)), 1, 32) as chunk_id
+  substr(sha256(doc_id || ':' || source || ':' || page || ':' || block_index || ':' || text), 1, 32) as chunk_id
 from blocks""",
 )
 def chunk_id(t: Tables) -> DataFrame:
     return C.text_blocks(t.documents).select(
         "doc_id",
         "block_index",
-        C.chunk_id(F.col("source"), F.col("page"), F.col("block_index"), F.col("text")).alias("chunk_id"),
+        C.chunk_id(*[F.col(c) for c in ("doc_id", "source", "page", "block_index", "text")]).alias("chunk_id"),
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 
@@ -17,21 +15,10 @@ def get_spark(app: str = "leafmill", cores: str | None = None) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    if cores is not None or "SPARK_MASTER" not in os.environ:
-        n = cores or os.environ.get("LEAFMILL_CPUS", "8")
+    if cores is not None:  # tests and benchmarks on one machine; a cluster's own settings are never touched
         builder = (
-            builder.master(f"local[{n}]")
+            builder.master(f"local[{cores}]")
             .config("spark.driver.memory", "12g")
-            .config("spark.sql.shuffle.partitions", str(n) if n != "*" else "8")
+            .config("spark.sql.shuffle.partitions", cores)
         )
     return builder.getOrCreate()
-
-
-def checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """The shared folder the cluster names; ``fallback`` only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    spark.sparkContext.setCheckpointDir(named or fallback)
-    return named or fallback

@@ -171,7 +171,7 @@ def task_progress_stream(events: DataFrame, ttl_s: int = 600) -> DataFrame:
 def ingest_chunks(docs: DataFrame) -> DataFrame:
     """Documents to scrubbed blocks with their ids; the same function serves batches and streams."""
     blocks = C.text_blocks(docs.select("doc_id", "source", "text"))
-    ids = C.chunk_id(F.col("source"), F.col("page"), F.col("block_index"), F.col("text"))
+    ids = C.chunk_id(*[F.col(c) for c in ("doc_id", "source", "page", "block_index", "text")])
     return blocks.withColumn("chunk_id", ids).withColumn("text", X.scrub_pii(F.col("text"))).select("chunk_id", "doc_id", "source", "block_index", "text")
 
 

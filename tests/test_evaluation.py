@@ -34,12 +34,20 @@ def test_cer_wer(spark):
         assert r["cer"] == pytest.approx(want_c) and r["wer"] == pytest.approx(want_w)
 
 
-def test_cer_windows(spark):
-    g = "abcdefghij" * 30
-    p = g.replace("a", "x", 20)
-    got = E.with_cer(spark.createDataFrame([(p, g)], "p string, g string"), "p", "g", max_exact=100).first()["cer"]
-    want = np.mean([distance(p[i : i + 100], g[i : i + 100]) / len(g[i : i + 100]) for i in range(0, 300, 50)])
-    assert got == pytest.approx(want)
+def test_cer_of_long_texts(spark):
+    """One measure for every length, whether the distance lies in a narrow band, a wide one or beyond."""
+    for n, changed in ((900, 20), (900, 500), (700, 1400)):
+        g = "abcdefghij" * n
+        p = g.replace("a", "x", changed).replace("b", "é", max(0, changed - n))
+        got = E.with_cer(spark.createDataFrame([(p, g)], "p string, g string"), "p", "g").first()["cer"]
+        assert got == pytest.approx(min(n, changed) / len(g) + max(0, changed - n) / len(g))
+
+
+def test_wer_of_many_distinct_words(spark):
+    g = [f"w{i}" for i in range(60_000)]
+    p = [*g[:100], "new", *g[101:-1]]
+    got = E.with_wer(spark.createDataFrame([(" ".join(p), " ".join(g))], "p string, g string"), "p", "g").first()["wer"]
+    assert got == pytest.approx(2 / 60_000)
 
 
 def test_rouge_l_bleu(spark):
@@ -81,6 +89,10 @@ def test_containing_documents(spark):
     q = spark.createDataFrame([(1, "aaa bbb ccc ddd"), (2, "zzz bbb q")], "query_id int, text string")
     got = E.containing_documents(q, spark.createDataFrame(docs, "doc_id int, text string")).collect()
     assert sorted((r["query_id"], r["doc_id"]) for r in got) == [(1, 1), (1, 2)]
+    docs = [(1, "xab cdy"), (2, "what ?! no"), (3, "é"), (4, ""), (5, None), (6, "ab"), (7, "one two three four")]
+    q = spark.createDataFrame([(1, "ab cd"), (2, "?!"), (3, "é"), (4, "ab"), (5, ""), (6, "two three"), (7, "two three f")], "query_id int, text string")
+    got = E.containing_documents(q, spark.createDataFrame(docs, "doc_id int, text string")).collect()
+    assert sorted((r["query_id"], r["doc_id"]) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 1), (4, 6), (6, 7)]
 
 
 def test_ks(spark):

@@ -89,3 +89,5 @@ def test_intervals_edges(spark):
     i = spark.createDataFrame([(1, 0.0, 10.0, "A"), (1, 10.0, 11.0, "B"), (1, 29.0, 95.0, "C")], "k int, start double, end double, label string")
     got = {r["at"]: r["label"] for r in J.points_in_intervals(p, i, "k", "at", "start", "end", 7.0).collect()}
     assert got == {5.0: "A", 10.0: "A", 12.0: None, 30.0: "C"}
+    twice = J.points_in_intervals(p.unionByName(p), i, "k", "at", "start", "end", 7.0)
+    assert twice.count() == 8 and twice.columns == ["k", "at", "label"]

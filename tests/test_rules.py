@@ -108,3 +108,30 @@ def test_gst_split(spark, seller, buyer, want):
     s = R.gst_split(F.lit(100.0), F.lit(seller), F.lit(buyer))
     r = spark.range(1).select(*[c.alias(n) for n, c in s.items()]).first()
     assert (r["cgst"], r["sgst"], r["igst"]) == want and r["total"] == 118.0
+
+
+def test_fuzzy_order_lines_of_six_words(spark):
+    lines = spark.createDataFrame([(1, "1", "a b c d e f", 1.0), (1, "2", "p q r s t", 1.0)], "invoice int, inv_seq string, inv_text string, unit_price double")
+    po = spark.createDataFrame([(1, "1", "a b c d e f g", 1.0), (1, "2", "p q r s t u", 1.0)], "invoice int, po_seq string, po_text string, po_price double")
+    got = {r["inv_seq"]: (r["po_seq"], r["match"], round(r["score"], 3)) for r in R.po_match(lines, po).collect()}
+    assert got == {"1": ("1", "fuzzy", 0.857), "2": (None, "none", 0.0)}
+
+
+def test_limits_are_honoured_or_refused(spark):
+    from leafmill.operators import ranking
+
+    df = spark.range(300).selectExpr("id", "id * 1.0D as v")
+    assert ranking.top_k(df, "v", "id", 250).count() == 250
+    assert ranking.page(df, ["id"], 200, 50).count() == 200
+    for bad in (lambda: ranking.top_k(df, "v", "id", 0), lambda: ranking.page(df, ["id"], 5, -1)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_cache_replay_is_not_renewed_by_hits(spark):
+    from leafmill.operators.ranking import cached_replay
+
+    rows = [(1, "k", 0, False), (2, "k", 10, True), (3, "k", 1000, True), (4, "k", 1811, True), (5, "k", 1900, False), (6, "j", 1900, True)]
+    df = spark.createDataFrame(rows, "id int, key string, s int, ok boolean").selectExpr("id", "key", "timestamp_seconds(s) as at", "ok")
+    got = {r["id"]: r["hit"] for r in cached_replay(df, "key", "at", "ok", "id", 1800).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: False, 5: True, 6: False}

@@ -80,8 +80,9 @@ def test_pack_words(spark):
 
 def test_subquestions(spark):
     qs = ["What is the total amount due?", "what is the total amount now?", "short", "Who signed the contract then?"]
-    df = spark.createDataFrame([(qs,)], ["q"]).select(dedupe_questions(F.col("q")).alias("x"))
+    df = spark.createDataFrame([(qs,)], ["q"]).select(dedupe_questions(F.col("q"), 10, 20, 4).alias("x"), dedupe_questions(F.col("q")).alias("y"))
     assert df.first()["x"] == ["What is the total amount due?", "Who signed the contract then?"]
+    assert df.first()["y"] == qs
 
 
 def test_filter_grammar(spark):

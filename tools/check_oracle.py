@@ -48,7 +48,7 @@ def main() -> int:
         qs = load_all()
         if a.keys:
             qs = {k: qs[k] for k in a.keys}
-    spark = get_spark()
+    spark = get_spark("leafmill-tools", "8")
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in SCHEMAS:

@@ -21,7 +21,7 @@ def main() -> None:
     ap.add_argument("--sf", default="/root/testdata/sf0.001")
     ap.add_argument("keys", nargs="*")
     a = ap.parse_args()
-    spark = get_spark()
+    spark = get_spark("leafmill-tools", "8")
     spark.sparkContext.setLogLevel("ERROR")
     qs = load_all()
     for key in a.keys or qs:
