@@ -130,7 +130,11 @@ def _quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(bins: DataFrame, fence: int = 5, min_docs: int = 200) -> DataFrame:
-    """``(lang, source, low, m_symbols, ...)``: far-out fences ``q3 + fence * (q3 - q1)`` per language and source."""
+    """``(lang, source, low, m_symbols, ...)``: far-out fences per language and source.
+
+    They lie ``fence`` times the distance of the quartiles beyond them, and at least a quarter of the quartile, so that
+    a group of like documents does not reject the slightly unlike.
+    """
     own = _quartiles(bins, ["lang", "source"])
     lang = _quartiles(bins, ["lang"]).select(
         F.col("lang").alias("l"), F.col("measure").alias("m"), F.struct("q1", "q3", "total").alias("by_lang")
@@ -148,8 +152,8 @@ def thresholds(bins: DataFrame, fence: int = 5, min_docs: int = 200) -> DataFram
         "lang",
         "source",
         "measure",
-        F.greatest(q3 + fence * (q3 - q1), floors.cast("long")).alias("upper"),
-        (q1 - fence * (q3 - q1)).alias("low"),
+        F.greatest(q3 + F.greatest(fence * (q3 - q1), F.shiftright(q3, 2)), floors.cast("long")).alias("upper"),
+        (q1 - F.greatest(fence * (q3 - q1), F.shiftright(q1, 2))).alias("low"),
     )
     return fences.groupBy("lang", "source").agg(
         F.max(F.when(F.col("measure") == TWO_SIDED, F.col("low"))).alias("low"),

@@ -100,8 +100,9 @@ def _quality_sql(fence: int = 5, min_docs: int = 200) -> str:
       join {_quartiles_sql('')} a on o.measure = a.measure),
     edges as (select *, greatest(b1 // 32 - 1, 0)::bigint as e1, greatest(b3 // 32 - 1, 0)::bigint as e3 from chosen),
     limits as (select lang, source, measure,
-      greatest({edges['3']} + {fence} * ({edges['3']} - {edges['1']}), case measure {floors} end) as upper,
-      {edges['1']} - {fence} * ({edges['3']} - {edges['1']}) as low from edges),
+      greatest({edges['3']} + greatest({fence} * ({edges['3']} - {edges['1']}), {edges['3']} // 4),
+        case measure {floors} end) as upper,
+      {edges['1']} - greatest({fence} * ({edges['3']} - {edges['1']}), {edges['1']} // 4) as low from edges),
     odd as (select distinct m.doc_id from measured m
       join limits t on m.lang is not distinct from t.lang and m.source is not distinct from t.source
       where case t.measure {' '.join(f"when '{m}' then m.{m}" for m in quality.MEASURES)} end > t.upper
