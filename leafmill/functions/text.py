@@ -34,7 +34,7 @@ def script_count(c: Column, first: int, last: int) -> Column:
     return F.length(F.regexp_replace(c, rf"[^\x{{{first:X}}}-\x{{{last:X}}}]", ""))
 
 
-def detect_language(c: Column, min_length: int = 10, ratio: float = 0.15, min_count: int = 3) -> Column:
+def detect_language(c: Column, min_length: int = 1, ratio: float = 0.15, min_count: int = 3) -> Column:
     out = F.lit("en")
     for code, first, last in reversed(P.LANGUAGE_SCRIPTS):
         n = script_count(c, first, last)
@@ -70,9 +70,9 @@ def tokenize_wer(c: Column) -> Column:
     return F.flatten(F.transform(split_space(c), one))
 
 
-def normalise_tags(tags: Column, max_len: int = 50) -> Column:
+def normalise_tags(tags: Column, max_len: int | None = None) -> Column:
     cleaned = F.transform(tags, lambda t: F.lower(strip(t)))
-    kept = F.filter(cleaned, lambda t: (t != "") & (F.length(t) <= max_len) & t.rlike(r"^[a-z0-9_\-]+$"))
+    kept = F.filter(cleaned, lambda t: t.rlike(r"^[a-z0-9_\-]+$") & (F.length(t) <= (max_len or 2**31 - 1)))
     return F.array_distinct(kept)
 
 
@@ -80,7 +80,7 @@ def escape_prompt(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(c, r"([<>&\"'\\])", r"\\$1"), F.lit(""))
 
 
-def escape_html(c: Column, max_len: int | None = 100) -> Column:
+def escape_html(c: Column, max_len: int | None = None) -> Column:
     for ch, ent in (
         ("&", "&amp;"),
         ("<", "&lt;"),
@@ -102,7 +102,7 @@ def sanitize_name(c: Column) -> Column:
     ext = F.regexp_extract(base, r"([^.]*)$", 1)
     slug = stem.rlike(r"^[a-z][a-z0-9_-]*[a-z0-9]$") & (F.length(stem) <= 245)
     named = F.when(ext == "", stem).otherwise(F.concat(stem, F.lit("."), ext))
-    cleaned = F.substring(F.regexp_replace(base, r"(?U)[^\w.\-_/]", "_"), 1, 255)
+    cleaned = F.regexp_replace(base, r"(?U)[^\w.\-_/]", "_")
     return F.when(slug, named).otherwise(cleaned)
 
 
@@ -114,13 +114,14 @@ def html_to_text(html: Column) -> Column:
     return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
-def page_file_name(url: Column, max_len: int = 80) -> Column:
+def page_file_name(url: Column, max_len: int | None = None) -> Column:
     place = F.concat(
         F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1),
         F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1),
     )
     place = F.regexp_replace(place, r"^/+|/+$", "")
-    name = F.substring(F.regexp_replace(place, r"(?U)[^\w.-]", "_"), 1, max_len)
+    name = F.regexp_replace(place, r"(?U)[^\w.-]", "_")
+    name = F.substring(name, 1, max_len) if max_len else name
     return F.concat(F.when(name == "", "webpage").otherwise(name), F.lit(".txt"))
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as X
 
 
-def text_blocks(docs: DataFrame, max_blocks: int | None = None, min_chars: int = 8, per_page: int = 10) -> DataFrame:
-    """One row per kept line: ``block_index`` counts all lines, short ones are dropped after the cap."""
+def text_blocks(docs: DataFrame, max_blocks: int | None = None, min_chars: int = 1, per_page: int = 10) -> DataFrame:
+    """One row per line with text: ``block_index`` counts all lines; ``max_blocks`` and ``min_chars`` leave out more if asked."""
     lines = F.split("text", "\n")
     if max_blocks:
         lines = F.slice(lines, 1, max_blocks)

@@ -298,7 +298,7 @@ def mean_available(*cols: Column) -> Column:
     return F.when(F.size(have) > 0, F.round(F.aggregate(have, F.lit(0.0), lambda a, x: a + x) / F.size(have), 6)).otherwise(0.0)
 
 
-def triplets(chunks: DataFrame, n_candidates: int = 5, cut: int = 512) -> DataFrame:
+def triplets(chunks: DataFrame, n_candidates: int = 5) -> DataFrame:
     """(chunk, positive, negative): candidates are other texts of the same source in order, then other sources.
 
     The first n chunks that differ from a given text are always among the first 2n of a list that holds each
@@ -326,7 +326,7 @@ def triplets(chunks: DataFrame, n_candidates: int = 5, cut: int = 512) -> DataFr
     pick = F.get("cand", F.pmod(F.col("seq"), F.greatest(F.size("cand"), F.lit(1))).cast("int"))
     return listed.select(
         "source", "seq", F.col("text").alias("positive"), F.size("cand").alias("n_candidates"),
-        pick["q"].alias("negative_seq"), F.substring(pick["t"], 1, cut).alias("negative"),
+        pick["q"].alias("negative_seq"), pick["t"].alias("negative"),
     )
 
 

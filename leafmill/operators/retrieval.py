@@ -224,35 +224,44 @@ def lexical_logit(query: Column, text: Column) -> Column:
     return (hit / F.greatest(F.size(q), F.lit(1)) - 0.5) * 8
 
 
-def extractive_answer(hits: DataFrame) -> DataFrame:
-    """Best two first sentences out of the top three hits (query_id, question, text, score, rank, source, page)."""
+def extractive_answer(hits: DataFrame, n_lines: int = 2, max_rank: int | None = None) -> DataFrame:
+    """Best ``n_lines`` first sentences of the hits (query_id, question, text, score, rank, source, page)."""
     flat = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
     terms = F.transform(
         F.filter(F.array_distinct(F.transform(X.split_space(F.col("question")), F.lower)), lambda w: F.length(w) > 2),
         lambda w: F.contains(F.lower(F.col("flat")), w).cast("int"),
     )
-    top = hits.where("rank <= 3").withColumn("flat", flat).where("flat <> ''")
-    first = F.trim(F.substring(F.substring_index("flat", ". ", 1), 1, 260))
+    top = (hits if max_rank is None else hits.where(F.col("rank") <= max_rank)).withColumn("flat", flat).where("flat <> ''")
+    first = F.trim(F.substring_index("flat", ". ", 1))
     overlap = F.aggregate(terms, F.lit(0), lambda a, x: a + x) + F.greatest(F.col("score"), F.lit(0.0))
     line = F.concat(F.lit("- "), first, F.lit(" [SOURCE: "), "source", F.lit(", page "), F.col("page") + 1, F.lit("]"))
     lines = F.sort_array(F.collect_list(F.struct(overlap.alias("o"), (-F.col("rank")).alias("r"), line.alias("line"))), asc=False)
-    best = F.transform(F.slice(lines, 1, 2), lambda s: s["line"])
+    best = F.transform(F.slice(lines, 1, n_lines), lambda s: s["line"])
     return top.groupBy("query_id").agg(
         F.concat_ws("\n", F.lit("Extractive answer from indexed text:"), F.array_join(best, "\n")).alias("answer")
     )
 
 
-def build_context(hits: DataFrame, max_docs: int = 10, snippet: int = 500) -> DataFrame:
-    """Context text with source markers for the first ``max_docs`` hits of each query."""
+def build_context(hits: DataFrame, max_docs: int | None = None, snippet: int | None = None) -> DataFrame:
+    """Context text with source markers and the citations behind it, in rank order, for the hits of each query.
+
+    ``max_docs`` and ``snippet`` (characters) leave out more if they are given.
+    """
+    shown = F.substring("text", 1, snippet) if snippet else F.col("text")
+    hits = hits if max_docs is None else hits.where(F.col("rank") <= max_docs)
     part = F.concat(
         F.lit("[SOURCE: "), "source", F.lit(", page "), F.col("page") + 1, F.lit("]\n"),
-        X.escape_prompt(F.substring("text", 1, snippet)),
+        X.escape_prompt(shown),
+    )
+    cite = F.struct(
+        "rank", "source", (F.col("page") + 1).alias("page"), shown.alias("text"), "score", F.col("doc_id").alias("id")
     )
     parts = F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))), lambda s: s["p"])
     body = F.array_join(parts, "\n\n---\n\n")
-    return hits.where(F.col("rank") <= max_docs).groupBy("query_id").agg(
+    return hits.groupBy("query_id").agg(
         F.concat(F.lit("<document_context>\n"), body, F.lit("\n</document_context>")).alias("context"),
         F.count("*").alias("n_citations"),
+        F.array_sort(F.collect_list(cite)).alias("citations"),
     )
 
 

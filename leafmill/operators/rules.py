@@ -338,12 +338,21 @@ def clause_type(title: Column) -> Column:
 
 
 def clauses(chunks: DataFrame, key: str, index: str, text: str, per_group: int = 3) -> DataFrame:
-    """Clause titles of every ``per_group`` consecutive chunks, typed by keyword, title cut at 100."""
+    """Clause titles of every ``per_group`` consecutive chunks, typed by keyword.
+
+    ``clause_text`` runs from the title to the next title of the same pattern order found after it, or to the end.
+    """
     g = chunks.withColumn("grp", F.floor(F.col(index) / per_group))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(index, text))), lambda s: s[text]), "\n\n")
     batches = g.groupBy(key, "grp").agg(joined.alias("_t"))
-    found = batches.select(key, "grp", F.posexplode(X.clause_headings(F.col("_t"))).alias("pos", "_title"))
-    return found.select(key, "grp", "pos", clause_type(F.col("_title")).alias("clause_type"), F.substring("_title", 1, 100).alias("title"))
+    titles = batches.select(key, "grp", "_t", X.clause_headings(F.col("_t")).alias("_titles"))
+    found = titles.select(key, "grp", "_t", "_titles", F.posexplode("_titles").alias("pos", "title"))
+    start = F.instr("_t", F.col("title"))
+    later = F.filter(F.transform("_titles", lambda t: F.call_function("instr", F.col("_t"), t)), lambda p: p > F.col("_start"))
+    end = F.coalesce(F.array_min(later), F.length("_t") + 1)
+    placed = found.withColumn("_start", start).withColumn("_end", end)
+    body = F.substring(F.col("_t"), F.col("_start"), F.col("_end") - F.col("_start"))
+    return placed.select(key, "grp", "pos", clause_type(F.col("title")).alias("clause_type"), "title", body.alias("clause_text"))
 
 
 # Clause weights.
@@ -375,23 +384,23 @@ def missing_clauses(cl: DataFrame, key: str) -> DataFrame:
     return cl.groupBy(key).agg(F.array_except(std, F.collect_set("clause_type")).alias("missing"))
 
 
-def obligations(chunks: DataFrame, keys: list[str], text: str, cut: int = 300) -> DataFrame:
+def obligations(chunks: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Sentences that hold an obligation word, from chunks that pass the keyword gate."""
     gate = chunks.where(X.contains_any(F.col(text), P.OBLIGATION_WORDS))
     s = F.filter(X.sentences(F.col(text)), lambda x: X.contains_any(x, P.OBLIGATION_WORDS))
     rows = gate.select(*keys, F.posexplode(s).alias("pos", "_s"))
-    party = F.substring(F.regexp_extract("_s", r"^((?:The )?[A-Z][\w]*)", 1), 1, 50)
-    return rows.select(*keys, "pos", party.alias("party"), F.substring("_s", 1, cut).alias("obligation"))
+    party = F.regexp_extract("_s", r"^((?:The )?[A-Z][\w]*)", 1)
+    return rows.select(*keys, "pos", party.alias("party"), F.col("_s").alias("obligation"))
 
 
 CODE_SHAPE = r"\b[A-TV-Z][0-9][0-9A-B](?:\.[0-9A-TV-Z]{1,4})?\b"
 
 
-def clinical_codes(chunks: DataFrame, doc: str, index: str, text: str, cut: int = 200) -> DataFrame:
+def clinical_codes(chunks: DataFrame, doc: str, index: str, text: str) -> DataFrame:
     """Code-shaped strings of clinical chunks, first occurrence per document."""
     gate = chunks.where(X.contains_any(F.col(text), P.CLINICAL_WORDS))
     hits = gate.select(doc, index, text, F.posexplode(F.regexp_extract_all(text, F.lit(CODE_SHAPE), F.lit(0))).alias("pos", "code"))
-    first = F.min(F.struct(index, "pos", F.substring(text, 1, cut).alias("evidence")))
+    first = F.min(F.struct(index, "pos", F.col(text).alias("evidence")))
     return hits.groupBy(doc, "code").agg(first.alias("f")).select(doc, "code", f"f.{index}", "f.evidence", F.lit(0.8).alias("confidence"))
 
 

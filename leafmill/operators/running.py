@@ -48,15 +48,20 @@ def _split_points(df: DataFrame, keys: list[str], value: str, n_bins: int) -> Da
 
 
 def cumulative_counts(
-    df: DataFrame, keys: list[str], value: str, counts: dict[str, Column] | None = None, n_bins: int = 64
+    df: DataFrame, keys: list[str], value: str, counts: dict[str, Column] | None = None, n_bins: int | None = None
 ) -> DataFrame:
-    """Distinct values per group with running counts (``cum_*``) and group totals (``total_*``)."""
+    """Distinct values per group with running counts (``cum_*``) and group totals (``total_*``).
+
+    A group is cut into ``n_bins`` bins: by default one for each 100,000 rows of the input, 64 at least.
+    """
     counts = counts or {"n": F.lit(1)}
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     if not keys:
         clean, keys_ = clean.withColumn("_all", F.lit(0)), ["_all"]
     else:
         keys_ = keys
+    if n_bins is None:
+        n_bins = min(10_000, max(64, clean.count() // 100_000))
     dist = clean.groupBy(*keys_, value).agg(*[F.sum(c).alias(n) for n, c in counts.items()])
     splits = _split_points(clean, keys_, value, n_bins)
     binned = dist.join(splits, keys_)

@@ -159,14 +159,14 @@ def onboarding_flags(t: Tables) -> DataFrame:
 @query(
     "citation_stats",
     "A10",
-    f"""with {BLOCKS}, p as (select source, page, count(*) as n, round(avg(length(text) / 1000.0), 3) as mean_confidence from blocks group by all)
+    f"""with {BLOCKS}, p as (select source, page, count(*) as n, round(round(sum(length(text))::double / count(*) / 1000, 9), 3) as mean_confidence from blocks group by all)
 select source, page, n, mean_confidence, sum(n) over (partition by source)::bigint as total from p""",
 )
 def citation_stats(t: Tables) -> DataFrame:
     pages = (
         C.text_blocks(t.documents)
         .groupBy("source", "page")
-        .agg(F.count("*").alias("n"), F.round(F.avg(F.length("text") / 1000.0), 3).alias("mean_confidence"))
+        .agg(F.count("*").alias("n"), A.tidy(F.sum(F.length("text")) / F.count("*") / 1000, 3).alias("mean_confidence"))
     )
     totals = pages.groupBy("source").agg(F.sum("n").alias("total"))
     return pages.join(totals, "source")

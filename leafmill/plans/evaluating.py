@@ -133,7 +133,8 @@ x as (select conv_id, turn, list_distinct({words_sql('lower(answer)')}) as a, li
    list_dot_product(ea.v, eq.v) as aq, list_dot_product(ea.v, ec.v) as ac
    from c left join e ea on ea.id = conv_id * 1000 + turn left join e eq on eq.id = conv_id * 1000 + turn - 1 left join e ec on ec.id = cid and ctx is not null)
 select conv_id, turn, round(least(1.0, len(list_intersect(a, c)) / (len(a) + 1e-9)), 6) as faithfulness, round(greatest(0, aq), 6) as answer_relevancy,
-  round(greatest(0, aq, coalesce(ac, 0)), 6) as context_precision from x""",
+  round(greatest(0, aq, coalesce(ac, 0)), 6) as context_precision, round((round(least(1.0, len(list_intersect(a, c)) / (len(a) + 1e-9)), 6)
+  + round(greatest(0, aq), 6) + round(greatest(0, aq, coalesce(ac, 0)), 6)) / 3, 5)::double as mean_score from x""",
 )
 def offline_scores(t: Tables) -> DataFrame:
     """Contexts of a turn are the two turns before it; vectors are the hashed ones."""
@@ -153,7 +154,7 @@ def offline_scores(t: Tables) -> DataFrame:
         F.round(F.least(F.lit(1.0), F.size(F.array_intersect(a, c)) / (F.size(a) + 1e-9)), 6).alias("faithfulness"),
         F.round(F.greatest(F.lit(0.0), aq), 6).alias("answer_relevancy"),
         F.round(F.greatest(F.lit(0.0), aq, F.coalesce(ac, F.lit(0.0))), 6).alias("context_precision"),
-    )
+    ).withColumn("mean_score", F.round((F.col("faithfulness") + F.col("answer_relevancy") + F.col("context_precision")) / 3, 5))
 
 
 # The oracle's distance counts bytes: accented letters of the lower-cased texts become single bytes that are free.
@@ -349,7 +350,7 @@ oth as (select a.source, a.seq, h.seq as q, h.text as t, 1 as grp from a join he
 r as (select *, row_number() over (partition by seq order by grp, q) as rn from (select * from same union all select * from oth)),
 l as (select source, seq, list(q order by rn) as qs, list(t order by rn) as ts from r where rn <= 5 group by all)
 select a.source, a.seq, a.text as positive, coalesce(len(qs), 0)::int as n_candidates, qs[(a.seq % len(qs) + 1)::int] as negative_seq,
-  substr(ts[(a.seq % len(qs) + 1)::int], 1, 512) as negative from a left join l using (seq)""",
+  ts[(a.seq % len(qs) + 1)::int] as negative from a left join l using (seq)""",
 )
 def triplets(t: Tables) -> DataFrame:
     chunks = C.text_blocks(t.documents).select(

@@ -100,13 +100,13 @@ def merge_entities(t: Tables) -> DataFrame:
 @query(
     "merge_relationships",
     "M2",
-    f"""with {GRAPH}, r as (select 'O' || l_orderkey as src, 'INVOLVES' as type, 'S' || l_suppkey as dst, l_quantity as weight, l_partkey * 10 + l_linenumber as v from lineitem)
+    f"""with {GRAPH}, r as (select 'O' || l_orderkey as src, 'INVOLVES' as type, 'S' || l_suppkey as dst, l_quantity as weight, (l_partkey * 10 + l_linenumber) * 1000 + l_quantity::bigint as v from lineitem)
 select src, type, dst, arg_max(weight, v) as weight from r where src in (select id from v) and dst in (select id from v where id <> 'S7') group by 1, 2, 3""",
 )
 def merge_relationships(t: Tables) -> DataFrame:
     rows = t.lineitem.select(
         _id("O", "l_orderkey").alias("src"), F.lit("involves!").alias("type"), _id("S", "l_suppkey").alias("dst"),
-        F.col("l_quantity").alias("weight"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("v"),
+        F.col("l_quantity").alias("weight"), ((F.col("l_partkey") * 10 + F.col("l_linenumber")) * 1000 + F.col("l_quantity").cast("bigint")).alias("v"),
     )
     return G.merge_relationships(rows, vertices(t).where("id <> 'S7'"), ["weight"], "v")
 

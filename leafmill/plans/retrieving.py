@@ -221,10 +221,10 @@ def rerank_score(t: Tables) -> DataFrame:
 @query(
     "extractive_answer",
     "R12",
-    rf"""with {HITS}, f as (select *, trim(regexp_replace(text, '\s+', ' ', 'g')) as flat from hits where rank <= 3),
+    rf"""with {HITS}, f as (select *, trim(regexp_replace(text, '\s+', ' ', 'g')) as flat from hits),
 o as (select query_id, rank, greatest(score, 0) + list_sum(list_transform(list_filter(list_distinct(list_transform(regexp_split_to_array(question, '\s+'), lambda w: lower(w))), lambda w: length(w) > 2),
     lambda w: contains(lower(flat), w)::int)) as o,
-   '- ' || trim(substr(split_part(flat, '. ', 1), 1, 260)) || ' [SOURCE: ' || source || ', page ' || (page + 1) || ']' as line from f where flat <> ''),
+   '- ' || trim(split_part(flat, '. ', 1)) || ' [SOURCE: ' || source || ', page ' || (page + 1) || ']' as line from f where flat <> ''),
 b as (select *, row_number() over (partition by query_id order by o desc, rank) as rn from o)
 select query_id, 'Extractive answer from indexed text:' || chr(10) || string_agg(line, chr(10) order by rn) as answer from b where rn <= 2 group by 1""",
 )
@@ -236,11 +236,13 @@ def extractive_answer(t: Tables) -> DataFrame:
     "build_context",
     "R13",
     rf"""with {HITS} select query_id, '<document_context>' || chr(10) || string_agg('[SOURCE: ' || source || ', page ' || (page + 1) || ']' || chr(10) ||
-   regexp_replace(substr(text, 1, 500), '([<>&"''\\])', '\\\1', 'g'), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) || chr(10) || '</document_context>' as context,
-  count(*) as n_citations from hits group by 1""",
+   regexp_replace(text, '([<>&"''\\])', '\\\1', 'g'), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) || chr(10) || '</document_context>' as context,
+  count(*) as n_citations, md5(string_agg(rank || '|' || source || '|' || (page + 1) || '|' || doc_id || '|' || text, chr(10) order by rank)) as citations_md5 from hits group by 1""",
 )
 def build_context(t: Tables) -> DataFrame:
-    return R.build_context(ranked_hits(t, 10))
+    built = R.build_context(ranked_hits(t, 10))
+    line = F.transform("citations", lambda c: F.concat_ws("|", c["rank"], c["source"], c["page"], c["id"], c["text"]))
+    return built.select("query_id", "context", "n_citations", F.md5(F.array_join(line, "\n")).alias("citations_md5"))
 
 
 @query(

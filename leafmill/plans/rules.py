@@ -336,10 +336,11 @@ def _contract_chunks(t: Tables) -> DataFrame:
     "clauses",
     "X8",
     rf"""with {BLOCKS}, {_CHUNK_SQL}, g as (select doc_id, (block_index // 3)::bigint as grp, string_agg(text, chr(10) || chr(10) order by block_index) as txt from ck group by all),
-h as (select doc_id, grp, regexp_extract_all(txt, '(?:Section|Article|Clause|§)\s*[\d\.]+[A-Za-z]?\s*[:\.]?\s*([A-Z][^\.]{{5,80}})', 1) || regexp_extract_all(txt, '\b(?:WHEREAS|NOW,?\s+THEREFORE|IN\s+WITNESS)\b')
+h as (select doc_id, grp, txt, regexp_extract_all(txt, '(?:Section|Article|Clause|§)\s*[\d\.]+[A-Za-z]?\s*[:\.]?\s*([A-Z][^\.]{{5,80}})', 1) || regexp_extract_all(txt, '\b(?:WHEREAS|NOW,?\s+THEREFORE|IN\s+WITNESS)\b')
    || regexp_extract_all(txt, '\b(?:\d+\.\d+)\s+([A-Z][a-z][\w\s]{{5,60}})\b', 1) as h from g),
-e as (select doc_id, grp, i::int as pos, h[i + 1] as title from (select *, unnest(range(len(h))) as i from h))
-select doc_id, grp, pos, substr(title, 1, 100) as title, case {' '.join(f"when contains(lower(title), '{w}') then '{k}'" for w, k in R.CLAUSE_WORDS)} else 'other' end as clause_type from e""",
+e as (select doc_id, grp, i::int as pos, h[i + 1] as title, txt, instr(txt, h[i + 1]) as s, list_transform(h, lambda t: instr(txt, t)) as places from (select *, unnest(range(len(h))) as i from h)),
+c as (select *, substr(txt, s, coalesce(list_min(list_filter(places, lambda p: p > s)), length(txt) + 1) - s) as clause_text from e)
+select doc_id, grp, pos, title, clause_text, case {' '.join(f"when contains(lower(title), '{w}') then '{k}'" for w, k in R.CLAUSE_WORDS)} else 'other' end as clause_type from c""",
 )
 def clauses(t: Tables) -> DataFrame:
     return R.clauses(_contract_chunks(t), "doc_id", "block_index", "text")
@@ -351,7 +352,7 @@ def clauses(t: Tables) -> DataFrame:
     rf"""with {BLOCKS}, {_CHUNK_SQL}, s as (select doc_id, block_index, list_filter(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
    lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda x: {any_of('lower(x)', P.OBLIGATION_WORDS)}) as s from ck where {any_of('lower(text)', P.OBLIGATION_WORDS)}),
 e as (select doc_id, block_index, unnest(range(len(s))) as i, s from s)
-select doc_id, block_index, i::int as pos, substr(regexp_extract(s[i + 1], '^((?:The )?[A-Z][\w]*)', 1), 1, 50) as party, substr(s[i + 1], 1, 300) as obligation from e""",
+select doc_id, block_index, i::int as pos, regexp_extract(s[i + 1], '^((?:The )?[A-Z][\w]*)', 1) as party, s[i + 1] as obligation from e""",
 )
 def obligations(t: Tables) -> DataFrame:
     return R.obligations(_contract_chunks(t), ["doc_id", "block_index"], "text")
@@ -364,7 +365,7 @@ def obligations(t: Tables) -> DataFrame:
 h as (select doc_id, block_index, text, regexp_extract_all(text, {quote(R.CODE_SHAPE)}) as h from c where {any_of('lower(text)', P.CLINICAL_WORDS)}),
 e as (select doc_id, block_index, text, i as pos, h[i + 1] as code from (select *, unnest(range(len(h))) as i from h)),
 r as (select *, row_number() over (partition by doc_id, code order by block_index, pos) as rn from e)
-select doc_id, code, block_index, substr(text, 1, 200) as evidence, 0.8::double as confidence from r where rn = 1""",
+select doc_id, code, block_index, text as evidence, 0.8::double as confidence from r where rn = 1""",
 )
 def clinical_codes(t: Tables) -> DataFrame:
     codes = F.array(*[F.lit(c) for c in ("E11.9", "I10", "J45.909", "M54.5")])

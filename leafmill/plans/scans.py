@@ -82,13 +82,13 @@ with a as (
     regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)', 1), '^/+|/+$', '', 'g') as place
   from pages)
 select page_id, text, case when place = '' then 'webpage'
-  else substr(regexp_replace(place, '[^\p{L}\p{N}\p{M}_.-]', '_', 'g'), 1, 80) end || '.txt' as file_name
-from a where length(text) >= 50""",
+  else regexp_replace(place, '[^\p{L}\p{N}\p{M}_.-]', '_', 'g') end || '.txt' as file_name
+from a""",
 )
 def html_to_text(t: Tables) -> DataFrame:
     return t.pages.select(
         "page_id", X.html_to_text(F.col("html")).alias("text"), X.page_file_name(F.col("url")).alias("file_name")
-    ).where(F.length("text") >= 50)
+    )
 
 
 @query("text_blocks", "S4", f"with {BLOCKS} select doc_id, source, block_index, page, text from blocks")

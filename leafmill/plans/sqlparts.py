@@ -9,7 +9,7 @@ LINES = """lines as (
         from (select *, string_split(text, chr(10)) as l from documents)))"""
 
 BLOCKS = LINES + """,
-blocks as (select doc_id, lang, source, block_index, page, text from lines where length(text) >= 8)"""
+blocks as (select doc_id, lang, source, block_index, page, text from lines where length(text) >= 1)"""
 
 
 def tokens_sql(col: str) -> str:

@@ -64,6 +64,18 @@ def ingest_chunks(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "session_windows",
+    "ST7",
+    """with e as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as opens from events),
+s as (select *, sum(opens) over (partition by user_id order by ts) as session from e)
+select user_id, min(ts) as session_start, max(ts) + interval 30 minutes as session_end, count(*) as n_events, round(sum(value), 6) as total from s group by user_id, session""",
+)
+def session_windows(t: Tables) -> DataFrame:
+    s = S.session_windows(_events(t)).withColumn("total", F.round("total", 6))
+    return _ntz(s, "session_start", "session_end")
+
+
 @query(
     "alert_rules",
     "ST8",

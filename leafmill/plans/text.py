@@ -479,7 +479,7 @@ def tokenize_wer(t: Tables) -> DataFrame:
     "C19",
     rf"""
 with w as (select doc_id, list_filter(list_transform({words_sql('text')}, lambda x: lower(x)),
-    lambda x: length(x) <= 50 and regexp_full_match(x, '[a-z0-9_\-]+')) as w from documents),
+    lambda x: regexp_full_match(x, '[a-z0-9_\-]+')) as w from documents),
 e as (select doc_id, unnest(range(len(w))) as i, w from w),
 f as (select doc_id, w[i + 1] as tag, min(i) as i from e group by 1, 2)
 select doc_id, count(*)::int as n_tags, md5(string_agg(tag, ',' order by i)) as tags_md5 from f group by doc_id""",
@@ -500,13 +500,13 @@ def normalise_tags(t: Tables) -> DataFrame:
 with h as (select page_id, html, regexp_extract(url, '([^/]*)/*$', 1) as base from pages),
 e as (select page_id, base,
   regexp_replace(html, '([<>&"''\\])', '\\\1', 'g') as prompt,
-  substr(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'),
-    '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), '/', '&#x2F;'), 'javascript\s*:', '', 'gi'), 'data\s*:', '', 'gi'), 1, 100) as display,
+  regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'),
+    '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), '/', '&#x2F;'), 'javascript\s*:', '', 'gi'), 'data\s*:', '', 'gi') as display,
   lower(replace(regexp_extract(base, '^(.*)\.[^.]*$', 1), '.', '_')) as stem, regexp_extract(base, '([^.]*)$', 1) as ext from h)
 select page_id, md5(prompt) as prompt_md5, display,
   case when regexp_full_match(stem, '[a-z][a-z0-9_-]*[a-z0-9]') and length(stem) <= 245
     then case when ext = '' then stem else stem || '.' || ext end
-    else substr(regexp_replace(base, '[^\p{L}\p{N}\p{M}_.\-/]', '_', 'g'), 1, 255) end as file_name from e""",
+    else regexp_replace(base, '[^\p{L}\p{N}\p{M}_.\-/]', '_', 'g') end as file_name from e""",
 )
 def string_cleaners(t: Tables) -> DataFrame:
     return t.pages.select(
@@ -567,7 +567,7 @@ def to_markdown(t: Tables) -> DataFrame:
 _EMBED_SQL = f"""
 with {LINES},
 b as (select doc_id, block_index, case block_index % 4 when 0 then 'table' when 1 then 'figure' when 2 then 'form' else 'paragraph' end as bt, text
-      from lines where length(text) >= 8),
+      from lines where length(text) >= 1),
 f as (select *, case bt
   when 'table' then 'lines of ' || doc_id || chr(10) || chr(10) || '| ' || substr(text, 1, 20) || ' |'
   when 'figure' then '[Bar Chart] ' || text || chr(10) || chr(10) || 'Key data:' || chr(10) || '• ' || block_index || chr(10) || '• ' || doc_id

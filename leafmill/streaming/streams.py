@@ -47,6 +47,16 @@ def usage_counters(events: DataFrame, key: str = "user_id", every: str = "1 day"
     )
 
 
+def session_windows(events: DataFrame, key: str = "user_id", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Sessions of each key: events less than ``gap`` apart belong together; ends are the last event plus the gap."""
+    return (
+        events.withWatermark("ts", late)
+        .groupBy(F.session_window("ts", gap).alias("w"), key)
+        .agg(F.count("*").alias("n_events"), F.sum("value").alias("total"))
+        .select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events", "total")
+    )
+
+
 def alert_rules(requests: DataFrame, window: str, slide: str) -> DataFrame:
     """Rules over requests(ts, is_error, seconds, is_quota, is_pending) per sliding window.
 
