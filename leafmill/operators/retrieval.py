@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -73,8 +72,8 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id",
     return top_k_per_key(scored, [query_key], "score", key, k)
 
 
-MAX_LOCAL_QUERIES = 4096
-CELL_ROWS = 50_000
+#: What a task holds of each side at once, as doubles.
+BLOCK_BYTES = 32 << 20
 
 
 def _best(qid: np.ndarray, qmat: np.ndarray, vid: np.ndarray, vmat: np.ndarray, k: int) -> pd.DataFrame:
@@ -96,49 +95,48 @@ def _unit(rows) -> np.ndarray:
     return m / np.where(n > 1e-12, n, 1.0)[:, None]
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, max_dim: int = 4096) -> DataFrame:
+def without_vector(df: DataFrame, column: str = "embedding") -> DataFrame:
+    """Rows that no vector search can find: null or empty vectors."""
+    return df.where(F.coalesce(F.size(column), F.lit(-1)) <= 0)
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, block_bytes: int | None = None) -> DataFrame:
     """Exact cosine top-k: queries(query_id, embedding) against vectors(vec_id, embedding).
 
-    Up to ``MAX_LOCAL_QUERIES`` queries (counted first) are sent to every task and the vectors stream past
-    them without a shuffle. More queries go through blocks: query blocks and vector cells of bounded size
-    meet on (block, cell). Either way a block yields at most k rows per query before the final cut.
+    Query blocks and vector cells of at most ``block_bytes`` each meet on (block, cell), so neither side passes
+    through the driver and a task's memory does not grow with the data; a cell yields at most k rows per query (and
+    ties) before the final cut. Rows of ``without_vector`` take no part.
     """
+    block_bytes = block_bytes or BLOCK_BYTES
     qt, vt = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["vec_id"]
-    schema = f"query_id {qt}, vec_id {vt}, score double"
-    ok = (F.size("embedding") > 0) & (F.size("embedding") <= max_dim)
-    queries, vectors = queries.where(ok).select("query_id", "embedding"), vectors.where(ok).select("vec_id", "embedding")
-    head = queries.limit(MAX_LOCAL_QUERIES + 1).collect()
-    if not head:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
-    if len(head) <= MAX_LOCAL_QUERIES:
-        shared = vectors.sparkSession.sparkContext.broadcast(
-            (np.array([r["query_id"] for r in head]), _unit([r["embedding"] for r in head]))
-        )
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qid, qmat = shared.value
-            for pdf in batches:
-                if len(pdf):
-                    yield _best(qid, qmat, pdf["vec_id"].to_numpy(), np.array(pdf["embedding"].tolist(), dtype="float64"), k)
-
-        part = vectors.mapInPandas(scan, schema)
-    else:
-        n_blocks = max(1, -(-queries.count() // MAX_LOCAL_QUERIES))
-        n_cells = max(1, -(-vectors.count() // CELL_ROWS))
-        q = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn(
-            "_c", F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1)))
-        )
-        v = vectors.withColumn("_c", F.pmod(F.xxhash64("vec_id"), F.lit(n_cells)).cast("int")).withColumn(
-            "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
-        )
-
-        def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-            vecs = np.array(right["embedding"].tolist(), dtype="float64")
-            return _best(left["query_id"].to_numpy(), _unit(left["embedding"]), right["vec_id"].to_numpy(), vecs, k)
-
-        part = q.groupBy("_b", "_c").cogroup(v.groupBy("_b", "_c")).applyInPandas(cell, schema)
+    queries = queries.where(F.size("embedding") > 0).select("query_id", "embedding")
+    vectors = vectors.where(F.size("embedding") > 0).select("vec_id", "embedding")
+
+    def blocks(df: DataFrame) -> tuple[int, int]:
+        n, dim = df.agg(F.count("*"), F.max(F.size("embedding"))).first()
+        return n, max(1, -(-n * (dim or 0) * 8 // block_bytes))
+
+    (_, n_blocks), (n_vectors, n_cells) = blocks(queries), blocks(vectors)
+    spread = vectors.sparkSession.sparkContext.defaultParallelism
+    n_cells = max(n_cells, min(spread, -(-n_vectors // 1_000)), 1)
+    q = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn(
+        "_c", F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1)))
+    )
+    v = vectors.withColumn("_c", F.pmod(F.xxhash64("vec_id"), F.lit(n_cells)).cast("int")).withColumn(
+        "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
+    )
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        vecs = np.array(right["embedding"].tolist(), dtype="float64")
+        return _best(left["query_id"].to_numpy(), _unit(left["embedding"]), right["vec_id"].to_numpy(), vecs, k)
+
+    part = (
+        q.groupBy("_b", "_c")
+        .cogroup(v.groupBy("_b", "_c"))
+        .applyInPandas(cell, f"query_id {qt}, vec_id {vt}, score double")
+    )
     return top_k_per_key(part, ["query_id"], "score", "vec_id", k)
 
 

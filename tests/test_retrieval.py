@@ -43,15 +43,15 @@ def test_bm25(spark, monkeypatch, limit):
         assert {r["doc_id"]: r["score"] for r in got if r["query_id"] == qid} == pytest.approx(brute_bm25(text), abs=1e-6)
 
 
-@pytest.mark.parametrize("bound", [4096, 3])
-def test_dense_paths_agree(spark, monkeypatch, bound):
-    monkeypatch.setattr(R, "MAX_LOCAL_QUERIES", bound)
-    monkeypatch.setattr(R, "CELL_ROWS", 40)
+@pytest.mark.parametrize("block_bytes", [None, 200])
+def test_dense_blocks_agree(spark, block_bytes):
     rng = np.random.default_rng(1)
     vecs, qs = rng.normal(size=(150, 8)), rng.normal(size=(7, 8))
     v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vecs)], "vec_id int, embedding array<double>")
     q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(qs)], "query_id int, embedding array<double>")
-    got = R.dense_topk(q, v, 5).toPandas()
+    v = v.unionByName(spark.createDataFrame([(900, []), (901, None)], v.schema))
+    assert sorted(r["vec_id"] for r in R.without_vector(v).collect()) == [900, 901]
+    got = R.dense_topk(q, v, 5, block_bytes).toPandas()
     sims = (qs / np.linalg.norm(qs, axis=1)[:, None]) @ (vecs / np.linalg.norm(vecs, axis=1)[:, None]).T
     for i in range(7):
         mine = got[got["query_id"] == i].sort_values("rank")["vec_id"].tolist()
