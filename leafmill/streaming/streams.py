@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import Any
 
@@ -90,8 +91,9 @@ def latest_state(events: DataFrame, key: str, order: Column, value: Column) -> D
 def rate_limit_stream(requests: DataFrame, window_s: int) -> DataFrame:
     """Allow or deny requests(key, grp, request_id, ts) per key and endpoint group.
 
-    A request passes when fewer than ``limit`` requests precede it in the window, so the last ``limit``
-    times are all the state a key needs, however busy it is. State ends one minute after the window.
+    A request passes when fewer than ``limit`` requests precede it in the window. The state holds the times of two
+    windows, so that a request as late as the watermark lets in is judged by what came before it in time; decisions
+    already given out are not revised. State ends one minute after the window.
     """
     window_us = window_s * 1_000_000
 
@@ -102,11 +104,13 @@ def rate_limit_stream(requests: DataFrame, window_s: int) -> DataFrame:
         limit = RATE_LIMITS.get(k[1], RATE_LIMITS["default"])
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["at_us", "request_id"])
+        # requests of one instant all see each other; a late one sees only what lies before it
+        times = sorted(times + rows["at_us"].tolist())
         for at, group in rows.groupby("at_us", sort=True):
-            # requests of one instant all see each other
-            times = (times + [at] * len(group))[-(limit + 1) :]
-            n = sum(1 for t in times if t > at - window_us)
+            n = bisect_right(times, at) - bisect_right(times, at - window_us)
             yield pd.DataFrame({"key": k[0], "grp": k[1], "request_id": group["request_id"], "allowed": n <= limit})
+        # what a request as late as the watermark lets in may still need
+        times = times[bisect_right(times, times[-1] - 2 * window_us) :]
         state.update((times,))
         state.setTimeoutTimestamp(max(int(times[-1] // 1000 + (window_s + 60) * 1000), state.getCurrentWatermarkMs() + 1))
 

@@ -47,6 +47,27 @@ def test_rate_limit_stream(spark, sf, folder):
     assert not out["allowed"].all()
 
 
+@pytest.mark.parametrize("late", [False, True])
+def test_rate_limit_stream_in_batches(spark, folder, late):
+    """State across micro-batches; a late request within the watermark gets the batch answer too."""
+    window, t = 3600, pd.Timestamp("2024-01-01")
+    n = 30
+    ids = list(range(n))
+    order = [*ids[:12], *ids[13:], 12] if late else ids
+    rows = [(i, (t + pd.Timedelta(minutes=2 * i)).to_pydatetime(), "k", "ingest") for i in ids]
+    schema = "request_id int, ts timestamp, key string, grp string"
+    for b in range(3):
+        part = [rows[i] for i in order[b * 10 : (b + 1) * 10]]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+    out = spark.read.parquet(drain(S.rate_limit_stream(src, window), folder)).toPandas()
+    want = sliding_rate_limit(spark.createDataFrame(rows, schema), ["key"], "grp", window, "request_id").toPandas()
+    got, want = (dict(zip(d["request_id"], d["allowed"])) for d in (out, want))
+    assert got[12] == want[12] and len(got) == n
+    if not late:
+        assert got == want
+
+
 def test_windows_match_batch(spark, sf, folder):
     stream, ev = events(spark, sf, folder)
     out = spark.read.parquet(drain(S.usage_counters(stream), folder)).toPandas()
