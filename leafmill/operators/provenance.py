@@ -18,22 +18,31 @@ def highlight_color(score: Column) -> Column:
     return F.when(s >= 0.85, "green").when(s >= 0.60, "yellow").otherwise("red")
 
 
-def find_text_span(page: Column, chunk: Column, search: int | None = None) -> Column:
-    """struct(start, end, stage): exact, then the first 100 characters, then any white space between words.
+def find_text_span(page: Column, chunk: Column, search: int | None = None, prefix: int | None = None) -> Column:
+    """struct(start, end, stage): the whole chunk exactly (1), its first ``prefix`` characters if asked for (2), or the
+    whole chunk with any white space between words (3).
 
-    ``search`` limits how far into the page to look; by default the whole page counts.
+    ``end`` is the end of what was matched. ``search`` limits how far into the page to look; by default the whole page
+    counts.
     """
     page = F.substring(page, 1, search) if search else page
     needle = X.strip(chunk)
-    short = X.strip(F.substring(needle, 1, 100))
-    norm = X.strip(F.regexp_replace(F.substring(needle, 1, 200), r"(?U)\s+", " "))
-    pattern = F.regexp_replace(F.regexp_replace(norm, r"([^\p{L}\p{N}\s])", r"\\$1"), " ", r"\\s+")
+    norm = X.strip(F.regexp_replace(needle, r"(?U)\s+", " "))
+    pattern = F.concat(
+        F.lit("(?U)"), F.regexp_replace(F.regexp_replace(norm, r"([^\p{L}\p{N}\s])", r"\\$1"), " ", r"\\s+")
+    )
     exact = F.position(needle, page)
+    short = X.strip(F.substring(needle, 1, prefix)) if prefix else F.lit("")
     partial = F.when(F.length(short) >= 20, F.position(short, page)).otherwise(0)
-    loose = F.when(F.length(norm) >= 20, F.regexp_instr(page, F.concat(F.lit("(?U)"), pattern))).otherwise(0)
+    loose = F.regexp_instr(page, pattern)
     start = F.when(exact > 0, exact).when(partial > 0, partial).when(loose > 0, loose) - 1
     stage = F.when(exact > 0, 1).when(partial > 0, 2).when(loose > 0, 3).otherwise(0)
-    end = F.least(start + F.length(needle), F.length(page))
+    length = (
+        F.when(exact > 0, F.length(needle))
+        .when(partial > 0, F.length(short))
+        .when(loose > 0, F.length(F.regexp_substr(page, pattern)))
+    )
+    end = start + length
     blank = (needle == "") | (X.strip(page) == "")
     return F.when(~blank, F.struct(start.alias("start"), end.alias("end"), stage.alias("stage")))
 

@@ -18,12 +18,12 @@ from leafmill.sources.tables import Tables
     "find_text_span",
     "E13",
     rf"""with {BM25}, c as (select b.query_id, b.doc_id, b.score, d.text as page, regexp_replace(q.text, '^\s+|\s+$', '', 'g') as needle from bm b join documents d using (doc_id) join benchmark q on q.item_id = b.query_id where rank <= 10),
-n as (select *, trim(substr(needle, 1, 100)) as short, trim(regexp_replace(substr(needle, 1, 200), '\s+', ' ', 'g')) as norm from c),
-s0 as (select *, strpos(page, needle) as e, case when length(short) >= 20 then strpos(page, short) else 0 end as p,
-  case when length(norm) >= 20 then strpos(page, nullif(regexp_extract(page, replace(regexp_replace(norm, '([^\p{{L}}\p{{N}}\s])', '\\\1', 'g'), ' ', '\s+')), '')) else 0 end as l0 from n), s as (select *, coalesce(l0, 0) as l from s0)
-select query_id, doc_id, (case when e > 0 then e when p > 0 then p when l > 0 then l end - 1)::int as "start",
- case when greatest(e, p, l) > 0 then least(case when e > 0 then e when p > 0 then p else l end - 1 + length(needle), length(page)) end::int as "end",
- case when e > 0 then 1 when p > 0 then 2 when l > 0 then 3 else 0 end::int as stage, case when score >= 120 then 'green' when score >= 90 then 'yellow' else 'red' end as color from s""",
+n as (select *, trim(regexp_replace(needle, '\s+', ' ', 'g')) as norm from c),
+s0 as (select *, strpos(page, needle) as e, nullif(regexp_extract(page, replace(regexp_replace(norm, '([^\p{{L}}\p{{N}}\s])', '\\\1', 'g'), ' ', '\s+')), '') as found from n),
+s as (select *, coalesce(strpos(page, found), 0) as l from s0)
+select query_id, doc_id, (case when e > 0 then e when l > 0 then l end - 1)::int as "start",
+ (case when e > 0 then e - 1 + length(needle) when l > 0 then l - 1 + length(found) end)::int as "end",
+ case when e > 0 then 1 when l > 0 then 3 else 0 end::int as stage, case when score >= 120 then 'green' when score >= 90 then 'yellow' else 'red' end as color from s""",
 )
 def find_text_span(t: Tables) -> DataFrame:
     hits = bm25_topk(passages(t), t.documents, 10)

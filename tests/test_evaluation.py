@@ -113,6 +113,12 @@ def test_spans(spark):
     assert (got[0]["start"], got[0]["stage"]) == (page.index("quick"), 1)
     assert (got[1]["start"], got[1]["stage"]) == (page.index("The quick"), 3)
     assert got[2]["start"] is None and got[3] is None
+    assert page[got[1]["start"] : got[1]["end"]] == "The quick brown\n  fox jumps over the lazy dog"
+    long = "The quick brown\n  fox jumps, and then " + "something else. " * 20
+    one = spark.createDataFrame([(page, long)], "p string, c string")
+    assert one.select(V.find_text_span(F.col("p"), F.col("c"))["stage"]).first()[0] == 0
+    part = one.select(V.find_text_span(F.col("p"), F.col("c"), prefix=27).alias("s")).first()["s"]
+    assert (part["stage"], page[part["start"] : part["end"]]) == (2, "The quick brown\n  fox jumps")
 
 
 def test_opcodes(spark):
