@@ -2,12 +2,13 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again as the
 next one's ``docs``. All but the last return the columns of ``docs``. Rows that repeat a document (same id, same text)
-count as one document from the near-duplicate stage on; empty tables pass through.
+count as one document from the near-duplicate stage on; different texts under one id, or without an id, are different
+documents in the first three stages. Empty tables pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import lines, mixing, packing, quality, simhash
@@ -15,31 +16,47 @@ from leafmill.llm.queries import quality_weights, tokenizer_path
 from leafmill.llm.shared import join_checked, stored, table
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is among ``ids(doc_id)``."""
-    ids = ids.select(F.col("doc_id").alias("_of"))
-    return join_checked(docs, ids, F.col("doc_id").eqNullSafe(F.col("_of")), "left_semi")
+def _identity(*cols: str) -> list[Column]:
+    """``k1, k2``: 128 bits of the columns' values; a null differs from every value."""
+    values = [x for c in cols for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(k), *values).alias(f"k{k}") for k in (1, 2)]
+
+
+def _keyed(docs: DataFrame, key: Column) -> DataFrame:
+    """``docs`` with a row key in ``_row``: ids may be null or stand over several texts, so no stage decides by id alone."""
+    return docs.select("*", key.alias("_row"))
+
+
+def _only(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose row key is among ``keys(doc_id)``."""
+    keys = keys.select(F.col("doc_id.k1").alias("_k1"), F.col("doc_id.k2").alias("_k2"))
+    same = (F.col("_row.k1") == F.col("_k1")) & (F.col("_row.k2") == F.col("_k2"))
+    return join_checked(keyed, keys, same, "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive rules keep."""
-    return _only(docs, quality.judged(docs).where("kept"))
+    keyed = _keyed(docs, F.struct(*_identity("doc_id", "text", "lang", "source")))
+    return _only(keyed, quality.judged(keyed, "_row").where("kept")).drop("_row")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; those of which nothing is left are dropped. ``n_chars`` is counted anew."""
-    clean = lines.without_repeats(docs, lines.line_groups(docs))
+    keyed = _keyed(docs, F.struct("doc_id", *_identity("doc_id", "text")))
+    clean = lines.without_repeats(keyed, lines.line_groups(keyed, "_row"), "_row")
     clean = clean.where(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) > 0)
     kind = docs.schema["n_chars"].dataType
     return clean.select(*[F.length("text").cast(kind).alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest id."""
-    near = stored(simhash.near_duplicates(docs).select("doc_id", "component_id"))
-    kept = _only(docs, near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    repeated = near.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One document of each near-duplicate group: that of the smallest id (a null id is largest), then text hash."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *_identity("doc_id", "text"))
+    keyed = _keyed(docs, key)
+    near = stored(simhash.near_duplicates(keyed, "_row").select("doc_id", "component_id"))
+    kept = _only(keyed, near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    repeated = near.groupBy("doc_id.k1", "doc_id.k2").agg(F.count("*").alias("n")).where("n > 1")
+    return (kept if repeated.isEmpty() else kept.dropDuplicates(["_row"])).drop("_row")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
