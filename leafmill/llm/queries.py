@@ -118,7 +118,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_lines")
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_groups(table(spark, sf_dir, "documents"))
+    return lines.every_line_groups(table(spark, sf_dir, "documents"))
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
