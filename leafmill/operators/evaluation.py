@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql import types as T
 
 from leafmill.functions import text as X
@@ -122,36 +123,37 @@ def with_cer(df: DataFrame, pred: str, truth: str, out: str = "cer") -> DataFram
     return n.withColumn(out, value).drop("_p", "_g")
 
 
-def _letter(i: Column) -> Column:
-    """The i-th (from 1) four-byte character: one letter per distinct word, for over a million words."""
-    if_too_many = F.raise_error(F.lit("a pair has more than 1,048,576 distinct words"))
-    cp = F.when(i <= 0x100000, i + 0xFFFF).otherwise(if_too_many.cast("int"))
-    utf8 = (
-        F.shiftleft(F.shiftright(cp, 18).cast("long") + 0xF0, 24)
-        + F.shiftleft(F.shiftright(cp, 12).bitwiseAND(63) + 0x80, 16)
-        + F.shiftleft(F.shiftright(cp, 6).bitwiseAND(63) + 0x80, 8)
-        + cp.bitwiseAND(63)
-        + 0x80
-    )
-    return F.unhex(F.hex(utf8)).cast("string")
+#: The first four-byte character and how many there are: one letter per distinct word of a pair.
+_FIRST_LETTER, _LETTERS = 0x10000, 0x100000
+
+
+@F.pandas_udf(StructType([StructField("p", StringType()), StructField("g", StringType())]))
+def _spelled(pred: pd.Series, truth: pd.Series) -> pd.DataFrame:
+    """Both word lists as strings of one letter a word, numbered by first appearance; linear in the words."""
+    ps, gs = [], []
+    for p, g in zip(pred, truth):
+        letters: dict[str, str] = {}
+        for words, out in ((g, gs), (p, ps)):
+            if words is None:
+                out.append(None)
+                continue
+            out.append("".join(letters.setdefault(w, chr(_FIRST_LETTER + min(len(letters), _LETTERS - 1))) for w in words))
+        if len(letters) > _LETTERS:
+            raise ValueError(f"a pair has more than {_LETTERS:,} distinct words")
+    return pd.DataFrame({"p": ps, "g": gs})
 
 
 def with_wer(df: DataFrame, pred: str, truth: str, out: str = "wer") -> DataFrame:
     """Word error rate: a pair's distinct words become single characters, then the native distance applies."""
     n = df.withColumns(
         {"_p": X.split_space(X.normalise_text(F.col(pred))), "_g": X.split_space(X.normalise_text(F.col(truth)))}
-    ).withColumn("_w", F.array_distinct(F.concat("_g", "_p")))
-
-    def spell(ws: str) -> Column:
-        return F.array_join(F.transform(ws, lambda w: _letter(F.array_position("_w", w).cast("int"))), "")
-
-    n = n.withColumns({"_ps": spell("_p"), "_gs": spell("_g")})
+    ).withColumn("_s", _spelled("_p", "_g"))
     value = (
         F.when(F.col(pred).isNull() | F.col(truth).isNull(), 1.0)
         .when(F.size("_g") == 0, F.when(F.size("_p") == 0, 0.0).otherwise(1.0))
-        .otherwise(F.least(F.lit(1.0), _distance(F.col("_ps"), F.col("_gs")) / F.size("_g")))
+        .otherwise(F.least(F.lit(1.0), _distance(F.col("_s.p"), F.col("_s.g")) / F.size("_g")))
     )
-    return n.withColumn(out, value).drop("_p", "_g", "_w", "_ps", "_gs")
+    return n.withColumn(out, value).drop("_p", "_g", "_s")
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:

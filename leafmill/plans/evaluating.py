@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
@@ -124,6 +124,13 @@ def turn_pairs(t: Tables) -> DataFrame:
     return a.join(q, ["conv_id", "turn"])
 
 
+def _mean_score(*scores: str) -> Column:
+    """Mean of scores of six decimals, rounded half up to five: sums of millionths, so no order of adding matters."""
+    total = sum((F.round(F.col(c) * 1_000_000).cast("long") for c in scores), F.lit(0))
+    n = 10 * len(scores)
+    return F.floor((total + n // 2) / n).cast("double") / 100_000
+
+
 @query(
     "offline_scores",
     "A31",
@@ -133,8 +140,9 @@ x as (select conv_id, turn, list_distinct({words_sql('lower(answer)')}) as a, li
    list_dot_product(ea.v, eq.v) as aq, list_dot_product(ea.v, ec.v) as ac
    from c left join e ea on ea.id = conv_id * 1000 + turn left join e eq on eq.id = conv_id * 1000 + turn - 1 left join e ec on ec.id = cid and ctx is not null)
 select conv_id, turn, round(least(1.0, len(list_intersect(a, c)) / (len(a) + 1e-9)), 6) as faithfulness, round(greatest(0, aq), 6) as answer_relevancy,
-  round(greatest(0, aq, coalesce(ac, 0)), 6) as context_precision, round((round(least(1.0, len(list_intersect(a, c)) / (len(a) + 1e-9)), 6)
-  + round(greatest(0, aq), 6) + round(greatest(0, aq, coalesce(ac, 0)), 6)) / 3, 5)::double as mean_score from x""",
+  round(greatest(0, aq, coalesce(ac, 0)), 6) as context_precision, ((round(round(least(1.0, len(list_intersect(a, c)) / (len(a) + 1e-9)), 6) * 1000000)::bigint
+  + round(round(greatest(0, aq), 6) * 1000000)::bigint + round(round(greatest(0, aq, coalesce(ac, 0)), 6) * 1000000)::bigint + 15) // 30)
+  / 100000::double as mean_score from x""",
 )
 def offline_scores(t: Tables) -> DataFrame:
     """Contexts of a turn are the two turns before it; vectors are the hashed ones."""
@@ -154,7 +162,7 @@ def offline_scores(t: Tables) -> DataFrame:
         F.round(F.least(F.lit(1.0), F.size(F.array_intersect(a, c)) / (F.size(a) + 1e-9)), 6).alias("faithfulness"),
         F.round(F.greatest(F.lit(0.0), aq), 6).alias("answer_relevancy"),
         F.round(F.greatest(F.lit(0.0), aq, F.coalesce(ac, F.lit(0.0))), 6).alias("context_precision"),
-    ).withColumn("mean_score", F.round((F.col("faithfulness") + F.col("answer_relevancy") + F.col("context_precision")) / 3, 5))
+    ).withColumn("mean_score", _mean_score("faithfulness", "answer_relevancy", "context_precision"))
 
 
 # The oracle's distance counts bytes: accented letters of the lower-cased texts become single bytes that are free.
