@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat, exact, licenses, lines, mixing, packing, quality, sharding, simhash, urls
+from leafmill.llm import chat, exact, licenses, lines, mixing, packing, quality, ranked, sharding, simhash, urls
 from leafmill.llm.registry import query
 from leafmill.llm.shared import checkpointed, table
 
@@ -230,3 +230,25 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_urls")
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query(
+    "op11_ranked_search",
+    r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+       'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+       'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+s as (select count(*) as nn, sum(len(words))::bigint as ll from d where len(words) > 0),
+p as (select doc_id, n, term, count(*) as tf from (select doc_id, len(words)::bigint as n, unnest(words) as term from d)
+      group by all),
+w as (select term, floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double))::bigint as w
+      from (select term, count(*) as df from p group by 1), s),
+scored as (select item_id, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::bigint as score
+  from q join w using (term) join p using (term), s group by all),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scored where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 50""",
+)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 50)

@@ -29,6 +29,6 @@ def test_same_rows(spark, sf, key):
 
 def test_one_query_for_each_operator():
     keys = set(entry.queries())
-    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 11)} and len(QUERIES) == 10
+    assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 14)} and len(QUERIES) == 13
     assert set(QUERIES) | {"pipeline"} <= keys
     assert len(corpus_pipeline.STAGES) == 5
