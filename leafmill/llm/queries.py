@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat, exact, licenses, lines, mixing, packing, quality, ranked, sharding, simhash, urls
+from leafmill.llm import chat, collocations, exact, licenses, lines, mixing, packing, quality, ranked, sharding, simhash, urls, warc
 from leafmill.llm.registry import query
-from leafmill.llm.shared import checkpointed, table
+from leafmill.llm.shared import checkpointed, shared_folder, table
 
 
 def tokenizer_path() -> str:
@@ -252,3 +252,46 @@ select item_id, rank, doc_id, score from r where rank <= 50""",
 )
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 50)
+
+
+@query(
+    "op13_warc",
+    """
+with p as (select page_id, coalesce(html, '') as html from pages),
+g as (select *, max(page_id) over (partition by html) as top, octet_length(encode(html)) >= 1000 as large from p)
+select page_id, octet_length(encode(html))::bigint as payload_bytes, sha1(html) as payload_digest,
+  case when large and page_id <> top then 'revisit' else 'response' end as record_type,
+  case when large and page_id <> top then top end as refers_to from g""",
+)
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.resolved(warc.read_archives(spark, folder))
+
+
+@query(
+    "op12_collocations",
+    r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) as piece from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') as ws from p),
+spot as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from w),
+g as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase, count(*) as f
+      from spot, (select unnest([1, 2, 3]) as k) where i + k - 1 <= len(ws) group by all),
+n as (select lang, sum(f)::bigint as n from g where k = 1 group by 1),
+c as (select *, string_split(phrase, ' ') as ws from g where k > 1 and f >= 10),
+cut as (select c.lang, c.phrase, c.f as a, j, l.f as l, r.f as r, (1000000::hugeint * c.f * c.f) // (l.f::hugeint * r.f) as score
+  from (select *, unnest(range(1, k)) as j from c) c
+  join g l on l.lang = c.lang and l.phrase = array_to_string(c.ws[1:j], ' ')
+  join g r on r.lang = c.lang and r.phrase = array_to_string(c.ws[j + 1:], ' ')),
+low as (select * from cut qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+covered as (select lang, phrase, max(f) as longer from (select lang, f, unnest([array_to_string(ws[1:2], ' '),
+  array_to_string(ws[2:3], ' ')]) as phrase from c where k = 3) group by all),
+ranked as (select low.*, row_number() over (partition by low.lang order by score desc, a desc, low.phrase) as rank
+  from low left join covered using (lang, phrase) where longer is null or 100 * longer < 50 * a)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join n using (lang) where rank <= 2000""",
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
