@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -72,8 +73,8 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, key: str = "doc_id",
     return top_k_per_key(scored, [query_key], "score", key, k)
 
 
-#: What a task holds of each side at once, as doubles.
-BLOCK_BYTES = 32 << 20
+#: Bytes of query vectors (as doubles) that meet the vectors in one pass, and vectors that are compared at once.
+BLOCK_BYTES, STEP = 32 << 20, 1024
 
 
 def _best(qid: np.ndarray, qmat: np.ndarray, vid: np.ndarray, vmat: np.ndarray, k: int) -> pd.DataFrame:
@@ -85,7 +86,10 @@ def _best(qid: np.ndarray, qmat: np.ndarray, vid: np.ndarray, vmat: np.ndarray,
         rows, cols = np.nonzero(sims >= cut[:, None])
     else:
         rows, cols = np.indices(sims.shape).reshape(2, -1)
-    best = pd.DataFrame({"query_id": qid[rows], "vec_id": vid[cols], "score": sims[rows, cols]})
+    return _cut(pd.DataFrame({"query_id": qid[rows], "vec_id": vid[cols], "score": sims[rows, cols]}), k)
+
+
+def _cut(best: pd.DataFrame, k: int) -> pd.DataFrame:
     return best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
 
@@ -100,44 +104,44 @@ def without_vector(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.where(F.coalesce(F.size(column), F.lit(-1)) <= 0)
 
 
+def query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The queries' ids and unit vectors, block by block; each block is at most ``block_bytes`` on average."""
+    kept = queries.where(F.size("embedding") > 0).select("query_id", "embedding")
+    n, dim = kept.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-n * (dim or 0) * 8 // block_bytes))
+    for i in range(blocks):
+        rows = kept.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
+        if rows:
+            yield np.array([r[0] for r in rows]), _unit([r[1] for r in rows])
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, block_bytes: int | None = None) -> DataFrame:
     """Exact cosine top-k: queries(query_id, embedding) against vectors(vec_id, embedding).
 
-    Query blocks and vector cells of at most ``block_bytes`` each meet on (block, cell), so neither side passes
-    through the driver and a task's memory does not grow with the data; a cell yields at most k rows per query (and
-    ties) before the final cut. Rows of ``without_vector`` take no part.
+    The queries are a stated set and come in blocks of ``block_bytes``; each block meets every vector where the vector
+    is read, so vectors are neither shuffled nor counted first. A task gives at most k rows per query, and the last cut
+    ranks those. Rows of ``without_vector`` take no part.
     """
-    block_bytes = block_bytes or BLOCK_BYTES
     qt, vt = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["vec_id"]
-    queries = queries.where(F.size("embedding") > 0).select("query_id", "embedding")
-    vectors = vectors.where(F.size("embedding") > 0).select("vec_id", "embedding")
-
-    def blocks(df: DataFrame) -> tuple[int, int]:
-        n, dim = df.agg(F.count("*"), F.max(F.size("embedding"))).first()
-        return n, max(1, -(-n * (dim or 0) * 8 // block_bytes))
-
-    (_, n_blocks), (n_vectors, n_cells) = blocks(queries), blocks(vectors)
-    spread = vectors.sparkSession.sparkContext.defaultParallelism
-    n_cells = max(n_cells, min(spread, -(-n_vectors // 1_000)), 1)
-    q = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1)))
-    )
-    v = vectors.withColumn("_c", F.pmod(F.xxhash64("vec_id"), F.lit(n_cells)).cast("int")).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
-    )
-
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        vecs = np.array(right["embedding"].tolist(), dtype="float64")
-        return _best(left["query_id"].to_numpy(), _unit(left["embedding"]), right["vec_id"].to_numpy(), vecs, k)
-
-    part = (
-        q.groupBy("_b", "_c")
-        .cogroup(v.groupBy("_b", "_c"))
-        .applyInPandas(cell, f"query_id {qt}, vec_id {vt}, score double")
-    )
-    return top_k_per_key(part, ["query_id"], "score", "vec_id", k)
+    held = vectors.where(F.size("embedding") > 0).select("vec_id", "embedding")
+    schema = f"query_id {qt}, vec_id {vt}, score double"
+    out = vectors.sparkSession.createDataFrame([], schema)
+    for qid, qmat in query_blocks(queries, block_bytes or BLOCK_BYTES):
+
+        def best(batches: Iterator[pd.DataFrame], qid=qid, qmat=qmat) -> Iterator[pd.DataFrame]:
+            kept: list[pd.DataFrame] = []
+            for pdf in batches:
+                ids = pdf["vec_id"].to_numpy()
+                for i in range(0, len(pdf), STEP):
+                    vecs = np.array(pdf["embedding"].iloc[i : i + STEP].tolist(), dtype="float64")
+                    kept.append(_best(qid, qmat, ids[i : i + STEP], vecs, k))
+                    if len(kept) == 16:
+                        kept = [_cut(pd.concat(kept), k)]
+            if kept:
+                yield _cut(pd.concat(kept), k)
+
+        out = out.unionByName(held.mapInPandas(best, schema))
+    return top_k_per_key(out, ["query_id"], "score", "vec_id", k)
 
 
 def rrf(lists: dict[str, DataFrame], weights: list[float] | None, key: str, query_key: str = "query_id", k: int = RRF_K) -> DataFrame:

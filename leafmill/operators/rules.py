@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from leafmill.functions import patterns as P
 from leafmill.functions import text as X
+from leafmill.operators.matching import assign_in_order, rare_first, similar_bags
+from leafmill.sources.scratch import written
 
 # Invoice and order-matching limits.
 DEVIATION_HIGH, DEVIATION_CRITICAL, ROUND_MIN, MISSING_PO_MIN, MAX_AGE_DAYS = 0.10, 0.25, 1000, 1000, 90
@@ -88,77 +90,55 @@ def token_score(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y), F.lit(1))
 
 
-def _pair_off(rows: DataFrame, key: str, kind: str) -> DataFrame:
-    """Join the k-th open invoice line of a key with its k-th open order line, by grouping on (key, k).
-
-    A row carries an invoice side, an order side or both; finished rows and rows without a key get a key of
-    their own and pass through. Places come from a window per (invoice, key, side), which sorts and may spill.
-    """
-    open_ = F.col("inv_seq").isNull() | F.col("po_seq").isNull()
-    seq = F.coalesce("inv_seq", "po_seq")
-    side = F.when(F.col("inv_seq").isNull(), "po").otherwise("inv")
-    own = F.concat_ws("|", side, seq)
-    keyed = rows.withColumns({"_key": F.when(open_ & (F.col(key) != ""), F.concat(F.lit("k:"), key)).otherwise(own), "_side": side, "_seq": seq})
-    order = W.partitionBy("invoice", "_key", "_side").orderBy("_seq")
-    numbered = keyed.withColumn("_k", F.row_number().over(order))
-    carried = ["inv_seq", "unit_price", "po_seq", "po_price", "sku", "bag", "match"]
-    paired = numbered.groupBy("invoice", "_key", "_k").agg(*[F.max(c).alias(c) for c in carried])
-    done = F.col("inv_seq").isNotNull() & F.col("po_seq").isNotNull()
-    return paired.drop("_key", "_k").withColumn("match", F.when(done & F.col("match").isNull(), kind).otherwise(F.col("match")))
-
-
 def po_match(lines: DataFrame, po: DataFrame) -> DataFrame:
-    """Match invoice lines to order lines, each order line once.
+    """Match invoice lines to order lines, each order line once, in the order of the invoice lines.
 
-    lines(invoice, inv_seq, inv_text, unit_price) and po(invoice, po_seq, po_text, po_price); the ``seq`` columns
-    are sortable text. Equal SKUs pair off first, then equal word sets, both in line order; what is left and long
-    enough to reach the fuzzy threshold is matched greedily inside its invoice.
+    lines(invoice, inv_seq, inv_text, unit_price) and po(invoice, po_seq, po_text, po_price); ``seq`` columns are unique
+    in their invoice. A line takes the free order line of the highest score: 1 for an equal SKU, else the share of common
+    words where it reaches the threshold; the first order line among equal ones. Prices are told apart by a tolerance.
     """
-    words = lambda c: F.array_join(F.array_sort(F.array_distinct(X.split_space(F.lower(c)))), " ")
-    none = lambda t: F.lit(None).cast(t)
-    a = lines.select(
-        "invoice", "inv_seq", "unit_price", none("string").alias("po_seq"), none("double").alias("po_price"),
-        sku_of(F.col("inv_text")).alias("sku"), words(F.col("inv_text")).alias("bag"), none("string").alias("match"),
-    )
-    b = po.select(
-        "invoice", none("string").alias("inv_seq"), none("double").alias("unit_price"), "po_seq", "po_price",
-        sku_of(F.col("po_text")).alias("sku"), words(F.col("po_text")).alias("bag"), none("string").alias("match"),
+
+    said = lambda c: F.coalesce(F.col(c), F.lit("")).alias("text")
+    # Each text is taken apart once, however many lines repeat it.
+    texts = lines.select(said("inv_text")).unionByName(po.select(said("po_text"))).distinct()
+    words = F.array_sort(F.array_distinct(X.split_space(F.lower("text"))))
+    parsed = written(texts.select("text", sku_of(F.col("text")).alias("sku"), words.alias("words")).withColumn("bag", F.xxhash64("words")))
+    few = rare_first(parsed.select("bag", "words").dropDuplicates(["bag"]), DESCRIPTION_MATCH)
+    parsed = written(parsed.drop("words").join(few, "bag", "left"))
+
+    def sides(df: DataFrame, text: str, *cols: str) -> DataFrame:
+        t = df.select(F.col("invoice").alias("group"), *cols, said(text)).join(parsed.select("text", "bag", "sku"), "text")
+        return written(t.drop("text").withColumn("cls", F.xxhash64("sku", F.lit("|"), "bag")))
+
+    def classes(side: DataFrame, cls: str) -> DataFrame:
+        known = parsed.select("bag", "words", "few").dropDuplicates(["bag"])
+        return side.select("group", F.col("cls").alias(cls), "sku", "bag").distinct().join(known, "bag")
+
+    a, b = sides(lines, "inv_text", "inv_seq", "unit_price"), sides(po, "po_text", "po_seq", "po_price")
+    mine, theirs = classes(a, "cls"), classes(b, "ucls")
+    exact = mine.where("sku <> ''").join(theirs.select("group", "ucls", "sku"), ["group", "sku"])
+    exact = exact.select("group", "cls", "ucls", F.lit(1.0).alias("score"), F.lit("exact").alias("match"))
+    fuzzy = similar_bags(mine, theirs, DESCRIPTION_MATCH)
+    both = exact.unionByName(fuzzy.withColumn("match", F.lit("fuzzy")))
+    choices = written(both.groupBy("group", "cls", "ucls").agg(F.max("score").alias("score"), F.min("match").alias("match")))
+    got = assign_in_order(
+        a.select("group", "cls", F.col("inv_seq").alias("seq")),
+        b.select("group", F.col("cls").alias("ucls"), F.col("po_seq").alias("useq")),
+        choices,
     )
-    two = _pair_off(_pair_off(a.unionByName(b), "sku", "exact"), "bag", "fuzzy")
-    # Different word sets reach 0.85 only with 6 of 7 words or better, so the shorter side has at least 6.
-    long = F.size(X.split_space(F.col("bag"))) >= 6
-    fuzzy_left = F.col("match").isNull() & long
-    left_over = two.where(fuzzy_left).select("invoice", "inv_seq", "unit_price", "po_seq", "po_price", "bag")
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        orders = rows[rows["inv_seq"].isna()].sort_values("po_seq")
-        free = {r.po_seq: (set(r.bag.split()), r.po_price) for r in orders.itertuples()}
-        out = []
-        for r in rows[rows["inv_seq"].notna()].sort_values("inv_seq").itertuples():
-            mine, best = set(r.bag.split()), (0.0, None)
-            for seq, (theirs, _) in free.items():
-                s = len(mine & theirs) / max(len(mine), len(theirs), 1)
-                if s >= DESCRIPTION_MATCH and s > best[0]:
-                    best = (s, seq)
-            price = free.pop(best[1])[1] if best[1] is not None else None
-            out.append((r.invoice, r.inv_seq, r.unit_price, best[1], price, best[0], "fuzzy" if best[1] else None))
-        return pd.DataFrame(out, columns=["invoice", "inv_seq", "unit_price", "po_seq", "po_price", "score", "match"])
-
-    inv_t = dict(lines.dtypes)["invoice"]
-    cols = ["invoice", "inv_seq", "unit_price", "po_seq", "po_price", "score", "match"]
-    three = left_over.groupBy("invoice").applyInPandas(
-        greedy, f"invoice {inv_t}, inv_seq string, unit_price double, po_seq string, po_price double, score double, match string"
+    named = got.withColumnsRenamed({"seq": "inv_seq", "useq": "po_seq"}).join(
+        b.select("group", "po_seq", "po_price", F.col("cls").alias("ucls")), ["group", "po_seq"]
     )
-    settled = two.where(F.col("inv_seq").isNotNull() & ~fuzzy_left).withColumn(
-        "score", F.when(F.col("match").isNotNull(), 1.0).otherwise(0.0)
+    out = a.select("group", "cls", "inv_seq", "unit_price").join(named, ["group", "inv_seq"], "left").join(
+        choices, ["group", "cls", "ucls"], "left"
     )
     gap = F.abs(F.col("unit_price") - F.col("po_price")) > PRICE_TOLERANCE * F.col("po_price")
-    return settled.select(*cols).unionByName(three.select(*cols)).select(
-        "invoice",
+    return out.select(
+        F.col("group").alias("invoice"),
         "inv_seq",
         "po_seq",
         F.coalesce("match", F.lit("none")).alias("match"),
-        "score",
+        F.coalesce("score", F.lit(0.0)).alias("score"),
         F.when(F.col("match").isNotNull(), F.coalesce((F.col("po_price") > 0) & gap, F.lit(False))).alias("price_mismatch"),
     )
 
@@ -196,18 +176,14 @@ def iou_pairs(a: DataFrame, b: DataFrame, threshold: float = 0.5, cell: float =
     return scored.where(F.col("iou") > threshold).select("page", "id_a", "id_b", "iou")
 
 
-def greedy_pairs(pairs: DataFrame) -> DataFrame:
-    """Best pairs first, each box once. The fold runs inside one page's sorted pair array."""
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("o"), "id_a", "id_b")))
-
-    def step(acc: Column, p: Column) -> Column:
-        taken = F.exists(acc, lambda m: (m["id_a"] == p["id_a"]) | (m["id_b"] == p["id_b"]))
-        return F.when(taken, acc).otherwise(F.concat(acc, F.array(F.struct(p["id_a"].alias("id_a"), p["id_b"].alias("id_b")))))
-
-    ids = dict(pairs.dtypes)
-    empty = F.array().cast(f"array<struct<id_a:{ids['id_a']},id_b:{ids['id_b']}>>")
-    per_page = pairs.groupBy("page").agg(ordered.alias("_p"))
-    return per_page.select("page", F.explode(F.aggregate("_p", empty, step)).alias("m")).select("page", "m.*")
+def matched_boxes(a: DataFrame, b: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``(page, id_a, id_b)``: the boxes of ``a`` choose by line, each the free box of ``b`` that overlaps it most."""
+    pairs = written(iou_pairs(a, b, threshold))
+    return assign_in_order(
+        a.select(F.col("page").alias("group"), F.col("id").alias("cls"), F.struct("line", "id").alias("seq")),
+        b.select(F.col("page").alias("group"), F.col("id").alias("ucls"), F.struct("line", "id").alias("useq")),
+        pairs.select(F.col("page").alias("group"), F.col("id_a").alias("cls"), F.col("id_b").alias("ucls"), F.col("iou").alias("score")),
+    ).select(F.col("group").alias("page"), F.col("seq.id").alias("id_a"), F.col("useq.id").alias("id_b"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -222,11 +198,11 @@ def closest_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
 def iou_block_merge(a: DataFrame, b: DataFrame, threshold: float = 0.5, similar: float = 0.95) -> DataFrame:
     """One block list per page from two readings (page, id, box, line, text, confidence).
 
-    Pairs are taken best first, each box once, and keep the surer text; unmatched boxes of b are added unless
+    Boxes of ``a`` choose in line order, each box of ``b`` once, and pairs keep the surer text; unmatched boxes of b are added unless
     some text of a on the page is nearly the same. Only such leftovers reach Python.
     """
     cols = ["page", "line", "side", "id", "text", "confidence"]
-    matched = greedy_pairs(iou_pairs(a, b, threshold))
+    matched = matched_boxes(a, b, threshold)
     other = b.select("page", F.col("id").alias("id_b"), F.struct("line", F.lit("b").alias("side"), "id", "text", "confidence").alias("_b"))
     mine = a.select("page", F.col("id").alias("id_a"), F.struct("line", F.lit("a").alias("side"), "id", "text", "confidence").alias("_a"))
     pairs = matched.join(other, ["page", "id_b"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.operators import aggregates as A
+from leafmill.operators import nearduplicates as ND
 from leafmill.operators import chunking as C
 from leafmill.operators.filters import grading_action
 from leafmill.operators.running import percentiles
@@ -230,6 +231,27 @@ def exact_duplicates(t: Tables) -> DataFrame:
     return A.exact_duplicates(C.text_blocks(t.documents), "doc_id", "text").drop("fingerprint")
 
 
+@query(
+    "near_duplicates",
+    "A36",
+    r"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+sh as (select distinct doc_id, unnest(case when len(ws) = 0 then []::varchar[] when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as s from w),
+sets as (select doc_id, count(s) as n, coalesce(md5(string_agg(s, chr(10) order by s)), '') as h from w left join sh using (doc_id) group by 1),
+cl as (select h, min(doc_id) as same_as, count(*) as n_copies, any_value(n) as n from sets group by 1),
+v as (select same_as as id, s from cl join sh on doc_id = same_as),
+pairs as (select a.id as a, b.id as b, count(*) as c from v a join v b on a.s = b.s and a.id <> b.id group by all),
+e as (select a, b from pairs join cl x on x.same_as = a join cl y on y.same_as = b where c >= 0.8 * (x.n + y.n - c) - 1e-9),
+reach as (select same_as as id, same_as as via from cl union select id, b from reach join e on a = via),
+g as (select id, min(via) as "group" from reach group by 1)
+select doc_id, same_as, n_copies, "group", count(*) over (partition by "group") as n_group
+from (select doc_id, h from sets) join cl using (h) join g on id = same_as""",
+)
+def near_duplicates(t: Tables) -> DataFrame:
+    return ND.near_duplicates(t.documents, threshold=0.8)
+
+
 @query(
     "compliance_summary",
     "A17",

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.operators import graph as G
 from leafmill.operators import provenance as V
 from leafmill.operators.ranking import version_history
-from leafmill.operators.retrieval import bm25_topk
-from leafmill.plans.retrieving import BM25, passages
+from leafmill.plans.retrieving import bm25_documents, BM25, passages
 from leafmill.registry import query
 from leafmill.sources.tables import Tables
 
@@ -26,7 +25,7 @@ select query_id, doc_id, (case when e > 0 then e when l > 0 then l end - 1)::int
  case when e > 0 then 1 when l > 0 then 3 else 0 end::int as stage, case when score >= 120 then 'green' when score >= 90 then 'yellow' else 'red' end as color from s""",
 )
 def find_text_span(t: Tables) -> DataFrame:
-    hits = bm25_topk(passages(t), t.documents, 10)
+    hits = bm25_documents(t, 10)
     q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("chunk"))
     j = hits.join(t.documents.select("doc_id", F.col("text").alias("page")), "doc_id").join(q, "query_id")
     span = V.find_text_span(F.col("page"), F.col("chunk"))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as X
 from leafmill.functions import vectors as V
 from leafmill.operators import retrieval as R
+from leafmill.operators.textindex import TextIndex
 from leafmill.operators.ranking import cached_replay, threshold_top_k, top_k_per_key
 from leafmill.plans.sqlparts import BLOCKS, tokens_sql
 from leafmill.registry import query
+from leafmill.sources.scratch import scratch_folder
 from leafmill.sources.tables import Tables
 
 TOK = f"t as (select doc_id, {tokens_sql('text')} as toks from documents)"
@@ -60,9 +62,24 @@ def word_tokens(col: str = "text"):
     return F.regexp_extract_all(F.lower(F.col(col)), F.lit(r"(?U)\w+"), F.lit(0))
 
 
+def search_index(t: Tables) -> TextIndex:
+    """The stored index of the documents: built when their files are first seen, read from then on."""
+    files = t.spark.read.format("binaryFile").load(f"{t.path}/documents.parquet").select("path", "length", "modificationTime")
+    print_ = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    index = TextIndex(t.spark, f"{scratch_folder(t.spark)}/search-index-1-{print_[0]}-{abs(print_[1])}")
+    if not index.committed("documents"):
+        vectors = V.hash_embed(t.documents, "doc_id", word_tokens()).withColumnRenamed("doc_id", "key")
+        index.add("documents", t.documents, vectors=vectors)
+    return index
+
+
+def bm25_documents(t: Tables, k: int) -> DataFrame:
+    return search_index(t).search(passages(t), k)
+
+
 def dense_documents(t: Tables, k: int) -> DataFrame:
     q = V.hash_embed(t.benchmark, "item_id", word_tokens()).withColumnRenamed("item_id", "query_id")
-    d = V.hash_embed(t.documents, "doc_id", word_tokens()).withColumnRenamed("doc_id", "vec_id")
+    d = search_index(t).vectors().withColumnRenamed("key", "vec_id")
     return R.dense_topk(q, d, k).withColumnRenamed("vec_id", "doc_id")
 
 
@@ -72,16 +89,15 @@ def dense_documents(t: Tables, k: int) -> DataFrame:
     f"with {POST} select term, df, sum(tf)::bigint as n_occurrences, sum(dl)::bigint as sum_dl from terms join post using (term) group by all",
 )
 def bm25_index(t: Tables) -> DataFrame:
-    return (
-        R.bm25_postings(t.documents)
-        .groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("n_occurrences"), F.sum("dl").alias("sum_dl"))
-    )
+    """Read from the stored blocks."""
+    total = lambda c: F.sum(F.aggregate(F.col(c), F.lit(0), lambda a, x: a + x))
+    blocks = search_index(t).postings().groupBy("term")
+    return blocks.agg(F.sum("n").alias("df"), total("tfs").alias("n_occurrences"), total("dls").alias("sum_dl"))
 
 
 @query("bm25_score", "R4", f"with {BM25} select query_id, doc_id, score, rank from bm where rank <= 20")
 def bm25_score(t: Tables) -> DataFrame:
-    return R.bm25_topk(passages(t), t.documents, 20)
+    return bm25_documents(t, 20)
 
 
 _CENTROIDS = """c as (select label as query_id, list(m order by i) as v from (select label, i, avg(embedding[i]::double) as m
@@ -162,7 +178,7 @@ hy as (select *, row_number() over (partition by query_id order by rrf_score des
     f"with {HYBRID.replace('WS', '0.5::double').replace('WD', '0.5::double')} select query_id, doc_id, bm25_score, dense_score, rrf_score, rank from hy where rank <= 10",
 )
 def hybrid_search(t: Tables) -> DataFrame:
-    return R.hybrid(R.bm25_topk(passages(t), t.documents, 20), dense_documents(t, 20), "doc_id", 10)
+    return R.hybrid(bm25_documents(t, 20), dense_documents(t, 20), "doc_id", 10)
 
 
 @query(
@@ -177,7 +193,7 @@ def hybrid_search(t: Tables) -> DataFrame:
 def profile_search(t: Tables) -> DataFrame:
     names = F.array(*[F.lit(p) for p in ("general", "legal", "technical", "financial")])
     profile = F.element_at(names, (F.col("query_id") % 4 + 1).cast("int"))
-    out = R.hybrid(R.bm25_topk(passages(t), t.documents, 20), dense_documents(t, 20), "doc_id", 10, profile)
+    out = R.hybrid(bm25_documents(t, 20), dense_documents(t, 20), "doc_id", 10, profile)
     return out.select("query_id", "doc_id", "rrf_score", "rank")
 
 
@@ -193,7 +209,7 @@ def hybrid_score(t: Tables) -> DataFrame:
 
 def ranked_hits(t: Tables, k: int) -> DataFrame:
     """BM25 hits with the texts of both sides."""
-    hits = R.bm25_topk(passages(t), t.documents, k)
+    hits = bm25_documents(t, k)
     q = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     return hits.join(t.documents.select("doc_id", "text", "source"), "doc_id").join(q, "query_id").withColumn(
         "page", (F.col("doc_id") % 10).cast("int")

@@ -65,46 +65,57 @@ def highest_risk_clauses(t: Tables) -> DataFrame:
     return top_k_per_key(cl, ["contract"], "s", "id", 5).select("contract", "id", "clause_type", "rank")
 
 
-_PO = """ln as (select l_orderkey as invoice, printf('%010d-%08d-%08d-%012d', l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::bigint) as inv_seq,
-   case when l_partkey % 2 = 0 then 'SKU ' || printf('%06d', l_partkey) else '' end as sku,
-   case when l_partkey % 2 = 0 then 'sku' || ' ' || printf('%06d', l_partkey) || ' ' else '' end || lower(p_name) as name, l_extendedprice / l_quantity as unit_price from lineitem join part on p_partkey = l_partkey),
-po as (select l_orderkey as invoice, printf('%010d-%08d-%08d-%012d', 9 - l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::bigint) as po_seq,
-   case when l_partkey % 2 = 0 then 'SKU ' || printf('%06d', l_partkey) else '' end as sku,
-   case when l_partkey % 2 = 0 then 'sku' || ' ' || printf('%06d', l_partkey) || ' ' else '' end || lower(p_name) as name, p_retailprice * 30 as po_price from lineitem join part on p_partkey = l_partkey where l_returnflag <> 'R'),
-a1 as (select *, row_number() over (partition by invoice, sku order by inv_seq) as k from ln where sku <> ''),
-b1 as (select *, row_number() over (partition by invoice, sku order by po_seq) as k from po where sku <> ''),
-m1 as (select a1.invoice, inv_seq, po_seq, unit_price, po_price, 'exact' as match from a1 join b1 on a1.invoice = b1.invoice and a1.sku = b1.sku and a1.k = b1.k),
-a2 as (select *, array_to_string(list_sort(string_split(name, ' ')), ' ') as bag from (select * from ln where (invoice, inv_seq) not in (select (invoice, inv_seq) from m1))),
-b2 as (select *, array_to_string(list_sort(string_split(name, ' ')), ' ') as bag from (select * from po where (invoice, po_seq) not in (select (invoice, po_seq) from m1))),
-m2 as (select a.invoice, inv_seq, po_seq, unit_price, po_price, 'fuzzy' as match from (select *, row_number() over (partition by invoice, bag order by inv_seq) as k from a2) a
-  join (select *, row_number() over (partition by invoice, bag order by po_seq) as k from b2) b on a.invoice = b.invoice and a.bag = b.bag and a.k = b.k),
-m as (select * from m1 union all select * from m2)"""
+def _po_side(name: str, seq: str, text: str, price: str, kept: str = "true") -> str:
+    key = f"printf('%010d-%08d-%08d-%012d', {seq}, l_partkey, l_suppkey, round(l_extendedprice * 100)::bigint)"
+    return f"""{name} as (select l_orderkey as invoice, {key} as seq, case when l_partkey % 4 = 0 then printf('%06d', l_partkey) else '' end as sku,
+   list_distinct(string_split(lower(case when l_partkey % 4 = 0 then 'SKU ' || printf('%06d', l_partkey) || ' ' else '' end || {text}), ' ')) as words,
+   {price} as price from lineitem join part on p_partkey = l_partkey where {kept})"""
+
+
+_PO_TEXT = """split_part(p_name, ' ', 2) || ' ' || p_type || ' part of grade g' || p_size % 2 || ' for {} p' || l_suppkey % 2"""
+# The oracle walks each invoice line by line; a line's candidates come as one list in the order of its choice.
+_PO = f"""{_po_side("ln", "l_linenumber", _PO_TEXT.format("plant"), "l_extendedprice / l_quantity")},
+{_po_side("po", "9 - l_linenumber", _PO_TEXT.format("plant").replace("plant", "' || case when l_suppkey % 5 = 0 then 'site' else 'plant' end || '"), "p_retailprice * 30", "l_returnflag <> 'R'")},
+cand as (select ln.invoice, ln.seq as inv_seq, po.seq as po_seq, po.price, case when ln.sku <> '' and ln.sku = po.sku then 'exact' else 'fuzzy' end as match,
+   case when ln.sku <> '' and ln.sku = po.sku then 1.0 else len(list_intersect(ln.words, po.words)) / greatest(len(ln.words), len(po.words)) end::double as score from ln join po using (invoice)),
+lists as (select invoice, inv_seq, list({{'po_seq': po_seq, 'price': price, 'match': match, 'score': score}} order by score desc, po_seq) as c from cand where score >= 0.85 group by all),
+num as (select ln.invoice, ln.seq as inv_seq, ln.price, coalesce(c, []) as c, row_number() over (partition by ln.invoice order by ln.seq) as n from ln left join lists on lists.invoice = ln.invoice and lists.inv_seq = ln.seq),
+walk as (select invoice, inv_seq, price, n, c[1] as got, case when len(c) > 0 then [c[1].po_seq] else [] end as used from num where n = 1
+  union all select num.invoice, num.inv_seq, num.price, num.n, list_filter(num.c, lambda x: not list_contains(walk.used, x.po_seq))[1],
+    list_concat(walk.used, list_transform(list_filter(num.c, lambda x: not list_contains(walk.used, x.po_seq))[1:1], lambda x: x.po_seq))
+  from walk join num on num.invoice = walk.invoice and num.n = walk.n + 1)"""
 
 
 @query(
     "po_match",
     "J8",
-    f"""with {_PO} select ln.invoice, ln.inv_seq, m.po_seq, coalesce(m.match, 'none') as match, case when m.match is null then 0.0 else 1.0 end::double as score,
-  case when m.match is not null then m.po_price > 0 and abs(m.unit_price - m.po_price) > 0.05::double * m.po_price end as price_mismatch from ln left join m on m.invoice = ln.invoice and m.inv_seq = ln.inv_seq""",
+    f"""with recursive {_PO} select invoice, inv_seq, got.po_seq as po_seq, coalesce(got.match, 'none') as match, round(coalesce(got.score, 0), 9) as score,
+  case when got is not null then got.price > 0 and abs(price - got.price) > 0.05::double * got.price end as price_mismatch from walk""",
 )
 def po_match(t: Tables) -> DataFrame:
+    """Lines and order lines whose texts differ in a word or two, so that many lines compete for an order line."""
     j = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
-    sku = F.when(F.col("l_partkey") % 2 == 0, F.format_string("SKU %06d ", F.col("l_partkey"))).otherwise("")
-    desc = F.concat(sku, "p_name")
+    sku = F.when(F.col("l_partkey") % 4 == 0, F.format_string("SKU %06d ", F.col("l_partkey"))).otherwise("")
+
+    def text(place):
+        noun = F.element_at(F.split("p_name", " "), 2)
+        parts = [sku, noun, F.lit(" "), F.col("p_type"), F.lit(" part of grade g"), F.col("p_size") % 2, F.lit(" for "), place, F.lit(" p"), F.col("l_suppkey") % 2]
+        return F.concat(*parts)
 
     def seq(line):
         cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
         return F.format_string("%010d-%08d-%08d-%012d", line, F.col("l_partkey"), F.col("l_suppkey"), cents)
 
     lines = j.select(
-        F.col("l_orderkey").alias("invoice"), seq(F.col("l_linenumber")).alias("inv_seq"), desc.alias("inv_text"),
+        F.col("l_orderkey").alias("invoice"), seq(F.col("l_linenumber")).alias("inv_seq"), text(F.lit("plant")).alias("inv_text"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
     )
+    place = F.when(F.col("l_suppkey") % 5 == 0, "site").otherwise("plant")
     po = j.where("l_returnflag <> 'R'").select(
-        F.col("l_orderkey").alias("invoice"), seq(9 - F.col("l_linenumber")).alias("po_seq"), desc.alias("po_text"),
+        F.col("l_orderkey").alias("invoice"), seq(9 - F.col("l_linenumber")).alias("po_seq"), text(place).alias("po_text"),
         (F.col("p_retailprice") * 30).alias("po_price"),
     )
-    return R.po_match(lines, po).select("invoice", "inv_seq", "po_seq", "match", "score", "price_mismatch")
+    return R.po_match(lines, po).withColumn("score", F.round("score", 9)).select("invoice", "inv_seq", "po_seq", "match", "score", "price_mismatch")
 
 
 _INV = """inv as (select o_orderkey as file, 'INV-' || (o_orderkey * 7 % 12000) as number, 'Vendor ' || (o_custkey % 50) as vendor, floor(o_totalprice / 5000) * 5000 as amount, o_orderdate as date,

@@ -7,15 +7,17 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leafmill.functions import text as X
+from leafmill.functions import vectors as V
 from leafmill.operators import chunking as C
 from leafmill.operators.ranking import RATE_LIMITS
+from leafmill.operators.textindex import TextIndex
+from leafmill.sources.scratch import written
 from leafmill.sources.tables import SCHEMAS
 
 
@@ -189,26 +191,46 @@ def ingest_chunks(docs: DataFrame) -> DataFrame:
     return blocks.withColumn("chunk_id", ids).withColumn("text", X.scrub_pii(F.col("text"))).select("chunk_id", "doc_id", "source", "block_index", "text")
 
 
-def incremental_ingest(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append the chunks of arriving documents to the chunk table; ids already present are skipped.
+CHUNK = "chunk_id string, doc_id long, source string, block_index int, text string, prefix string"
 
-    A batch replayed after a failure finds its ids in the table, so it adds nothing twice.
-    """
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        fresh = batch.dropDuplicates(["chunk_id"])
-        spark = batch.sparkSession
-        known = spark.read.schema(fresh.schema).parquet(out).select("chunk_id") if epoch > 0 or _exists(spark, out) else None
-        (fresh.join(known, "chunk_id", "left_anti") if known is not None else fresh).write.mode("append").parquet(out)
+def stored_chunks(index: TextIndex, prefixes: list[str] | None = None) -> DataFrame:
+    """Chunks of committed batches; with ``prefixes`` only those partitions are read."""
+    rows = index.table("chunks", CHUNK, replaced=True)
+    return rows if prefixes is None else rows.where(F.col("prefix").isin(prefixes))
 
-    return (
-        ingest_chunks(docs).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
 
+def ingest_batch(docs: DataFrame, index: TextIndex, segment: str, prefix: int = 1, most_segments: int = 16) -> bool:
+    """Clean, cut, scrub and index documents as one segment: chunks, postings and hashed vectors appear together.
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
+    A chunk whose id is stored already is skipped; only the partitions of the batch's own id prefixes (hex digits) are
+    read for that. A batch whose segment is committed adds nothing, and one that failed half-way is written again.
+    Segments beyond ``most_segments`` are merged.
+    """
+    if index.committed(segment):
         return False
+    chunks = ingest_chunks(docs).dropDuplicates(["chunk_id"]).withColumn("prefix", F.substring("chunk_id", 1, prefix))
+    chunks = written(chunks, "chunks")
+    own = sorted(r.prefix for r in chunks.select("prefix").distinct().collect())  # at most 16 ** prefix
+    known = stored_chunks(index, own).select("prefix", "chunk_id")
+    fresh = written(chunks.join(known, ["prefix", "chunk_id"], "left_anti"), "fresh")
+    fresh.write.mode("overwrite").partitionBy("prefix").parquet(f"{index.path}/chunks/segment={segment}")
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
+    vectors = V.hash_embed(fresh, "chunk_id", tokens).withColumnRenamed("chunk_id", "key")
+    index.add(segment, fresh, "chunk_id", "text", vectors)
+    if len(index.segments()) > most_segments:
+        index.compact(f"merged_{segment}")
     return True
+
+
+def incremental_ingest(docs: DataFrame, index: TextIndex, checkpoint: str, name: str = "batch") -> StreamingQuery:
+    """Ingest arriving documents into a search index with string keys; see ``ingest_batch``.
+
+    The checkpoint numbers the batches, so a batch that is replayed after a failure finds its segment committed. Streams
+    with checkpoints of their own need names of their own.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        ingest_batch(batch, TextIndex(batch.sparkSession, index.path, index.key_type), f"{name}_{epoch}")
+
+    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

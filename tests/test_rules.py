@@ -55,13 +55,14 @@ def test_iou_merge_against_brute_force(spark):
     pairs = sorted((-iou(x[2], y[2]), x[0], x[1], y[1]) for x in a for y in b if x[0] == y[0] and iou(x[2], y[2]) > 0.5)
     got = R.iou_pairs(da, db, cell=16.0).collect()
     assert sorted((r["page"], r["id_a"], r["id_b"]) for r in got) == sorted(p[1:] for p in pairs)
-    ua, ub, chosen = set(), set(), []
-    for _, p, i, j in pairs:
-        if (p, i) not in ua and (p, j) not in ub:
-            ua.add((p, i))
-            ub.add((p, j))
-            chosen.append((p, i, j))
-    assert sorted(map(tuple, R.greedy_pairs(R.iou_pairs(da, db)).collect())) == sorted(chosen)
+    ub, chosen = set(), []
+    for p, i in sorted({(p, i) for _, p, i, _ in pairs}):  # boxes of a choose by line
+        for _, _, _, j in [x for x in pairs if x[1:3] == (p, i)]:
+            if (p, j) not in ub:
+                ub.add((p, j))
+                chosen.append((p, i, j))
+                break
+    assert sorted(map(tuple, R.matched_boxes(da, db).collect())) == sorted(chosen)
     merged = R.iou_block_merge(da, db).collect()
     conf_a, conf_b = {(r[0], r[1]): r[5] for r in a}, {(r[0], r[1]): r[5] for r in b}
     kept = {(r["page"], r["side"], r["id"]) for r in merged}

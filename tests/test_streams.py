@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators.ranking import cooldown_gate, sliding_rate_limit
 from leafmill.sources import sinks
+from leafmill.operators.textindex import TextIndex
 from leafmill.streaming import streams as S
 
 
@@ -112,19 +113,42 @@ def test_task_progress_stream(spark, sf, folder):
     assert (last["state"].sort_index() == want["state"]).all() and (last["n_events"].sort_index() == want["n"]).all()
 
 
-def test_incremental_ingest_is_idempotent(spark, sf, folder):
+def test_incremental_ingest_into_an_index(spark, sf, folder):
+    """Chunks, postings and vectors of arriving documents; replays and repeated files add nothing."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     docs.limit(60).coalesce(1).write.mode("append").parquet(str(folder / "in"))
     read = lambda: spark.readStream.schema(docs.schema).parquet(str(folder / "in"))
-    out = str(folder / "out" / "chunks")
-    S.incremental_ingest(read(), out, str(folder / "cp" / "a")).awaitTermination(240)
-    first = spark.read.parquet(out).count()
-    S.incremental_ingest(read(), out, str(folder / "cp" / "b")).awaitTermination(240)
-    assert spark.read.parquet(out).count() == first
+    index = TextIndex(spark, str(folder / "out" / "index"), "string")
+    S.incremental_ingest(read(), index, str(folder / "cp" / "a")).awaitTermination(240)
+    first = S.stored_chunks(index).count()
+    assert first > 0 and index.segments() == ["batch_0"]
+    S.incremental_ingest(read(), index, str(folder / "cp" / "b"), "again").awaitTermination(240)
+    assert S.stored_chunks(index).count() == first and index.totals()[0] == index.documents().count()
+    assert not S.ingest_batch(docs, index, "batch_0")  # a replayed batch
+    assert S.stored_chunks(index).count() == first
     docs.coalesce(1).write.mode("append").parquet(str(folder / "in"))
-    S.incremental_ingest(read(), out, str(folder / "cp" / "b")).awaitTermination(240)
-    ids = S.ingest_chunks(docs).select("chunk_id").distinct().count()
-    assert spark.read.parquet(out).count() == ids
+    S.incremental_ingest(read(), index, str(folder / "cp" / "b"), "again").awaitTermination(240)
+    want = S.ingest_chunks(docs).select("chunk_id", "text").distinct()
+    assert sorted(tuple(r) for r in S.stored_chunks(index).select("chunk_id", "text").collect()) == sorted(tuple(r) for r in want.collect())
+    assert index.vectors().count() == index.vectors().select("key").distinct().count()
+    # the index answers as one that is built at once
+    whole = TextIndex(spark, str(folder / "out" / "whole"), "string")
+    whole.add("all", want, "chunk_id")
+    q = spark.createDataFrame([(1, docs.first().text[:200])], "query_id int, text string")
+    hits = lambda i: [(r.doc_id, r.score) for r in i.search(q, 10).orderBy("rank").collect()]
+    assert hits(index) == hits(whole) and len(hits(index)) == 10
+    assert index.compact("one") and hits(index) == hits(whole) and S.stored_chunks(index).count() == want.count()
+
+
+def test_ingest_reads_its_own_prefixes(spark, folder):
+    index = TextIndex(spark, str(folder / "out" / "small"), "string")
+    make = lambda ids: spark.createDataFrame([(i, "s", f"line number {i}") for i in ids], "doc_id long, source string, text string")
+    for n in range(3):
+        assert S.ingest_batch(make(range(n * 5, n * 5 + 8)), index, f"b{n}", most_segments=2)
+    assert S.stored_chunks(index).count() == 18 and len(index.segments()) <= 2
+    own = [r.prefix for r in S.ingest_chunks(make([0])).select(F.substring("chunk_id", 1, 1).alias("prefix")).collect()]
+    plan = S.stored_chunks(index, own)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and own[0] in plan.split("PartitionFilters")[1]
 
 
 def test_csv_and_dead_letters(spark, folder):

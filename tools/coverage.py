@@ -21,8 +21,8 @@ def main() -> None:
     lines += [f"| {i} | {', '.join(by_id[i])} |" for i in sorted(by_id, key=key)]
     lines += [
         "",
-        "Not built: A36 (near duplicates), which the original advertises but does not compute; the training-data",
-        "operators in `leafmill/llm` (see README) are apart from this table. F2 raises on the driver and is exercised through F1 and tests. U-1 to U-5 are in",
+        "Not in this table: the training-data",
+        "operators in `leafmill/llm` (see README). F2 raises on the driver and is exercised through F1 and tests. U-1 to U-5 are in",
         "`leafmill/functions/hooks.py` with tests.",
         "",
     ]
