@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.operators.ranking import top_k_per_key
-from leafmill.sources.scratch import written
+from leafmill.sources.scratch import stored_at, written
 
 # Keyword ranking constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -42,11 +42,6 @@ def _saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def term_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, dl, term, tf)`` without a shuffle: a document's terms are counted where it is read."""
     kind = docs.schema[key].dataType.simpleString()
@@ -78,14 +73,14 @@ class TextIndex:
     def table(self, name: str, columns: str, replaced: bool = False) -> DataFrame:
         """Rows of a table by segment; of committed segments only, and of ``replaced`` ones if these are still its home."""
         path, schema = f"{self.path}/{name}", f"{columns}, segment string"
-        if not _exists(self.spark, path):
+        if not stored_at(self.spark, path):
             return self.spark.createDataFrame([], schema)
         names = [r.segment for r in self._commits().collect()] if replaced else self.segments()
         return self.spark.read.schema(schema).parquet(path).where(F.col("segment").isin(names))
 
     def _commits(self) -> DataFrame:
         path = f"{self.path}/log"
-        return self.spark.read.schema(LOG).parquet(path) if _exists(self.spark, path) else self.spark.createDataFrame([], LOG)
+        return self.spark.read.schema(LOG).parquet(path) if stored_at(self.spark, path) else self.spark.createDataFrame([], LOG)
 
     def log(self) -> DataFrame:
         """Rows of the segments that count: committed and not replaced."""
@@ -119,7 +114,7 @@ class TextIndex:
             return False
         rows = self.postings().select("term", F.explode(F.arrays_zip("keys", "tfs", "dls")).alias("p"))
         counted = rows.select(F.col("p.keys").alias("key"), F.col("p.dls").alias("dl"), "term", F.col("p.tfs").alias("tf"))
-        vectors = self.vectors() if _exists(self.spark, f"{self.path}/vectors") else None
+        vectors = self.vectors() if stored_at(self.spark, f"{self.path}/vectors") else None
         self._write(segment, written(counted, "frequencies"), vectors, old)
         return True
 
@@ -179,7 +174,7 @@ class TextIndex:
         n, _ = self.totals()
         name = str(hash_of(self.segments()))
         path = f"{self.path}/floor/{name}"
-        if not _exists(self.spark, path):
+        if not stored_at(self.spark, path):
             value = self.terms().agg(F.avg(raw_weight(n)) * EPSILON).first()[0]
             self.spark.createDataFrame([(value,)], "floor double").coalesce(1).write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path).first()[0] or 0.0

@@ -9,10 +9,11 @@ from leafmill.functions import text as X
 from leafmill.functions import vectors as V
 from leafmill.operators import retrieval as R
 from leafmill.operators.textindex import TextIndex
+from leafmill.operators.vectorindex import VectorIndex
 from leafmill.operators.ranking import cached_replay, threshold_top_k, top_k_per_key
 from leafmill.plans.sqlparts import BLOCKS, tokens_sql
 from leafmill.registry import query
-from leafmill.sources.scratch import scratch_folder
+from leafmill.sources.scratch import scratch_folder, stored_at
 from leafmill.sources.tables import Tables
 
 TOK = f"t as (select doc_id, {tokens_sql('text')} as toks from documents)"
@@ -64,9 +65,7 @@ def word_tokens(col: str = "text"):
 
 def search_index(t: Tables) -> TextIndex:
     """The stored index of the documents: built when their files are first seen, read from then on."""
-    files = t.spark.read.format("binaryFile").load(f"{t.path}/documents.parquet").select("path", "length", "modificationTime")
-    print_ = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
-    index = TextIndex(t.spark, f"{scratch_folder(t.spark)}/search-index-1-{print_[0]}-{abs(print_[1])}")
+    index = TextIndex(t.spark, f"{scratch_folder(t.spark)}/search-index-1-{files_mark(t, 'documents')}")
     if not index.committed("documents"):
         vectors = V.hash_embed(t.documents, "doc_id", word_tokens()).withColumnRenamed("doc_id", "key")
         index.add("documents", t.documents, vectors=vectors)
@@ -116,6 +115,27 @@ def dense_topk(t: Tables) -> DataFrame:
     return R.dense_topk(centroids(t), t.embeddings, 10)
 
 
+def files_mark(t: Tables, table: str) -> str:
+    """A name for the present files of a table: their paths, sizes and times."""
+    files = t.spark.read.format("binaryFile").load(f"{t.path}/{table}.parquet").select("path", "length", "modificationTime")
+    n, total = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return f"{n}-{abs(total)}"
+
+
+def vector_index(t: Tables) -> VectorIndex:
+    """The stored cells of the embeddings: built when their files are first seen, read from then on."""
+    path = f"{scratch_folder(t.spark)}/vector-index-1-{files_mark(t, 'embeddings')}"
+    if not stored_at(t.spark, f"{path}/centroids/_SUCCESS"):
+        VectorIndex.build(t.embeddings, path)
+    return VectorIndex(t.spark, path)
+
+
+@query("dense_topk_cells", "R5", f"with {_CENTROIDS} select query_id, vec_id, score, rank from r where rank <= 10")
+def dense_topk_cells(t: Tables) -> DataFrame:
+    """The same hits from the partitioned index, in its exact mode."""
+    return vector_index(t).search(centroids(t), 10)
+
+
 @query("query_corpus_scores", "J13", f"with {DENSE} select query_id, doc_id, score, rank from dn where rank <= 10")
 def query_corpus_scores(t: Tables) -> DataFrame:
     return dense_documents(t, 10)
