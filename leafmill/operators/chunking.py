@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
+from leafmill.operators.running import running
+from leafmill.sources.scratch import written
 
 
 def text_blocks(docs: DataFrame, max_blocks: int | None = None, min_chars: int = 1, per_page: int = 10) -> DataFrame:
@@ -144,3 +146,40 @@ def word_windows(words: Column, n: int) -> Column:
     """Windows of ``n`` consecutive words, joined by a space."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(n))
     return F.transform(starts, lambda s: F.array_join(F.slice(words, s, n), " "))
+
+
+def pack_segments(segments: DataFrame, key: str, at: str, text: str, max_words: int = 200, bin_rows: int = 4096) -> DataFrame:
+    """``(key, chunk_index, chunk)``: a key's texts in the order of ``at``, packed greedily into chunks of ``max_words``.
+
+    A chunk ends before the text that would take it beyond ``max_words``; a longer text is a chunk of its own. Where a
+    chunk that begins at a text ends follows from running word counts, for all texts at once. Which texts do begin a chunk
+    is found by jumps of doubling length from the first one, so a key's texts are never gathered and a key of any number
+    of texts takes a logarithmic number of rounds. ``at`` is unique within its key.
+    """
+    src = segments.select(F.col(key).alias("key"), F.col(at).alias("at"), F.col(text).alias("text"))
+    words = F.greatest(F.size(X.split_space(F.coalesce("text", F.lit("")))), F.lit(0)).cast("long")
+    place = running(src.withColumn("w", words), ["key"], [F.col("at")], F.floor(F.col("at") / bin_rows), {
+        "i": ("sum", F.lit(1).cast("long")), "upto": ("sum", F.col("w")),
+    })
+    rows = written(place.select("key", "i", "text", "upto", (F.col("upto") - F.col("w")).alias("before")), "segments")
+    # The first text whose running count passes this one's start by more than the limit: counts and starts in one order,
+    # from the highest down, and the lowest place seen so far.
+    marks = rows.select("key", F.col("upto").alias("v"), F.lit(0).alias("asks"), F.col("i").alias("found"), F.lit(None).cast("long").alias("i"))
+    asks = rows.select("key", (F.col("before") + max_words).alias("v"), F.lit(1).alias("asks"), F.lit(None).cast("long").alias("found"), "i")
+    order = [F.desc("v"), F.desc("asks")]
+    grain = F.lit(max(bin_rows, max_words) * 8)
+    told = running(marks.unionByName(asks), ["key"], order, -F.floor(F.col("v") / grain), {"next": ("min", F.col("found"))})
+    jump = written(told.where("asks = 1 and next is not null").select("key", "i", F.greatest("next", F.col("i") + 1).alias("to")), "jumps")
+    starts = written(rows.where("i = 1").select("key", "i"), "starts")
+    while True:
+        reached = starts.join(jump, ["key", "i"]).select("key", F.col("to").alias("i"))
+        if reached.isEmpty():
+            break
+        starts = written(starts.unionByName(reached).distinct(), "starts")
+        on = jump.select("key", F.col("i").alias("to"), F.col("to").alias("_far"))
+        jump = written(jump.join(on, ["key", "to"]).select("key", "i", F.col("_far").alias("to")), "jumps")
+    flagged = rows.join(starts.withColumn("_s", F.lit(1)), ["key", "i"], "left")
+    numbered = running(flagged, ["key"], [F.col("i")], F.floor(F.col("i") / bin_rows), {"_c": ("sum", F.coalesce("_s", F.lit(0)))})
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda s: F.coalesce(s["text"], F.lit("")))
+    chunks = numbered.groupBy("key", "_c").agg(F.array_join(texts, "\n").alias("chunk"))
+    return chunks.select(F.col("key").alias(key), (F.col("_c") - 1).cast("int").alias("chunk_index"), "chunk")

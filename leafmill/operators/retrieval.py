@@ -267,29 +267,35 @@ def build_context(hits: DataFrame, max_docs: int | None = None, snippet: int | N
     )
 
 
-def merge_context(graph: Column, parts: Column, total: int = 4000, per_part: int = 500, max_parts: int = 5) -> Column:
-    """Graph text (half of ``total``) and up to five marked parts joined and cut to ``total``.
+def merge_context(
+    graph: Column, parts: Column, total: int | None = None, per_part: int | None = None, max_parts: int | None = None
+) -> Column:
+    """Graph text and marked parts joined; ``parts`` is array<struct<source, page, text>>.
 
-    ``parts`` is array<struct<source, page, text>>.
+    Limits leave out more where they are given: ``max_parts`` parts, ``per_part`` characters of each, ``total``
+    characters in all, half of them for either side.
     """
-    half = total // 2
+
+    def cut(text: Column, most: int | None, mark: str) -> Column:
+        if most is None:
+            return text
+        return F.concat(F.substring(text, 1, most), F.when(F.length(text) > most, mark).otherwise(""))
+
+    half = None if total is None else total // 2
     g = F.when(
         F.trim(F.coalesce(graph, F.lit(""))) != "",
-        F.concat(F.lit("=== Knowledge Graph Context ===\n"), F.substring(graph, 1, half)),
+        F.concat(F.lit("=== Knowledge Graph Context ===\n"), cut(graph, half, "")),
     )
     texts = F.transform(
-        F.slice(parts, 1, max_parts),
+        parts if max_parts is None else F.slice(parts, 1, max_parts),
         lambda p: F.concat(
             F.lit("[SOURCE: "), p["source"], F.lit(", page "), (p["page"] + 1).cast("string"), F.lit("]\n"),
-            F.substring(p["text"], 1, per_part),
-            F.when(F.length(p["text"]) > per_part, "...").otherwise(""),
+            cut(p["text"], per_part, "..."),
         ),
     )
-    joined = F.array_join(texts, "\n\n---\n\n")
-    cut = F.when(F.length(joined) > half, F.concat(F.substring(joined, 1, half), F.lit("\n\n[...truncated...]"))).otherwise(joined)
-    v = F.when(F.size(parts) > 0, F.concat(F.lit("=== Vector Search Context ===\n"), cut))
-    merged = F.array_join(F.array_compact(F.array(g, v)), "\n\n===\n\n")
-    return F.concat(F.substring(merged, 1, total), F.when(F.length(merged) > total, "...").otherwise(""))
+    joined = cut(F.array_join(texts, "\n\n---\n\n"), half, "\n\n[...truncated...]")
+    v = F.when(F.size(parts) > 0, F.concat(F.lit("=== Vector Search Context ===\n"), joined))
+    return cut(F.array_join(F.array_compact(F.array(g, v)), "\n\n===\n\n"), total, "...")
 
 
 def keyword_search(queries: DataFrame, kb: DataFrame, k: int = 5) -> DataFrame:

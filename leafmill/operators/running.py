@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafmill.sources.scratch import written
+
 _COMBINE = {
     "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
     "min": (F.min, F.least),
@@ -51,17 +53,12 @@ def previous(df: DataFrame, keys: list[str], order: list[str], bin_: Column, val
     return src.join(earlier, [*keys, "_bin"]).withColumn(out, F.coalesce(inside, "_prev")).drop("_bin", "_prev")
 
 
-def _split_points(df: DataFrame, keys: list[str], value: str, n_bins: int) -> DataFrame:
-    probs = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
-    return df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, probs, F.lit(10_000))).alias("_splits"))
-
-
-def cumulative_counts(
-    df: DataFrame, keys: list[str], value: str, counts: dict[str, Column] | None = None, n_bins: int | None = None
-) -> DataFrame:
+def cumulative_counts(df: DataFrame, keys: list[str], value: str, counts: dict[str, Column] | None = None) -> DataFrame:
     """Distinct values per group with running counts (``cum_*``) and group totals (``total_*``).
 
-    A group is cut into ``n_bins`` bins: by default one for each 100,000 rows of the input, 64 at least.
+    Distinct values are counted before they move and then dealt by range of (keys, value), with the borders that Spark
+    samples: a group of any size, or one that holds all rows, is spread over as many tasks as the session shuffles to,
+    and the task's number is the bin of its values. Counts are written once, as the borders would differ in a second run.
     """
     counts = counts or {"n": F.lit(1)}
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
@@ -69,14 +66,10 @@ def cumulative_counts(
         clean, keys_ = clean.withColumn("_all", F.lit(0)), ["_all"]
     else:
         keys_ = keys
-    if n_bins is None:
-        n_bins = min(10_000, max(64, clean.count() // 100_000))
     dist = clean.groupBy(*keys_, value).agg(*[F.sum(c).alias(n) for n, c in counts.items()])
-    splits = _split_points(clean, keys_, value, n_bins)
-    binned = dist.join(splits, keys_)
-    bin_ = F.size(F.filter("_splits", lambda s: s < F.col(value)))
-    cum = running(binned, keys_, [F.col(value)], bin_, {f"cum_{n}": ("sum", F.col(n)) for n in counts}).drop("_splits")
-    totals = dist.groupBy(*keys_).agg(*[F.sum(n).alias(f"total_{n}") for n in counts])
+    dealt = written(dist.repartitionByRange(*keys_, value).withColumn("_range", F.spark_partition_id()), "counts")
+    cum = running(dealt, keys_, [F.col(value)], F.col("_range"), {f"cum_{n}": ("sum", F.col(n)) for n in counts}).drop("_range")
+    totals = dealt.groupBy(*keys_).agg(*[F.sum(n).alias(f"total_{n}") for n in counts])
     out = cum.join(totals, keys_)
     return out if keys else out.drop("_all")
 

@@ -178,12 +178,12 @@ def schema_summary(t: Tables) -> DataFrame:
 @query(
     "visual_graph",
     "A33",
-    f"""with {GRAPH}, c as (select v.name as src, e.type as rel, w.name as dst, v.type as st, w.type as dt from v join e on e.src = v.id join v w on w.id = e.dst where v.id not like 'O%'),
+    f"""with {GRAPH}, c as (select v.name as src, e.type as rel, w.name as dst, v.type as st, w.type as dt from v join e on e.src = v.id join v w on w.id = e.dst),
 n as (select name, min(type) as type from (select src as name, st as type from c union all select dst, dt from c) group by 1)
 select 'node' as kind, name as a, type as b, '' as c from n union all select distinct 'edge', src, rel, dst from c""",
 )
 def visual_graph(t: Tables) -> DataFrame:
-    v = vertices(t).where("id not like 'O%'")
+    v = vertices(t)
     to = v.select(F.col("id").alias("dst"), F.col("name").alias("target"), F.col("type").alias("target_type"))
     rec = v.join(edges(t).withColumnRenamed("type", "rel"), F.col("id") == F.col("src")).join(to, "dst")
     records = rec.select(F.col("name").alias("entity"), "type", F.array(F.struct("rel", "target", "target_type")).alias("connections"))

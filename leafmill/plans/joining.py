@@ -96,9 +96,9 @@ def orphans(t: Tables) -> DataFrame:
     "J6",
     f"""with {BLOCKS},
 h as (select lang as query_id, doc_id * 100000 + block_index as rank, doc_id || '-' || block_index as chunk_id,
-   doc_id::varchar as parent_id, text from blocks where contains(text, 'ti')),
+   case when doc_id % 5 = 0 then 'gone-' else '' end || doc_id as parent_id, text from blocks where contains(text, 'ti')),
 j as (select h.*, d.text as parent_text, case when d.text is not null then 'p:' || parent_id else 'c:' || chunk_id end as unit
-   from h left join documents d on d.doc_id::varchar = h.parent_id and n_chars <= 3000),
+   from h left join documents d on d.doc_id::varchar = h.parent_id),
 r as (select *, row_number() over (partition by query_id, unit order by rank) as rn from j)
 select query_id, unit, rank, chunk_id, md5(coalesce(parent_text, text)) as text_md5, parent_text is not null as expanded
 from r where rn = 1""",
@@ -108,10 +108,10 @@ def expand_to_parents(t: Tables) -> DataFrame:
         F.col("lang").alias("query_id"),
         (F.col("doc_id") * 100000 + F.col("block_index")).alias("rank"),
         F.concat_ws("-", "doc_id", "block_index").alias("chunk_id"),
-        F.col("doc_id").cast("string").alias("parent_id"),
+        F.concat(F.when(F.col("doc_id") % 5 == 0, "gone-").otherwise(""), "doc_id").alias("parent_id"),
         "text",
     )
-    parents = t.documents.where("n_chars <= 3000").select(F.col("doc_id").cast("string").alias("parent_id"), "text")
+    parents = t.documents.select(F.col("doc_id").cast("string").alias("parent_id"), "text")
     return J.expand_to_parents(hits, parents).select(
         "query_id", "unit", "rank", "chunk_id", F.md5("text").alias("text_md5"), "expanded"
     )

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.operators import comparing as CO
 from leafmill.operators import graph as G
 from leafmill.operators import provenance as V
 from leafmill.operators.ranking import version_history
-from leafmill.plans.retrieving import bm25_documents, BM25, passages
+from leafmill.plans.retrieving import BM25, bm25_documents, passages
+from leafmill.plans.sqlparts import tokens_sql
 from leafmill.registry import query
 from leafmill.sources.tables import Tables
 
@@ -99,3 +101,41 @@ def compare_docs(t: Tables) -> DataFrame:
     return G.compare_documents(t.documents, "source", "doc_id", "text").select(
         "source", F.md5("line").alias("line_md5"), "n_docs", "n_occurrences"
     )
+
+
+#: Jobs of twenty documents in a row.
+_JOB_TERMS = f"""jt as (select doc_id // 20 as job, doc_id as doc, unnest({tokens_sql("text")}) as term from documents),
+jn as (select doc_id // 20 as job, count(distinct doc_id) as n from documents group by 1 having count(distinct doc_id) between 2 and 50),
+tf as (select job, doc, term, count(*) as tf from jt group by all),
+wt as (select job, doc, term, tf, df, n, tf * (ln((n + 1) / (df + 1)) + 1) as w from tf join (select job, term, count(*) as df from tf group by all) using (job, term) join jn using (job))"""
+
+
+def _jobs(t: Tables) -> DataFrame:
+    return t.documents.select(F.floor(F.col("doc_id") / 20).alias("job"), F.col("doc_id").alias("doc"), "text")
+
+
+@query(
+    "compare_similarity",
+    "A37",
+    f"""with {_JOB_TERMS}, u as (select job, doc, term, w / sqrt(sum(w * w) over (partition by job, doc)) as u from wt)
+select a.job, a.doc as doc_a, b.doc as doc_b, count(*) as n_shared, round(100 * sum(a.u * b.u), 2) as score from u a join u b on a.job = b.job and a.term = b.term and a.doc < b.doc group by all""",
+)
+def compare_similarity(t: Tables) -> DataFrame:
+    return CO.similarity(_jobs(t), "job", "doc", "text")
+
+
+@query(
+    "compare_difference",
+    "A37",
+    f"""with {_JOB_TERMS}, r as (select *, row_number() over (partition by job, doc order by case when df = 1 then round(w, 6) end desc nulls last, term) as rn from wt)
+select job, doc, count(*) filter (df = 1) as n_own, round(sum(case when df = 1 then w else 0 end) / sum(w), 4) as share,
+  coalesce(string_agg(term, ' ' order by rn) filter (df = 1 and rn <= 5), '') as terms from r group by job, doc""",
+)
+def compare_difference(t: Tables) -> DataFrame:
+    return CO.difference(_jobs(t), "job", "doc", "text")
+
+
+# An iteration over sentences has no SQL here; tests compare it with matrices.
+@query("compare_summary", "A37")
+def compare_summary(t: Tables) -> DataFrame:
+    return CO.summary(_jobs(t), "job", "doc", "text")

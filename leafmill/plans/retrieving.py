@@ -284,15 +284,13 @@ def build_context(t: Tables) -> DataFrame:
 @query(
     "merge_context",
     "R14",
-    f"""with {HITS}, p as (select query_id, string_agg('[SOURCE: ' || source || ', page ' || (page + 1) || ']' || chr(10) || substr(text, 1, 500) || case when length(text) > 500 then '...' else '' end,
-   chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as v from hits where rank <= 5 group by 1),
-m as (select p.query_id, case when p.query_id % 2 = 0 then '=== Knowledge Graph Context ===' || chr(10) || substr(q.text, 1, 2000) || chr(10) || chr(10) || '===' || chr(10) || chr(10) else '' end ||
-   '=== Vector Search Context ===' || chr(10) || case when length(v) > 2000 then substr(v, 1, 2000) || chr(10) || chr(10) || '[...truncated...]' else v end as m
-  from p join benchmark q on q.item_id = p.query_id)
-select query_id, substr(m, 1, 4000) || case when length(m) > 4000 then '...' else '' end as context from m""",
+    f"""with {HITS}, p as (select query_id, string_agg('[SOURCE: ' || source || ', page ' || (page + 1) || ']' || chr(10) || text,
+   chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as v from hits group by 1)
+select p.query_id, case when p.query_id % 2 = 0 then '=== Knowledge Graph Context ===' || chr(10) || q.text || chr(10) || chr(10) || '===' || chr(10) || chr(10) else '' end ||
+   '=== Vector Search Context ===' || chr(10) || v as context from p join benchmark q on q.item_id = p.query_id""",
 )
 def merge_context(t: Tables) -> DataFrame:
-    hits = ranked_hits(t, 10).where("rank <= 5")
+    hits = ranked_hits(t, 10)
     parts = F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "source", "page", "text"))),
         lambda s: F.struct(s["source"].alias("source"), s["page"].alias("page"), s["text"].alias("text")),

@@ -182,24 +182,38 @@ def word_chunks(t: Tables) -> DataFrame:
     ).select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"))
 
 
-# A turn longer than the limit falls back to fixed word windows, as a transcript without segments does.
 @query(
     "transcript_chunks",
     "C5",
     """
-with w as (select conv_id, turn, role, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as ws
+with recursive l as (select conv_id, row_number() over (partition by conv_id order by turn) as i,
+    role || ': ' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') as line from conversations),
+w as (select *, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) as n from l),
+r as (select conv_id, i, 0 as chunk_index, n as filled, line from w where i = 1
+  union all select w.conv_id, w.i, case when filled + w.n > 200 then chunk_index + 1 else chunk_index end,
+    case when filled + w.n > 200 then w.n else filled + w.n end, w.line from r join w on w.conv_id = r.conv_id and w.i = r.i + 1)
+select conv_id, chunk_index::int as chunk_index, string_agg(line, chr(10) order by i) as chunk from r group by 1, 2""",
+)
+def transcript_chunks(t: Tables) -> DataFrame:
+    """Turns with their speaker, packed across turns."""
+    lines = t.conversations.select("conv_id", "turn", F.concat("role", F.lit(": "), X.strip(F.col("text"))).alias("line"))
+    return C.pack_segments(lines, "conv_id", "turn", "line", 200)
+
+
+@query(
+    "transcript_windows",
+    "C5",
+    """
+with w as (select conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') as ws
            from conversations),
 e as (select *, unnest(range(0, greatest(len(ws), 1), 50)) as s from w)
-select conv_id, turn, (s // 50)::int as chunk_index, role || ': ' || array_to_string(ws[s + 1:s + 50], ' ') as chunk
+select conv_id, turn, (s // 50)::int as chunk_index, array_to_string(ws[s + 1:s + 50], ' ') as chunk
 from e""",
 )
-def transcript_chunks(t: Tables) -> DataFrame:
-    return t.conversations.select(
-        "conv_id",
-        "turn",
-        "role",
-        F.posexplode(C.word_windows(X.split_space(F.col("text")), 50)).alias("chunk_index", "w"),
-    ).select("conv_id", "turn", "chunk_index", F.concat(F.col("role"), F.lit(": "), F.col("w")).alias("chunk"))
+def transcript_windows(t: Tables) -> DataFrame:
+    """A transcript without segments: fixed windows of words."""
+    windows = C.word_windows(X.split_space(F.col("text")), 50)
+    return t.conversations.select("conv_id", "turn", F.posexplode(windows).alias("chunk_index", "chunk"))
 
 
 @query(

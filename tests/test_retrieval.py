@@ -91,3 +91,18 @@ def test_intervals_edges(spark):
     assert got == {5.0: "A", 10.0: "A", 12.0: None, 30.0: "C"}
     twice = J.points_in_intervals(p.unionByName(p), i, "k", "at", "start", "end", 7.0)
     assert twice.count() == 8 and twice.columns == ["k", "at", "label"]
+
+
+def test_merge_context_limits(spark):
+    from pyspark.sql import functions as F
+
+    parts = F.expr("array(struct('s' as source, 0 as page, 'abcdef' as text), struct('t' as source, 4 as page, 'xyz' as text))")
+    row = spark.range(1).select(
+        R.merge_context(F.lit("graph"), parts).alias("all"),
+        R.merge_context(F.lit(" "), parts, per_part=3, max_parts=1).alias("few"),
+        R.merge_context(F.lit("graph text"), parts, total=20).alias("short"),
+        R.merge_context(F.lit(None).cast("string"), F.expr("array()").cast("array<struct<source:string,page:int,text:string>>")).alias("none"),
+    ).first()
+    assert row.all == "=== Knowledge Graph Context ===\ngraph\n\n===\n\n=== Vector Search Context ===\n[SOURCE: s, page 1]\nabcdef\n\n---\n\n[SOURCE: t, page 5]\nxyz"
+    assert row.few == "=== Vector Search Context ===\n[SOURCE: s, page 1]\nabc..."
+    assert row.short == "=== Knowledge Graph ..." and row.none == ""

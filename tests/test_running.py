@@ -100,3 +100,20 @@ def test_cooldown(spark):
     rows = [("a", t0 + pd.Timedelta(hours=h)) for h in (0, 5, 23, 24, 30, 49)] + [("b", t0)]
     got = R.cooldown_gate(spark.createDataFrame(pd.DataFrame(rows, columns=["k", "at"]), "k string, at timestamp_ntz"), "k", "at").toPandas()
     assert sorted((got[got["k"] == "a"]["at"] - t0).dt.total_seconds() / 3600) == [0, 24, 49]
+
+
+def test_one_group_is_dealt_by_range(spark, monkeypatch):
+    """All rows in one group: its values lie in several ranges, and positions go on across them."""
+    from leafmill.operators import running
+
+    kept, seen = running.written, []
+    monkeypatch.setattr(running, "written", lambda df, *a: seen.append(kept(df, *a)) or seen[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(20_000).selectExpr("id * 7919 % 20000 / 3.0D as v").repartition(6)
+        cum = {r.v: r.cum_n for r in running.cumulative_counts(df, [], "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [cum[v] for v in sorted(cum)] == list(range(1, 20_001))
+    sizes = [r["count"] for r in seen[0].groupBy("_range").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 8_000

@@ -104,3 +104,25 @@ def test_markdown_and_pipe_rows(spark):
     rows = one(spark, X.pipe_rows(F.col("t")), t="a | b | c\nnoise\n1 | 2\n")
     assert rows == [["a", "b", "c"], ["1", "2", ""]]
     assert one(spark, X.pipe_rows(F.col("t")), t="only | one") is None
+
+
+def test_segments_are_packed_as_one_by_one(spark):
+    import random
+
+    rnd = random.Random(6)
+    rows = [(k, i * 3 + 1, " ".join(["w"] * rnd.choice([0, 1, 2, 3, 5, 9, 14]))) for k in range(6) for i in range(rnd.choice([1, 2, 40, 90]))]
+    rows += [(9, i, "one two three") for i in range(700)] + [(10, 1, None)]
+    got = C.pack_segments(spark.createDataFrame(rows, "k int, at int, text string"), "k", "at", "text", 10, bin_rows=16).collect()
+    want = []
+    for k in {r[0] for r in rows}:
+        chunks, n = [], 0
+        for _, _, text in sorted(r for r in rows if r[0] == k):
+            words = len((text or "").split())
+            if chunks and n + words <= 10:
+                chunks[-1].append(text or "")
+                n += words
+            else:
+                chunks.append([text or ""])
+                n = words
+        want += [(k, i, "\n".join(c)) for i, c in enumerate(chunks)]
+    assert sorted((r.k, r.chunk_index, r.chunk) for r in got) == sorted(want)
