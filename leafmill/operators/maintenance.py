@@ -1,10 +1,14 @@
-"""Upserts, deletes and plan changes as whole-table rewrites (no lakehouse format is assumed)."""
+"""Upserts, deletes, plan changes and new vectors as whole-table rewrites (no lakehouse format is assumed)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.sources.scratch import stored_at
+
 
 def upsert(base: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
     """Last write per key wins; a grouped ``max_by`` combines on the map side, so hot keys stay cheap."""
@@ -59,3 +63,75 @@ def apply_plan(workspaces: DataFrame, changes: DataFrame) -> DataFrame:
         .withColumns({"plan": F.coalesce("new_plan", "plan"), "status": F.coalesce("new_status", "status")})
         .drop("new_plan", "new_status")
     )
+
+
+Embed = Callable[[DataFrame], DataFrame]
+
+
+class VectorStore:
+    """Versions of the vectors of a collection under one folder; readers see the version that the manifest names.
+
+    ``vectors/version=V/part=P`` and ``failed/version=V/part=P`` are written part by part, a ``parts`` row commits each, and
+    a ``manifest`` row, last of all, makes the version the current one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _rows(self, table: str, schema: str) -> DataFrame:
+        path = f"{self.path}/{table}"
+        return self.spark.read.schema(schema).parquet(path) if stored_at(self.spark, path) else self.spark.createDataFrame([], schema)
+
+    def _add(self, table: str, row: tuple, schema: str) -> None:
+        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{table}")
+
+    def current(self) -> str | None:
+        """The version that was finished last."""
+        last = self._rows("manifest", "version string, number int").orderBy(F.desc("number")).first()
+        return last.version if last else None
+
+    def vectors(self, version: str | None = None) -> DataFrame:
+        """``(key, embedding)`` of a version, the current one by default; none before there is one."""
+        version = version or self.current()
+        rows = self._rows("vectors", "key long, embedding array<double>, version string, part int")
+        return rows.where(F.col("version") == (version or "")).select("key", "embedding")
+
+    def failed(self, version: str) -> DataFrame:
+        """Keys that a version has no vector for."""
+        return self._rows("failed", "key long, version string, part int").where(F.col("version") == version).select("key")
+
+    def done_parts(self, version: str) -> set[int]:
+        rows = self._rows("parts", "version string, part int, n_processed long, n_failed long")
+        return {r.part for r in rows.where(F.col("version") == version).collect()}
+
+    def re_embed(self, chunks: DataFrame, version: str, embed: Embed, parts: int = 8) -> DataFrame:
+        """Compute all vectors of ``chunks(key, text)`` anew beside the old ones, then make them the current ones.
+
+        ``embed`` maps ``(key, text)`` to ``(key, embedding)``; a chunk that it leaves out or gives no vector is listed as
+        failed. A run that broke off is called again with the same version: parts that are committed are not computed
+        again, and until the last one is, readers see the version before. Returns ``(version, n_processed, n_failed)``.
+        """
+        staged = f"{self.path}/staged/version={version}"
+        if not stored_at(self.spark, f"{staged}/_SUCCESS"):
+            part = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
+            chunks.select("key", "text", part.alias("part")).repartition("part", F.pmod(F.hash("key"), F.lit(64))).write.mode(
+                "overwrite"
+            ).partitionBy("part").parquet(staged)
+        staged_rows = self.spark.read.schema("key long, text string, part int").parquet(staged)
+        done = self.done_parts(version)
+        for p in range(parts):
+            if p in done:
+                continue
+            mine = staged_rows.where(F.col("part") == p).select("key", "text")
+            at = f"version={version}/part={p}"
+            got = embed(mine).where(F.size("embedding") > 0).select("key", F.col("embedding").cast("array<double>").alias("embedding"))
+            got.write.mode("overwrite").parquet(f"{self.path}/vectors/{at}")
+            got = self.spark.read.parquet(f"{self.path}/vectors/{at}")
+            mine.select("key").join(got, "key", "left_anti").write.mode("overwrite").parquet(f"{self.path}/failed/{at}")
+            n_failed = self.spark.read.parquet(f"{self.path}/failed/{at}").count()
+            self._add("parts", (version, p, got.count(), n_failed), "version string, part int, n_processed long, n_failed long")
+        if self.current() != version:
+            number = self._rows("manifest", "version string, number int").count()
+            self._add("manifest", (version, number), "version string, number int")
+        rows = self._rows("parts", "version string, part int, n_processed long, n_failed long").where(F.col("version") == version)
+        return rows.groupBy("version").agg(F.sum("n_processed").alias("n_processed"), F.sum("n_failed").alias("n_failed"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as X
 from leafmill.functions import vectors as V
 from leafmill.operators import retrieval as R
+from leafmill.operators.maintenance import VectorStore
 from leafmill.operators.textindex import TextIndex
 from leafmill.operators.vectorindex import VectorIndex
 from leafmill.operators.ranking import cached_replay, threshold_top_k, top_k_per_key
@@ -379,7 +380,11 @@ def union_ranked(t: Tables) -> DataFrame:
  from documents d left join dv_n using (doc_id) group by 1""",
 )
 def re_embed(t: Tables) -> DataFrame:
-    made = V.hash_features(t.documents, "doc_id", word_tokens()).select("doc_id").distinct().withColumn("ok", F.lit(1))
+    """All documents embedded into a new version; the counts are taken from what is read back."""
+    store = VectorStore(t.spark, f"{scratch_folder(t.spark)}/vector-store-1-{files_mark(t, 'documents')}")
+    chunks = t.documents.select(F.col("doc_id").alias("key"), "text")
+    store.re_embed(chunks, "hash64", lambda df: V.hash_embed(df, "key", word_tokens()), parts=4)
+    made = store.vectors().select(F.col("key").alias("doc_id"), F.lit(1).alias("ok"))
     j = t.documents.select("doc_id", "source").join(made, "doc_id", "left")
     return j.groupBy("source").agg(
         F.count("*").alias("n_total"), F.count("ok").alias("n_processed"), (F.count("*") - F.count("ok")).alias("n_failed")
