@@ -50,6 +50,21 @@ def task_progress(t: Tables) -> DataFrame:
     return _ntz(S.latest_state(_events(t), "user_id", F.struct("ts", "event_id"), F.col("event_type")), "last_ts")
 
 
+@query(
+    "task_history",
+    "ST4",
+    """with e as (select user_id as task, ts, event_id, case event_type when 'purchase' then 'complete' when 'error' then 'failed' else event_type end as state from events),
+o as (select *, coalesce(ts > lag(ts) over w + interval 600 minutes, true)::int as opens from e window w as (partition by task order by ts, event_id)),
+p as (select *, sum(opens) over (partition by task order by ts, event_id) as part from o)
+select task, row_number() over (partition by task, part order by ts, event_id)::int as seq, epoch_us(ts) as at_us, state, state in ('complete', 'failed') as terminal from p""",
+)
+def task_history(t: Tables) -> DataFrame:
+    """Users' events as the progress of a task; ten hours of silence begin a new history."""
+    state = F.when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type"))
+    e = _events(t).select(F.col("user_id").alias("task"), "ts", F.col("event_id").alias("tie"), state.alias("state"))
+    return S.task_history(e, 36_000)
+
+
 @query(
     "ingest_chunks",
     "ST6",

@@ -9,13 +9,14 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from leafmill.functions import text as X
 from leafmill.functions import vectors as V
 from leafmill.operators import chunking as C
 from leafmill.operators.ranking import RATE_LIMITS
+from leafmill.operators.running import previous, running
 from leafmill.operators.textindex import TextIndex
 from leafmill.sources.scratch import written
 from leafmill.sources.tables import SCHEMAS
@@ -184,6 +185,75 @@ def task_progress_stream(events: DataFrame, ttl_s: int = 600) -> DataFrame:
     )
 
 
+#: States that end a task.
+TERMINAL = ("complete", "failed")
+HISTORY = "task {task}, seq int, at_us bigint, state string, terminal boolean"
+
+
+class TaskHistory(StatefulProcessor):
+    """Numbers a task's events in the order of their time; the list of them is forgotten ``ttl_s`` after the last one."""
+
+    def __init__(self, ttl_s: int):
+        self.ttl_us = ttl_s * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "at_us bigint, state string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["at_us", "tie"], kind="stable")
+        known = [tuple(e) for e in self.events.get()] if self.events.exists() else []
+        last = max((e[0] for e in known), default=None)
+        out, added = [], []
+        for at, state in zip(new["at_us"].tolist(), new["state"].tolist()):
+            if last is not None and at > last + self.ttl_us:
+                known, added = [], []
+                self.events.clear()
+            last = at if last is None or not known + added else max(last, at)
+            added.append((at, state))
+            out.append((key[0], len(known) + len(added), at, state, state in TERMINAL))
+        if added:
+            self.events.appendList(added)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((last + self.ttl_us) // 1000 + 1)
+        yield pd.DataFrame(out, columns=["task", "seq", "at_us", "state", "terminal"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.events.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def task_history_stream(events: DataFrame, ttl_s: int = 600) -> DataFrame:
+    """Every event of tasks(task, ts, tie, state) with its place in the task's history and whether it ends the task.
+
+    A history is forgotten ``ttl_s`` seconds of event time after its last event; the next event begins a new one. Events
+    later than the watermark of the same length are dropped. Needs the RocksDB state store.
+    """
+    task = dict(events.dtypes)["task"]
+    return (
+        events.withWatermark("ts", f"{ttl_s} seconds")
+        .withColumn("at_us", F.unix_micros("ts"))
+        .groupBy("task")
+        .transformWithStateInPandas(TaskHistory(ttl_s), HISTORY.format(task=task), "append", "eventTime")
+    )
+
+
+def task_history(events: DataFrame, ttl_s: int = 600, bin_s: int = 86_400) -> DataFrame:
+    """The batch twin: ``(task, seq, at_us, state, terminal)``, numbered through bins of time, so no task is one sort."""
+    at = events.select("task", F.unix_micros("ts").alias("at_us"), "tie", "state")
+    bin_ = F.floor(F.col("at_us") / (bin_s * 1_000_000))
+    before = previous(at, ["task"], ["at_us", "tie"], bin_, "at_us", "_before")
+    opens = F.coalesce(F.col("at_us") > F.col("_before") + ttl_s * 1_000_000, F.lit(True)).cast("int")
+    order = [F.col("at_us"), F.col("tie")]
+    parts = running(before, ["task"], order, bin_, {"_part": ("sum", opens)})
+    numbered = running(parts, ["task", "_part"], order, bin_, {"seq": ("sum", F.lit(1))})
+    return numbered.select("task", F.col("seq").cast("int").alias("seq"), "at_us", "state", F.col("state").isin(*TERMINAL).alias("terminal"))
+
+
 def ingest_chunks(docs: DataFrame) -> DataFrame:
     """Documents to scrubbed blocks with their ids; the same function serves batches and streams."""
     blocks = C.text_blocks(docs.select("doc_id", "source", "text"))

@@ -113,6 +113,21 @@ def test_task_progress_stream(spark, sf, folder):
     assert (last["state"].sort_index() == want["state"]).all() and (last["n_events"].sort_index() == want["n"]).all()
 
 
+def test_task_history_stream(spark, sf, folder):
+    """All events with their places, over micro-batches and expired histories, as in the batch twin."""
+    stream, ev = events(spark, sf, folder)
+    tasks = lambda df: df.select((F.col("user_id") % 4).alias("task"), "ts", F.col("event_id").alias("tie"), F.when(F.col("event_type") == "purchase", "complete").otherwise(F.col("event_type")).alias("state"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = spark.read.parquet(drain(S.task_history_stream(tasks(stream), 7200), folder)).toPandas()
+    finally:
+        spark.conf.unset(key)
+    rows = lambda df: sorted(zip(df["task"], df["seq"], df["at_us"], df["state"], df["terminal"]))
+    want = S.task_history(tasks(spark.createDataFrame(ev)), 7200).toPandas()
+    assert rows(out) == rows(want) and (out["seq"] == 1).sum() > 8 and out["terminal"].any()
+
+
 def test_incremental_ingest_into_an_index(spark, sf, folder):
     """Chunks, postings and vectors of arriving documents; replays and repeated files add nothing."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
