@@ -23,7 +23,10 @@ def words(text: Column) -> Column:
 
 
 def sampling_key(id_: Column, weight: Column, seed: str = "mix") -> Column:
-    """Exponential key of rate ``weight``; u comes from 52 bits of an MD5, so every engine and rerun agrees."""
+    """Exponential key of rate ``weight``; u comes from 52 bits of an MD5, so every engine and rerun agrees.
+
+    ``id_`` is a row's id as text.
+    """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit(""))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / float(1 << 52)
     return -F.log(u) / weight
@@ -34,15 +37,17 @@ def keyed(
 ) -> DataFrame:
     """``(doc_id, source, size, key)`` and ``keep``; ``weights(id, weight)`` may lack ids (1) and repeat them (largest)."""
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *keep
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *keep,
+        # Rows without an id are told apart by their texts.
+        F.coalesce(F.col(id_col).cast("string"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("_name"),
     )
     weight = F.lit(1.0)
     if weights is not None:
         one = weights.groupBy(F.col("id").alias("_of")).agg(F.max("weight").alias("_weight"))
         rows = join_checked(rows, one, F.col("doc_id") == F.col("_of"), "left")
         weight = F.coalesce(F.when(F.col("_weight") > 0, F.col("_weight")), F.lit(1.0))
-    names = [c for c in rows.columns if c not in ("_of", "_weight")]
-    return rows.select(*names, sampling_key(F.col("doc_id"), weight, seed).alias("key"))
+    names = [c for c in rows.columns if c not in ("_of", "_weight", "_name")]
+    return rows.select(*names, sampling_key(F.col("_name"), weight, seed).alias("key"))
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
@@ -135,7 +140,8 @@ def mixed(
 
     ``taken`` counts a document's words once for each epoch and once more if it is in the fraction, whose last
     document is the one that comes nearest to the target. Null texts have size 0, null sources are one source; rows
-    that repeat an id are taken together; an empty table gives no rows. Reruns agree.
+    that repeat an id are taken together, and so are rows without an id that repeat a text; an empty table gives no
+    rows. Reruns agree.
     """
     narrow = checkpointed(keyed(docs, weights, id_col, text_col, source_col, seed, []))
     plan = budgets(narrow, share, most)

@@ -116,9 +116,19 @@ def shard(
 
 
 def write_shards(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id", rows_per_file: int = 1_000_000) -> None:
-    """Write ``docs`` as Parquet folders ``shard=N``, rows in slot order; ids must be unique."""
-    p = plan.select(F.col("doc_id").alias("of"), "shard", "slot")
-    rows = docs.join(p, F.col(id_col).eqNullSafe(F.col("of"))).drop("of")
+    """Write ``docs`` as Parquet folders ``shard=N``, rows in slot order; ids must be unique.
+
+    Columns of ``docs`` that are named like one of the plan's get underscores behind.
+    """
+    names = []
+    for c in docs.columns:
+        name = c
+        while name.lower() in ("shard", "slot", "_of") or (name != c and name in docs.columns):
+            name += "_"
+        names.append(name)
+    p = plan.select(F.col("doc_id").alias("_of"), "shard", "slot")
+    own = docs.toDF(*names)
+    rows = own.join(p, F.col(names[docs.columns.index(id_col)]).eqNullSafe(F.col("_of"))).drop("_of")
     file_no = F.floor(F.col("slot") / rows_per_file)
     ordered = rows.repartition("shard", file_no).sortWithinPartitions("shard", "slot")
     ordered.write.partitionBy("shard").parquet(path)

@@ -20,7 +20,7 @@ def odd_docs(spark):
         (7, "Zwei\n\nWörter </s> <|x|> 😀", "de", "c", 1),
     ]
     df = spark.createDataFrame(rows, DOCS)
-    extra = {c: "n_chars" for c in ("size", "row", "key", "fp", "start", "kept", "digest", "words", "n", "shard", "item")}
+    extra = {c: "n_chars" for c in ("size", "row", "key", "fp", "start", "kept", "digest", "words", "n", "shard", "item", "slot", "h1", "h2", "line_no", "at", "_row", "_k1", "_of", "_weight", "of", "whole")}
     return df.selectExpr("*", *[f"{v} as {k}" for k, v in extra.items()])
 
 
