@@ -22,28 +22,38 @@ def _identity(*cols: str) -> list[Column]:
     return [F.xxhash64(F.lit(k), *values).alias(f"k{k}") for k in (1, 2)]
 
 
-def _keyed(docs: DataFrame, key: Column) -> DataFrame:
-    """``docs`` with a row key in ``_row``: ids may be null or stand over several texts, so no stage decides by id alone."""
-    return docs.select("*", key.alias("_row"))
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores behind where ``docs`` has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def _only(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, key: Column) -> tuple[DataFrame, str]:
+    """``docs`` with a row key and its name: ids may be null or stand over several texts, so no stage decides by id alone."""
+    name = _free(docs, "_row")
+    return docs.select("*", key.alias(name)), name
+
+
+def _only(keyed: DataFrame, name: str, keys: DataFrame) -> DataFrame:
     """Rows of ``keyed`` whose row key is among ``keys(doc_id)``."""
-    keys = keys.select(F.col("doc_id.k1").alias("_k1"), F.col("doc_id.k2").alias("_k2"))
-    same = (F.col("_row.k1") == F.col("_k1")) & (F.col("_row.k2") == F.col("_k2"))
+    one, two = _free(keyed, "_k1"), _free(keyed, "_k2")
+    keys = keys.select(F.col("doc_id.k1").alias(one), F.col("doc_id.k2").alias(two))
+    same = (F.col(f"{name}.k1") == F.col(one)) & (F.col(f"{name}.k2") == F.col(two))
     return join_checked(keyed, keys, same, "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive rules keep."""
-    keyed = _keyed(docs, F.struct(*_identity("doc_id", "text", "lang", "source")))
-    return _only(keyed, quality.judged(keyed, "_row").where("kept")).drop("_row")
+    keyed, row = _keyed(docs, F.struct(*_identity("doc_id", "text", "lang", "source")))
+    return _only(keyed, row, quality.judged(keyed, row).where("kept")).drop(row)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; those of which nothing is left are dropped. ``n_chars`` is counted anew."""
-    keyed = _keyed(docs, F.struct("doc_id", *_identity("doc_id", "text")))
-    clean = lines.without_repeats(keyed, lines.line_groups(keyed, "_row"), "_row")
+    keyed, row = _keyed(docs, F.struct("doc_id", *_identity("doc_id", "text")))
+    clean = lines.without_repeats(keyed, lines.line_groups(keyed, row), row)
     clean = clean.where(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) > 0)
     kind = docs.schema["n_chars"].dataType
     return clean.select(*[F.length("text").cast(kind).alias(c) if c == "n_chars" else c for c in docs.columns])
@@ -52,11 +62,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of the smallest id (a null id is largest), then text hash."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *_identity("doc_id", "text"))
-    keyed = _keyed(docs, key)
-    near = stored(simhash.near_duplicates(keyed, "_row").select("doc_id", "component_id"))
-    kept = _only(keyed, near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    keyed, row = _keyed(docs, key)
+    near = stored(simhash.near_duplicates(keyed, row).select("doc_id", "component_id"))
+    kept = _only(keyed, row, near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
     repeated = near.groupBy("doc_id.k1", "doc_id.k2").agg(F.count("*").alias("n")).where("n > 1")
-    return (kept if repeated.isEmpty() else kept.dropDuplicates(["_row"])).drop("_row")
+    return (kept if repeated.isEmpty() else kept.dropDuplicates([row])).drop(row)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
