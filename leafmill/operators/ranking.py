@@ -70,15 +70,18 @@ def sliding_rate_limit(requests: DataFrame, keys: list[str], group: str, window_
 
 
 def version_history(docs: DataFrame, key: str, version: str, text: str, bin_: Column) -> DataFrame:
-    """Version number, newest-first rank and the previous version's text, without gathering a key."""
-    numbered = running(docs, [key], [F.col(version)], bin_, {"version_no": ("sum", F.lit(1))})
+    """Version number, newest-first rank and the previous version's text, without gathering a key.
+
+    Only ids are numbered; each text moves twice, as a version's own and as its successor's previous one. Versions are
+    unique within their key.
+    """
+    numbered = running(docs.select(key, version), [key], [F.col(version)], bin_, {"version_no": ("sum", F.lit(1))})
     totals = docs.groupBy(key).agg(F.count("*").alias("n_versions"))
-    prev = numbered.select(key, (F.col("version_no") + 1).alias("version_no"), F.col(text).alias("previous_text"))
-    return (
-        numbered.join(totals, key)
-        .withColumn("newest_rank", F.col("n_versions") - F.col("version_no") + 1)
-        .join(prev, [key, "version_no"], "left")
-    )
+    before = numbered.select(key, (F.col("version_no") + 1).alias("version_no"), F.col(version).alias("_before"))
+    told = numbered.join(totals, key).join(before, [key, "version_no"], "left")
+    told = told.withColumn("newest_rank", F.col("n_versions") - F.col("version_no") + 1)
+    previous_ = docs.select(key, F.col(version).alias("_before"), F.col(text).alias("previous_text"))
+    return docs.join(told, [key, version]).join(previous_, [key, "_before"], "left").drop("_before")
 
 
 def cached_replay(requests: DataFrame, key: str, at: str, cacheable: str, tie: str, ttl_s: int) -> DataFrame:

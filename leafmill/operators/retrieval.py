@@ -172,6 +172,24 @@ def minmax(df: DataFrame, keys: list[str], score: str) -> DataFrame:
     return df.join(ends, keys).withColumn(score, (F.col(score) - F.col("_lo")) / span).drop("_lo", "_hi")
 
 
+def minmax_fusion(lists: dict[str, DataFrame], weights: list[float], key: str, query_key: str = "query_id") -> DataFrame:
+    """Weighted sum of scores that are scaled to [0, 1] per query and list; a list that lacks a key adds nothing.
+
+    Lists are (query, key, score); weights are scaled to sum 1.
+    """
+    if len(weights) != len(lists) or min(weights) < 0 or sum(weights) <= 0:
+        raise ValueError("one weight for each list, none below 0 and not all 0")
+    parts = None
+    for (name, df), w in zip(lists.items(), weights):
+        p = minmax(df.select(query_key, key, "score"), [query_key], "score")
+        p = p.select(query_key, key, F.lit(name).alias("_src"), F.col("score").alias("_unit"), (F.lit(w / sum(weights)) * F.col("score")).alias("_s"))
+        parts = p if parts is None else parts.unionByName(p)
+    return parts.groupBy(query_key, key).agg(
+        F.sum("_s").alias("fused_score"),
+        *[F.max(F.when(F.col("_src") == s, F.col("_unit"))).alias(f"unit_{s}") for s in lists],
+    )
+
+
 # Keyword and vector weight per profile; fallback is general.
 PROFILES = {
     "general": (0.5, 0.5),

@@ -167,6 +167,25 @@ def rrf(t: Tables) -> DataFrame:
     return R.rrf(_lists(t), [3.0, 2.0], "item").withColumn("rrf_score", F.round("rrf_score", 9))
 
 
+@query(
+    "minmax_fusion",
+    "R6",
+    """with a as (select user_id as query_id, event_id as item, value as score from events),
+b as (select user_id as query_id, event_id as item, (props->>'k')::int as score from events where event_id % 3 > 0),
+na as (select query_id, item, (score - min(score) over w) / case when max(score) over w = min(score) over w then 1 else max(score) over w - min(score) over w end as s from a window w as (partition by query_id)),
+nb as (select query_id, item, (score - min(score) over w) / case when max(score) over w = min(score) over w then 1 else max(score) over w - min(score) over w end as s from b window w as (partition by query_id))
+select query_id, item, round(0.75::double * na.s + coalesce(0.25::double * nb.s, 0), 6) as fused_score, round(na.s, 6) as unit_a, round(nb.s, 6)::double as unit_b from na left join nb using (query_id, item)""",
+)
+def minmax_fusion(t: Tables) -> DataFrame:
+    ev = t.events.select(
+        F.col("user_id").alias("query_id"), F.col("event_id").alias("item"), "value", F.get_json_object("props", "$.k").cast("int").alias("k")
+    )
+    a = ev.select("query_id", "item", F.col("value").alias("score"))
+    b = ev.where("item % 3 > 0").select("query_id", "item", F.col("k").alias("score"))
+    fused = R.minmax_fusion({"a": a, "b": b}, [3.0, 1.0], "item")
+    return fused.select("query_id", "item", *[F.round(c, 6).alias(c) for c in ("fused_score", "unit_a", "unit_b")])
+
+
 @query(
     "rrf_stats",
     "R7",

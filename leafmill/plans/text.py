@@ -216,11 +216,17 @@ def transcript_windows(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.posexplode(windows).alias("chunk_index", "chunk"))
 
 
+def _lines_made(t: Tables, change) -> DataFrame:
+    """Documents with ``change(line, place, doc_id)`` for each line, so that there are tables and code to find."""
+    made = F.transform(F.split("text", "\n"), lambda x, i: change(x, i, F.col("doc_id")))
+    return t.documents.select("doc_id", F.array_join(made, "\n").alias("text"))
+
+
 @query(
     "table_segments",
     "C6",
     r"""
-with l as (select doc_id, i::int as i, l[i + 1] as line from (
+with l as (select doc_id, i::int as i, case (i + doc_id) % 7 when 2 then '| ' || replace(l[i + 1], ' ', ' | ') || ' |' when 3 then ' |---|:--| ' when 4 then '  | ' || l[i + 1] else l[i + 1] end as line from (
   select doc_id, string_split(text, chr(10)) as l, unnest(range(len(string_split(text, chr(10))))) as i from documents)),
 f as (select *, regexp_matches(line, '^\s*\|') or regexp_matches(line, '^\s*[-:| ]+$') as is_table from l),
 c as (select *, case when i = 0 or is_table <> lag(is_table) over (partition by doc_id order by i) then 1 else 0 end as b from f),
@@ -229,7 +235,14 @@ select doc_id, min(i)::int as first_line, bool_and(is_table) as is_table, md5(st
 from s group by doc_id, seg""",
 )
 def table_segments(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.explode(X.table_segments(F.col("text"))).alias("s")).select(
+    """Some lines of every document are made rows of tables, with a rule between them."""
+
+    def change(x, i, doc):
+        k = (i + doc) % 7
+        cells = F.concat(F.lit("| "), F.replace(x, F.lit(" "), F.lit(" | ")), F.lit(" |"))
+        return F.when(k == 2, cells).when(k == 3, " |---|:--| ").when(k == 4, F.concat(F.lit("  | "), x)).otherwise(x)
+
+    return _lines_made(t, change).select("doc_id", F.explode(X.table_segments(F.col("text"))).alias("s")).select(
         "doc_id", "s.first_line", "s.is_table", F.md5("s.text").alias("text_md5")
     )
 
@@ -238,14 +251,28 @@ def table_segments(t: Tables) -> DataFrame:
     "code_blocks",
     "C7",
     r"""
-with m as (select doc_id, string_split(regexp_replace(text, '\n(def |class |async def )', chr(1) || '\1', 'g'), chr(1)) as b
-           from documents),
+with c as (select doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: case (i - 1 + doc_id) % 6
+             when 1 then 'def f' || i || '(): ' || x when 3 then 'class C' || i || ': ' || x when 4 then '    def inner(): ' || x when 5 then 'async def g(): ' || x else x end), chr(10)) as text from documents),
+m as (select doc_id, string_split(regexp_replace(text, '\n(def |class |async def )', chr(1) || '\1', 'g'), chr(1)) as b
+           from c),
 e as (select doc_id, unnest(range(len(l))) as i, l from (
   select doc_id, list_filter(list_transform(b, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as l from m))
 select doc_id, i::int as block_index, md5(l[i + 1]) as block_md5 from e""",
 )
 def code_blocks(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.posexplode(X.code_blocks(F.col("text"))).alias("block_index", "b")).select(
+    """Some lines of every document are made definitions, nested ones too."""
+
+    def change(x, i, doc):
+        k, n = (i + doc) % 6, (i + 1).cast("string")
+        return (
+            F.when(k == 1, F.concat(F.lit("def f"), n, F.lit("(): "), x))
+            .when(k == 3, F.concat(F.lit("class C"), n, F.lit(": "), x))
+            .when(k == 4, F.concat(F.lit("    def inner(): "), x))
+            .when(k == 5, F.concat(F.lit("async def g(): "), x))
+            .otherwise(x)
+        )
+
+    return _lines_made(t, change).select("doc_id", F.posexplode(X.code_blocks(F.col("text"))).alias("block_index", "b")).select(
         "doc_id", "block_index", F.md5("b").alias("block_md5")
     )
 
