@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -170,6 +171,16 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _license_pattern(markup: str) -> str:
+    """A regular expression over words, each with a blank behind it, by rewriting the markup as text."""
+    out = ["(?:^| )"]
+    for opens, closes, most, word in re.findall(
+        r"(<<beginOptional>>)|(<<endOptional>>)|<<var[^>]*match=(\d+)[^>]*>>|([0-9A-Za-z]+)", markup
+    ):
+        out.append("(?:" if opens else ")?" if closes else f"(?:[^ ]+ ){{0,{most}}}" if most else f"{word.lower()} ")
+    return "".join(out)
+
+
 def _licenses_sql() -> str:
     """Phrases by list positions, templates as regular expressions over the words."""
     places = []
@@ -177,8 +188,9 @@ def _licenses_sql() -> str:
         same = " and ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(phrase.split()))
         places.append(f"select doc_id, '{label}' as label, i - 1 as pos from spot where {same}")
     found = " union ".join(
-        f"select doc_id, '{label}' as label from texts where regexp_matches(line, '{licenses.to_regex(t)}')"
-        for label, t in licenses.TEMPLATES.items()
+        f"select doc_id, '{label}' as label, {score} as score from texts where regexp_matches(line, '{_license_pattern(t)}')"
+        for score, templates in ((1.0, licenses.TEMPLATES), (0.75, licenses.NOTICES))
+        for label, t in templates.items()
     )
     return f"""
 with cut as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -193,8 +205,9 @@ l as (select doc_id, string_agg(distinct label, ',' order by label) as labels
       from (select doc_id, label from own union select doc_id, label from base) group by 1)
 select doc_id, len(words) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
   coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
-  case when doc_id in (select doc_id from own) then 1.0 when n_base > 0 then 0.5 else 0.0 end::double as score
-from texts left join b using (doc_id) left join l using (doc_id)"""
+  coalesce(best, case when n_base > 0 then 0.5 else 0.0 end)::double as score
+from texts left join b using (doc_id) left join l using (doc_id)
+left join (select doc_id, max(score) as best from own group by 1) using (doc_id)"""
 
 
 @query("op4_licenses", _licenses_sql())
