@@ -1,11 +1,17 @@
 """Exact deduplication against a persistent digest index, bucketed and sorted by digest.
 
-A batch is reduced to one row per digest (combined before the shuffle), anti-joined with the index by sort-merge on
-the index's own buckets, and what is new is appended. The index is never shuffled by that join.
+A batch is reduced to one row per digest (combined before the shuffle) and anti-joined by sort-merge with the runs of the
+index; what is new becomes a run of its own. A run is a table with one sorted file for each bucket, so the join neither
+shuffles nor sorts it. Two runs of equally many batches are merged bucket by bucket, again without a shuffle, so that n
+batches leave at most log2(n) + 1 runs and every row is rewritten at most log2(n) times.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,18 +43,65 @@ def _first(digests_: DataFrame) -> DataFrame:
     )
 
 
+#: Makes Spark trust the order of a bucketed scan with one file for each bucket.
+_TRUST_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_TRUST_ORDER, None)
+    spark.conf.set(_TRUST_ORDER, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_TRUST_ORDER)
+        else:
+            spark.conf.set(_TRUST_ORDER, before)
+
+
 class DigestIndex:
-    """A table ``(digest, keep_id, keep_row)`` of the texts seen so far.
+    """Tables ``<name>_r<first>_<last>_<id>`` of ``(digest, keep_id, keep_row)``, one for each run of batches.
 
-    ``buckets`` is fixed when the table is made: about one for each 256 MB that the index shall reach.
+    A table exists only when it is complete, and a run counts only while no other covers its batches; so a job that dies
+    while it appends or merges leaves nothing that a reader sees twice. One writer at a time. ``buckets`` is fixed when
+    the first run is made: about one for each 256 MB that the index shall reach.
     """
 
     def __init__(self, spark: SparkSession, name: str, buckets: int = 64):
-        self.spark, self.name = spark, name
-        if spark.catalog.tableExists(name):
-            detail = spark.sql(f"describe extended {name}").where("col_name = 'Num Buckets'").first()
-            buckets = int(detail["data_type"])
-        self.buckets = buckets
+        self.spark, self.name, self.buckets = spark, name, buckets
+        runs = self.runs()
+        if runs:
+            detail = spark.sql(f"describe extended {runs[0][2]}").where("col_name = 'Num Buckets'").first()
+            self.buckets = int(detail["data_type"])
+
+    def _tables(self) -> list[tuple[int, int, str]]:
+        database, _, base = self.name.lower().rpartition(".")
+        found = []
+        for t in self.spark.catalog.listTables(database or None, f"{base}_r*"):
+            parts = t.name.lower().removeprefix(f"{base}_r").split("_")
+            if not t.isTemporary and len(parts) == 3 and parts[0].isdigit() and parts[1].isdigit():
+                found.append((int(parts[0]), int(parts[1]), f"{database}.{t.name}" if database else t.name))
+        return sorted(found, key=lambda r: (r[0], -r[1], r[2]))
+
+    def runs(self) -> list[tuple[int, int, str]]:
+        """``(first batch, last batch, table)`` in order; runs that a longer one covers are left out."""
+        out: list[tuple[int, int, str]] = []
+        for run in self._tables():
+            if not out or run[1] > out[-1][1]:
+                out.append(run)
+        return out
+
+    def _write(self, rows: DataFrame, first: int, last: int) -> None:
+        name = f"{self.name}_r{first}_{last}_{uuid.uuid4().hex[:12]}"
+        rows.write.bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
+
+    def unseen(self, rows: DataFrame) -> DataFrame:
+        """``rows(digest, ...)`` whose digest no run holds. Only ``rows`` is shuffled and sorted, once."""
+        rows = rows.repartition(self.buckets, "digest")
+        for _, _, name in self.runs():
+            rows = rows.join(self.spark.table(name).select("digest").hint("merge"), "digest", "left_anti")
+        return rows
 
     def append(self, batch: DataFrame) -> None:
         """Add the digests of ``batch(doc_id, row, digest)`` that the index does not hold yet.
@@ -57,18 +110,41 @@ class DigestIndex:
         (after a failure, say) adds nothing.
         """
         new = checkpointed(_first(batch))
-        if self.spark.catalog.tableExists(self.name):  # only the batch is shuffled, to the index's buckets
-            new = new.join(self.spark.table(self.name).hint("merge"), "digest", "left_anti")
-        else:
-            new = new.repartition(self.buckets, "digest")
-        new.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.name)
+        runs = self.runs()
+        at = runs[-1][1] + 1 if runs else 0
+        with _sorted_scans(self.spark):
+            self._write(self.unseen(new), at, at)
+            self._merge()
+
+    def _merge(self) -> None:
+        runs = self.runs()
+        while len(runs) > 1 and runs[-2][1] - runs[-2][0] == runs[-1][1] - runs[-1][0]:
+            self._write(self.merged(runs[-2][2], runs[-1][2]), runs[-2][0], runs[-1][1])
+            runs = self.runs()
+        live = {name for _, _, name in runs}
+        for _, _, name in self._tables():
+            if name not in live:
+                self.spark.sql(f"drop table {name}")
+
+    def merged(self, one: str, two: str) -> DataFrame:
+        """The rows of two runs, which share no digest: a full sort-merge join of bucket beside bucket moves no row."""
+        left, right = self.spark.table(one).alias("one"), self.spark.table(two).hint("merge").alias("two")
+        both = left.join(right, "digest", "full")  # each digest stands on one side, so at most one of two values is there
+        return both.select("digest", *[F.coalesce(f"one.{c}", f"two.{c}").alias(c) for c in ("keep_id", "keep_row")])
 
     def rows(self) -> DataFrame:
         """The index without its bucketing: joins with data of skewed digests are then free to split partitions."""
-        return self.spark.table(self.name).select("digest", "keep_id", "keep_row")
+        runs = [self.spark.table(name).select("digest", "keep_id", "keep_row") for _, _, name in self.runs()]
+        if not runs:
+            raise ValueError(f"the index {self.name} holds no batch yet")
+        out = runs[0]
+        for run in runs[1:]:
+            out = out.unionByName(run)
+        return out
 
     def drop(self) -> None:
-        self.spark.sql(f"drop table if exists {self.name}")
+        for _, _, name in self._tables():
+            self.spark.sql(f"drop table {name}")
 
 
 def deduplicated(batches: list[DataFrame], index: DigestIndex) -> DataFrame:
