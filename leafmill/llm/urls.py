@@ -1,7 +1,8 @@
 """URL filters: rules first, then naive Bayes over segmented host words and path tokens.
 
 Host names such as ``freemoviesonline`` are split into words by a Viterbi search under a unigram model, which is
-counted over the visible text of all pages. Only the substrings of names are looked up in it, by a join. The
+counted over the visible text of all pages. Each distinct name is segmented once: its substrings are looked up in the
+model by a join. The
 classifier learns from weak labels of all pages: hosts with a listed word and pages of symbol junk are bad. Its
 tokens are hashed into a fixed number of buckets, so the model has a proven size.
 """
@@ -33,6 +34,10 @@ BAD_WORDS = (
 )
 
 _LONGEST_WORD = 20
+#: Labels of host names end at 63 characters; longer runs of letters are cut into pieces of that length.
+_LONGEST_NAME = 63
+#: Hosts of so many bytes in all, with their words, are broadcast: below 100 MB even if every letter is a word.
+_SMALL_HOSTS = 4 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -82,30 +87,41 @@ def segment(name: str, counts: dict[str, int], total: int) -> list[str]:
     return words[::-1]
 
 
-def host_words(hosts: DataFrame, model: DataFrame) -> DataFrame:
-    """``hosts(host)``, distinct -> ``(host, words)``: its names between dots, hyphens and digits, segmented in order."""
+def segmented(names: DataFrame, model: DataFrame) -> DataFrame:
+    """``names(name)``, distinct, of at most 63 characters -> ``(name, words)``."""
     total = int(model.agg(F.sum("n")).first()[0] or 1)
-    names = F.filter(F.split(F.lower("host"), r"[^\p{L}]+"), lambda n: n != "")
-    named = hosts.select("host", names.alias("names"))
-    inner = F.explode(
-        F.expr(
-            "array_distinct(flatten(transform(names, n -> flatten(transform(sequence(1, length(n)), i -> "
-            f"transform(sequence(1, least({_LONGEST_WORD}, length(n) - i + 1)), k -> substring(n, i, k)))))))"
-        )
+    inner = F.expr(
+        "array_distinct(flatten(transform(sequence(1, length(name)), i -> "
+        f"transform(sequence(1, least({_LONGEST_WORD}, length(name) - i + 1)), k -> substring(name, i, k)))))"
     )
-    pieces = named.where(F.size("names") > 0).select("host", inner.alias("word"))
-    known = pieces.join(model, "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    every = named.join(known, "host", "left")
+    pieces = names.select("name", F.explode(inner).alias("word"))
+    usable = model.where(F.length("word") <= _LONGEST_WORD)  # no longer one is ever looked up: at most 100 bytes a row
+    known = join_checked(pieces, usable, "word", max_rows=500_000).groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("known"))
 
     @F.pandas_udf("array<string>")
     def split(names: pd.Series, known: pd.Series) -> pd.Series:
-        out = []
-        for parts, found in zip(names, known):
-            counts = {r["word"]: r["n"] for r in found} if found is not None else {}
-            out.append([w for n in parts for w in segment(n, counts, total)])
-        return pd.Series(out)
+        counts = ({r["word"]: r["n"] for r in found} if found is not None else {} for found in known)
+        return pd.Series([segment(n, c, total) for n, c in zip(names, counts)])
+
+    return names.join(known, "name", "left").select("name", split("name", "known").alias("words"))
+
 
-    return every.select("host", split("names", "known").alias("words"))
+def host_words(hosts: DataFrame, model: DataFrame) -> DataFrame:
+    """``hosts(host)``, distinct -> ``(host, words)``: its names between dots, hyphens and digits, segmented in order.
+
+    A name of more than 63 letters, which no real host has, is segmented in pieces of 63, so the work grows with the
+    length of a host, not with its square. A host without letters has no words.
+    """
+    runs = F.filter(F.split(F.lower("host"), r"[^\p{L}]+"), lambda n: n != "")
+    names = F.flatten(F.transform(runs, lambda n: F.regexp_extract_all(n, F.lit(f".{{1,{_LONGEST_NAME}}}"), F.lit(0))))
+    keys = [F.xxhash64(F.lit(k), "host").alias(f"k{k}") for k in (1, 2)]  # hosts of any length are grouped by 128 bits
+    named = checkpointed(hosts.select(*keys, F.posexplode(names).alias("at", "name")))
+    words = checkpointed(segmented(named.select("name").distinct(), model))
+    placed = join_checked(named, words, "name", max_rows=100_000)  # at most 63 characters a row, twice
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "words"))), lambda p: p["words"]))
+    by_host = placed.groupBy("k1", "k2").agg(whole.alias("words"))
+    none = F.array().cast("array<string>")
+    return hosts.select("host", *keys).join(by_host, ["k1", "k2"], "left").select("host", F.coalesce("words", none).alias("words"))
 
 
 def tokens(words: Column, path: Column) -> Column:
@@ -155,7 +171,8 @@ def judge(
     rows = checkpointed(rows)
     model = checkpointed(unigrams(pages, text))
     hosts = checkpointed(host_words(rows.select("host").distinct(), model))
-    known = join_checked(rows, hosts, "host", "left", 200_000)
+    small = (hosts.agg(F.sum(F.octet_length("host") + 16)).first()[0] or 0) <= _SMALL_HOSTS
+    known = rows.join(F.broadcast(hosts) if small else hosts, "host", "left")
     bad = F.col("junk") | F.arrays_overlap("words", F.array(*[F.lit(w) for w in bad_words]))
     features = F.transform(tokens(F.col("words"), F.col("path")), lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int"))
     name, verdict = matching_rule(F.col("host"), F.col("path"), rules)

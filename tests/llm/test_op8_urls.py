@@ -1,6 +1,8 @@
 import itertools
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -111,3 +113,20 @@ def test_odd_rows(spark):
     assert {r.page_id: r.rule for r in got}[8] == "com/" and {r.page_id: r.rule for r in got}[9] is None
     assert urls.judge(pages.limit(0)).count() == 0
     assert np.isfinite([r.log_odds for r in got]).all()
+
+
+def test_long_hosts_in_pieces(spark):
+    rng = random.Random(5)
+    letters = "".join(rng.choice("abcdefgh") for _ in range(1_000_000))
+    hosts = ["spamfarm.example.com", "a" * 63 + "." + "b" * 64, letters, "1.2.3.4", "", "Ünï-ürl" * 30, "online" * 30]
+    texts = spark.createDataFrame([("spam farm example com online on line ünï ab ab cde",)], "text string")
+    model = urls.unigrams(texts, F.col("text"))
+    counts = {r.word: r.n for r in model.collect()}
+    began = time.monotonic()
+    got = {r.host: r.words for r in urls.host_words(spark.createDataFrame([(h,) for h in hosts], "host string"), model).collect()}
+    assert time.monotonic() - began < 60
+    for h in hosts:
+        names = [n for n in re.split(r"[^a-zäöüï]+", h.lower()) if n]
+        pieces = [n[i : i + 63] for n in names for i in range(0, len(n), 63)]
+        assert got[h] == [w for p in pieces for w in urls.segment(p, counts, sum(counts.values()))], h[:30]
+    assert got["spamfarm.example.com"] == ["spam", "farm", "example", "com"] and got["1.2.3.4"] == got[""] == []
