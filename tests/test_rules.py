@@ -90,6 +90,26 @@ def test_paths_no_repeated_edge(spark):
     assert got == {"a>b": 1, "a>b>c": 2, "a>b>c>b": 3}
 
 
+def test_paths_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    edges = sorted({(f"v{rng.randrange(12)}", f"v{rng.randrange(12)}", rng.choice("xy")) for _ in range(26)})
+    sources, targets = ["v0", "v1", "v5", "alone"], ["v2", "v5", "v9"]
+    want, front = [], [(s, s, s, "", ()) for s in sources]
+    for _ in range(4):
+        front = [
+            (start, d, f"{path}>{d}", f"{rels}>{t}" if rels else t, (*used, (s, d, t)))
+            for start, end, path, rels, used in front
+            for s, d, t in edges
+            if s == end and (s, d, t) not in used
+        ]
+        want += [(start, end, len(used), path, rels) for start, end, path, rels, used in front if end in targets]
+    ids = lambda vs: spark.createDataFrame([(x,) for x in vs], "id string")
+    got = G.paths(spark.createDataFrame(edges, "src string, dst string, type string"), ids(sources), ids(targets), 4)
+    assert len(want) > 20 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_entity_clean_caps(spark):
     ents = spark.createDataFrame([(1, i, n, t) for i, (n, t) in enumerate([("A", "x"), (" ", "x"), ("A", "y"), ("B", "z")])], "chunk int, ord int, name string, type string")
     rels = spark.createDataFrame([(1, 0, "A", "B", "r"), (1, 1, "A", "Q", "r")], "chunk int, ord int, src string, dst string, type string")
