@@ -102,25 +102,52 @@ def bootstrap_ci(
     )
 
 
-def _distance(a: Column, b: Column) -> Column:
-    """Exact edit distance: a narrow band first, as most readings are close; each wider one only where it is needed."""
-
-    def within(n: int) -> Column:
-        return F.nullif(F.call_function("levenshtein", a, b, F.lit(n)), F.lit(-1))
-
-    return F.coalesce(within(64), within(1024), F.levenshtein(a, b))
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance by bit vectors: one column of the table is a few whole-number operations on ``len(a)`` bits."""
+    m = len(a)
+    if not a or not b:
+        return m or len(b)
+    codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4")
+    places = {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes)}
+    full, top = (1 << m) - 1, m - 1
+    up, down, score = full, 0, m
+    for ch in b:
+        eq = places.get(ch, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        right = down | (((xh | up) & full) ^ full)
+        left = up & xh
+        score += (right >> top & 1) - (left >> top & 1)
+        right = (right << 1 | 1) & full
+        up = (left << 1 & full) | ((xv | right) ^ full)
+        down = right & xv
+    return score
+
+
+@F.pandas_udf(T.IntegerType())
+def _far_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
+def with_distance(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Exact edit distance of two texts: a narrow band first, as most readings are close; bit vectors where it is passed."""
+    near = F.call_function("levenshtein", F.col(a), F.col(b), F.lit(64))
+    near = F.when(F.col(a) == "", F.length(F.col(b))).when(F.col(b) == "", F.length(F.col(a))).otherwise(near)
+    far = [F.when(F.col("_near") < 0, F.col(c)) for c in (a, b)]
+    return df.withColumn("_near", near).withColumn(out, F.coalesce(_far_distance(*far), "_near")).drop("_near")
 
 
 def with_cer(df: DataFrame, pred: str, truth: str, out: str = "cer") -> DataFrame:
     """Character error rate of normalised texts, of any length."""
     n = df.withColumns({"_p": X.normalise_text(F.col(pred)), "_g": X.normalise_text(F.col(truth))})
+    n = with_distance(n, "_p", "_g", "_d")
     p, g = F.col("_p"), F.col("_g")
     value = (
         F.when(F.col(pred).isNull() | F.col(truth).isNull(), 1.0)
         .when(F.length(g) == 0, F.when(F.length(p) == 0, 0.0).otherwise(1.0))
-        .otherwise(F.least(F.lit(1.0), _distance(p, g) / F.length(g)))
+        .otherwise(F.least(F.lit(1.0), F.col("_d") / F.length(g)))
     )
-    return n.withColumn(out, value).drop("_p", "_g")
+    return n.withColumn(out, value).drop("_p", "_g", "_d")
 
 
 #: The first four-byte character and how many there are: one letter per distinct word of a pair.
@@ -144,16 +171,17 @@ def _spelled(pred: pd.Series, truth: pd.Series) -> pd.DataFrame:
 
 
 def with_wer(df: DataFrame, pred: str, truth: str, out: str = "wer") -> DataFrame:
-    """Word error rate: a pair's distinct words become single characters, then the native distance applies."""
+    """Word error rate: a pair's distinct words become single characters, then the distance of texts applies."""
     n = df.withColumns(
         {"_p": X.split_space(X.normalise_text(F.col(pred))), "_g": X.split_space(X.normalise_text(F.col(truth)))}
     ).withColumn("_s", _spelled("_p", "_g"))
+    n = with_distance(n.withColumns({"_sp": F.col("_s.p"), "_sg": F.col("_s.g")}), "_sp", "_sg", "_d")
     value = (
         F.when(F.col(pred).isNull() | F.col(truth).isNull(), 1.0)
         .when(F.size("_g") == 0, F.when(F.size("_p") == 0, 0.0).otherwise(1.0))
-        .otherwise(F.least(F.lit(1.0), _distance(F.col("_s.p"), F.col("_s.g")) / F.size("_g")))
+        .otherwise(F.least(F.lit(1.0), F.col("_d") / F.size("_g")))
     )
-    return n.withColumn(out, value).drop("_p", "_g", "_s")
+    return n.withColumn(out, value).drop("_p", "_g", "_s", "_sp", "_sg", "_d")
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:

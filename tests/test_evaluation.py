@@ -127,3 +127,29 @@ def test_opcodes(spark):
     assert (got[0]["n_added"], got[0]["n_removed"], got[0]["n_modified"]) == (1, 0, 1)
     assert got[1]["similarity"] == 1.0
     assert isinstance(pd.DataFrame(got), pd.DataFrame)
+
+
+def test_far_readings_take_bit_vectors(spark):
+    import random
+    import time
+
+    rng = random.Random(3)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                old, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, old + (x != y))
+        return row[-1]
+
+    for _ in range(200):
+        a, b = ("".join(rng.choices("abé\U0001F600", k=rng.randrange(90))) for _ in range(2))
+        assert E.edit_distance(a, b) == plain(a, b)
+    truth = "".join(rng.choices("thaiou", k=60_000))
+    pred = truth.translate(str.maketrans("ai", "oj")).replace("th", "t")
+    rows = [(truth, pred), ("x" * 300, ""), ("", "y"), ("ab" * 200, "ba" * 200)]
+    t0 = time.time()
+    got = [r["cer"] for r in E.with_cer(spark.createDataFrame(rows, "g string, p string").coalesce(1), "p", "g").collect()]
+    assert time.time() - t0 < 25
+    assert 0.3 < got[0] < 0.6 and got[1:] == [1.0, 1.0, 2 / 400]
