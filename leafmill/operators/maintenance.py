@@ -108,7 +108,7 @@ class VectorStore:
         """Compute all vectors of ``chunks(key, text)`` anew beside the old ones, then make them the current ones.
 
         ``embed`` maps ``(key, text)`` to ``(key, embedding)``; a chunk that it leaves out or gives no vector is listed as
-        failed. A run that broke off is called again with the same version: parts that are committed are not computed
+        failed; a vector of zeros is none. A run that broke off is called again with the same version: parts that are committed are not computed
         again, and until the last one is, readers see the version before. Returns ``(version, n_processed, n_failed)``.
         """
         staged = f"{self.path}/staged/version={version}"
@@ -124,7 +124,7 @@ class VectorStore:
                 continue
             mine = staged_rows.where(F.col("part") == p).select("key", "text")
             at = f"version={version}/part={p}"
-            got = embed(mine).where(F.size("embedding") > 0).select("key", F.col("embedding").cast("array<double>").alias("embedding"))
+            got = embed(mine).where(F.exists("embedding", lambda x: x != 0)).select("key", F.col("embedding").cast("array<double>").alias("embedding"))
             got.write.mode("overwrite").parquet(f"{self.path}/vectors/{at}")
             got = self.spark.read.parquet(f"{self.path}/vectors/{at}")
             mine.select("key").join(got, "key", "left_anti").write.mode("overwrite").parquet(f"{self.path}/failed/{at}")

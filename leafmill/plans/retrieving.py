@@ -400,7 +400,7 @@ def union_ranked(t: Tables) -> DataFrame:
 )
 def re_embed(t: Tables) -> DataFrame:
     """All documents embedded into a new version; the counts are taken from what is read back."""
-    store = VectorStore(t.spark, f"{scratch_folder(t.spark)}/vector-store-1-{files_mark(t, 'documents')}")
+    store = VectorStore(t.spark, f"{scratch_folder(t.spark)}/vector-store-2-{files_mark(t, 'documents')}")
     chunks = t.documents.select(F.col("doc_id").alias("key"), "text")
     store.re_embed(chunks, "hash64", lambda df: V.hash_embed(df, "key", word_tokens()), parts=4)
     made = store.vectors().select(F.col("key").alias("doc_id"), F.lit(1).alias("ok"))

@@ -61,3 +61,11 @@ def test_folder_scan(spark, tmp_path):
     assert scan_folder(spark, str(tmp_path), "*.pdf", deep=False).count() == 3
     plan = scan_folder(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_vector_of_zeros_is_a_failure(spark):
+    chunks = spark.createDataFrame([(1, "a"), (2, "b")], "key long, text string")
+    store = VectorStore(spark, scratch_path(spark, "vectors"))
+    zero = lambda df: df.select("key", F.array(F.lit(0.0), F.when(F.col("key") == 1, 0.0).otherwise(1.0)).alias("embedding"))
+    assert tuple(store.re_embed(chunks, "one", zero, 2).first()) == ("one", 1, 1)
+    assert [r.key for r in store.failed("one").collect()] == [1]
