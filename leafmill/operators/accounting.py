@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.operators.aggregates import tidy
+from leafmill.operators.aggregates import round_scaled, tidy
 from leafmill.operators.running import running
 
 # Blended USD per 1,000 tokens, and the rate of an unknown model.
@@ -63,7 +63,7 @@ def budget_summary(usage: DataFrame, budgets: DataFrame, key: str) -> DataFrame:
         "tokens_used",
         "budget",
         F.greatest(F.col("budget") - F.col("tokens_used"), F.lit(0)).alias("remaining"),
-        F.when(F.col("budget") > 0, F.round(F.col("tokens_used") / F.col("budget") * 100, 1)).alias("budget_pct"),
+        F.when(F.col("budget") > 0, round_scaled(F.col("tokens_used") / F.col("budget") * 100, 1)).alias("budget_pct"),
     )
 
 

@@ -13,6 +13,11 @@ def clean(c: Column) -> Column:
     return F.when(~F.isnan(c.cast("double")), c)
 
 
+def round_scaled(c: Column, digits: int) -> Column:
+    """Round half away from zero after scaling in doubles, as SQL engines do: 1759.9499999999998 has 1760.0 at one digit."""
+    return F.round(c * float(10**digits)) / float(10**digits)
+
+
 def tidy(c: Column, digits: int) -> Column:
     """Round after clearing floating-point noise, so a tie rounds the same way whatever the sum order."""
     return F.round(F.round(c, 9), digits)

@@ -156,3 +156,11 @@ def test_cache_replay_is_not_renewed_by_hits(spark):
     df = spark.createDataFrame(rows, "id int, key string, s int, ok boolean").selectExpr("id", "key", "timestamp_seconds(s) as at", "ok")
     got = {r["id"]: r["hit"] for r in cached_replay(df, "key", "at", "ok", "id", 1800).collect()}
     assert got == {1: False, 2: False, 3: True, 4: False, 5: True, 6: False}
+
+
+def test_percentages_round_after_scaling(spark):
+    from leafmill.operators import accounting as A
+
+    usage = spark.createDataFrame([(1, 316791)], "user_id long, tokens long")
+    budgets = spark.createDataFrame([(1, 18000)], "user_id long, budget long")
+    assert A.budget_summary(usage, budgets, "user_id").first()["budget_pct"] == 1760.0
