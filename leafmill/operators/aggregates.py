@@ -20,7 +20,7 @@ def round_scaled(c: Column, digits: int) -> Column:
 
 def tidy(c: Column, digits: int) -> Column:
     """Round after clearing floating-point noise, so a tie rounds the same way whatever the sum order."""
-    return F.round(F.round(c, 9), digits)
+    return round_scaled(F.round(c, 9), digits)
 
 
 def window_stats(metrics: DataFrame, now: Column, hours: float, key: str = "workspace_id") -> DataFrame:

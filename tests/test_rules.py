@@ -172,3 +172,13 @@ def test_clause_titles_are_ascii_words(spark):
     text = "Section 3: Den schüsch. 12.5 Den schüsch ö geösch word. xé7.1 Abcdefghi jk."
     got = spark.createDataFrame([(text,)], "t string").select(X.clause_headings(F.col("t")).alias("h")).first()["h"]
     assert got == ["Den schüsch", "Den sch", "Abcdefghi jk"]
+
+
+def test_means_round_after_scaling(spark):
+    import math
+
+    from leafmill.operators.aggregates import tidy
+
+    values = [i / 100_000 for i in range(60_000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", tidy(F.col("v"), 4).alias("t"))
+    assert all(r.t == math.floor(r.v * 10_000 + 0.5) / 10_000 for r in df.collect())
