@@ -88,7 +88,7 @@ def discrepancies(a: DataFrame, b: DataFrame, keys: list[str], high: list[str])
 
 def year_over_year(cur: DataFrame, prev: DataFrame, key: str) -> DataFrame:
     j = cur.withColumnRenamed("value", "current").join(prev.withColumnRenamed("value", "previous"), key, "full")
-    change = F.round((F.col("current") - F.col("previous")) / F.col("previous") * 100, 2)
+    change = round_scaled((F.col("current") - F.col("previous")) / F.col("previous") * 100, 2)
     return j.select(
         key,
         "current",

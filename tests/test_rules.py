@@ -182,3 +182,17 @@ def test_means_round_after_scaling(spark):
     values = [i / 100_000 for i in range(60_000)]
     df = spark.createDataFrame([(v,) for v in values], "v double").select("v", tidy(F.col("v"), 4).alias("t"))
     assert all(r.t == math.floor(r.v * 10_000 + 0.5) / 10_000 for r in df.collect())
+
+
+def test_yearly_change_rounds_after_scaling(spark):
+    import math
+
+    from leafmill.operators import aggregates as A
+
+    half_up = lambda x: math.copysign(math.floor(abs(x) + 0.5), x)
+    pairs = [(i, 100.0 + i / 8, 80.0 + i % 40) for i in range(4000)]
+    cur = spark.createDataFrame([(i, c) for i, c, _ in pairs], "k long, value double")
+    prev = spark.createDataFrame([(i, p) for i, _, p in pairs], "k long, value double")
+    got = {r.k: r.change for r in A.year_over_year(cur, prev, "k").collect()}
+    want = {i: "Same" if c == p else f"{half_up((c - p) / p * 100 * 100) / 100:.2f}%" for i, c, p in pairs}
+    assert got == want
