@@ -254,11 +254,11 @@ def task_history(events: DataFrame, ttl_s: int = 600, bin_s: int = 86_400) -> Da
     return numbered.select("task", F.col("seq").cast("int").alias("seq"), "at_us", "state", F.col("state").isin(*TERMINAL).alias("terminal"))
 
 
-def ingest_chunks(docs: DataFrame) -> DataFrame:
-    """Documents to scrubbed blocks with their ids; the same function serves batches and streams."""
+def ingest_chunks(docs: DataFrame, ascii_edges: bool = False) -> DataFrame:
+    """Documents to scrubbed blocks with their ids; the same function serves batches and streams. See ``scrub_pii``."""
     blocks = C.text_blocks(docs.select("doc_id", "source", "text"))
     ids = C.chunk_id(*[F.col(c) for c in ("doc_id", "source", "page", "block_index", "text")])
-    return blocks.withColumn("chunk_id", ids).withColumn("text", X.scrub_pii(F.col("text"))).select("chunk_id", "doc_id", "source", "block_index", "text")
+    return blocks.withColumn("chunk_id", ids).withColumn("text", X.scrub_pii(F.col("text"), ascii_edges=ascii_edges)).select("chunk_id", "doc_id", "source", "block_index", "text")
 
 
 CHUNK = "chunk_id string, doc_id long, source string, block_index int, text string, prefix string"
