@@ -55,3 +55,23 @@ def test_similarity_and_difference(spark):
     diff = {r.doc: (r.n_own, r.share, r.terms) for r in C.difference(frame(spark, rows), "job", "doc", "text").collect()}
     assert diff == {1: (0, 0.0, ""), 2: (0, 0.0, ""), 3: (2, 1.0, "fig plum"), 6: (1, 1.0, "kiwi")}
     assert {r.job for r in C.similarity(frame(spark, jobs()), "job", "doc", "text").collect()} <= {1, 2, 5}
+
+
+def plain(rows):
+    return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
+
+
+@pytest.mark.parametrize("compare", [C.similarity, C.difference, C.summary])
+def test_short_and_long_jobs_agree(spark, compare):
+    """The rows do not tell whether a job was compared in one task or by joins."""
+    rows = [*jobs(7), (6, 601, "ünï ünï. Ünï two"), (6, 602, None), (7, 701, ""), (7, 702, "")]
+    df = frame(spark, rows)
+    some = sorted(sum(len(t or "") for j, _, t in rows if j == job) for job in (1, 2, 5))[1]
+    every = [plain(compare(df, "job", "doc", "text", job_chars=n).collect()) for n in (C.JOB_CHARS, some, -1)]
+    assert every[0] and every[0] == every[1] == every[2]
+
+
+def test_short_jobs_need_no_rounds(spark):
+    """One shuffle of the texts, whatever the number of steps."""
+    plan = C.summary(frame(spark, jobs()), "job", "doc", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 0 and plan.count("hashpartitioning(job") == 1
