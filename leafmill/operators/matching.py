@@ -4,16 +4,64 @@ The rule is sequential: the lines of a group choose one after the other, each th
 that prefer the same units in the same order form a class. In a round the j-th open line of a class is put to the j-th best free unit of the
 class; that is what the sequence would do unless an earlier line of another class may take that unit. So in each class
 all lines before the first such doubt are settled at once, and the earliest open line of a group is always among them.
+
+Groups of at most ``GROUP_ROWS`` lines and units need no rounds: they are walked in the row that gathers them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafmill.operators.joins import broadcast_if_small
 from leafmill.sources.scratch import written
 
+#: Lines, and units, of a group that one row gathers.
+GROUP_ROWS = 64
+
+
+def by_size(lines: DataFrame, units: DataFrame, group: str, most: int) -> tuple[tuple[DataFrame, DataFrame], tuple[DataFrame, DataFrame] | None]:
+    """Lines and units of groups with at most ``most`` of either, and those of larger groups (or of none) if there are any."""
+    out = (F.col("count") > most) | F.col(group).isNull()
+    counts = [df.groupBy(group).count().where(out).select(F.col(group).alias("_group")) for df in (lines, units)]
+    large = written(counts[0].unionByName(counts[1]).distinct(), "large")
+    if large.isEmpty():
+        return (lines, units), None
+    large, same = broadcast_if_small(large), F.col(group).eqNullSafe(F.col("_group"))
+    split = {how: (lines.join(large, same, how), units.join(large, same, how)) for how in ("left_anti", "left_semi")}
+    return split["left_anti"], split["left_semi"]
+
+
+def gathered(lines: DataFrame, units: DataFrame, group: str, line: Callable[[], Column], unit: Callable[[], Column]) -> DataFrame:
+    """``(group, lines, units)``: sorted arrays of the ``line()`` and ``unit()`` structs of each group that has any.
+
+    Both sides move in one shuffle and the structs are made after it; their first fields give the order. Columns of
+    equal name share their type.
+    """
+    own, other = lines.withColumn("_line", F.lit(True)), units.withColumn("_line", F.lit(False))
+    rows = own.unionByName(other, allowMissingColumns=True).repartition(group)
+    rows = rows.select(group, F.when(F.col("_line"), line()).alias("_l"), F.when(~F.col("_line"), unit()).alias("_u"))
+    return rows.groupBy(group).agg(*[F.array_sort(F.collect_list(c)).alias(n) for c, n in (("_l", "lines"), ("_u", "units"))])
+
+
+def walked(lines: Column, units: Column, score: Callable[[Column, Column], Column], kind: str) -> Column:
+    """One entry for each line in its order: ``(at, score, unit)`` of the unit that it takes, or null.
+
+    A line takes the free unit of the highest score, the first among equal ones; units without a score are not taken.
+    ``kind`` is the type of a unit.
+    """
+    entry = f"struct<score:double,at:int,unit:{kind}>"
+
+    def step(taken: Column, x: Column) -> Column:
+        tried = F.transform(units, lambda u, i: F.struct(score(x, u).alias("score"), (-i).alias("at"), u.alias("unit")))
+        free = F.filter(tried, lambda c: c["score"].isNotNull() & ~F.exists(taken, lambda t: F.coalesce(t["at"] == c["at"], F.lit(False))))
+        return F.concat(taken, F.array(F.array_max(free).cast(entry)))
+
+    return F.aggregate(lines, F.array().cast(f"array<{entry}>"), step)
+
 
 def assign_in_order(lines: DataFrame, units: DataFrame, choices: DataFrame) -> DataFrame:
     """``(group, seq, useq)`` of every line that gets a unit.

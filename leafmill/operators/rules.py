@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from leafmill.functions import patterns as P
 from leafmill.functions import text as X
-from leafmill.operators.matching import assign_in_order, rare_first, similar_bags
+from leafmill.operators.matching import GROUP_ROWS, assign_in_order, by_size, gathered, rare_first, similar_bags, walked
 from leafmill.sources.scratch import written
 
 # Invoice and order-matching limits.
@@ -90,14 +90,53 @@ def token_score(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y), F.lit(1))
 
 
-def po_match(lines: DataFrame, po: DataFrame) -> DataFrame:
+def po_match(lines: DataFrame, po: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Match invoice lines to order lines, each order line once, in the order of the invoice lines.
 
     lines(invoice, inv_seq, inv_text, unit_price) and po(invoice, po_seq, po_text, po_price); ``seq`` columns are unique
     in their invoice. A line takes the free order line of the highest score: 1 for an equal SKU, else the share of common
     words where it reaches the threshold; the first order line among equal ones. Prices are told apart by a tolerance.
+    Invoices with more than ``group_rows`` lines or order lines are matched in rounds of joins.
     """
+    small, large = by_size(lines, po, "invoice", group_rows)
+    found = _po_short(*small)
+    out = found if large is None else found.unionByName(_po_long(*large))
+    gap = F.abs(F.col("unit_price") - F.col("po_price")) > PRICE_TOLERANCE * F.col("po_price")
+    return out.select(
+        "invoice",
+        "inv_seq",
+        "po_seq",
+        F.coalesce("match", F.lit("none")).alias("match"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.when(F.col("match").isNotNull(), F.coalesce((F.col("po_price") > 0) & gap, F.lit(False))).alias("price_mismatch"),
+    )
+
+
+def _po_short(lines: DataFrame, po: DataFrame) -> DataFrame:
+    """Each invoice in one row."""
+
+    def side(*cols: str) -> Column:
+        text = F.coalesce("text", F.lit(""))
+        return F.struct(*cols, sku_of(text).alias("sku"), F.array_distinct(X.split_space(F.lower(text))).alias("words"))
+
+    def score(x: Column, u: Column) -> Column:
+        common = F.size(F.array_intersect(x["words"], u["words"])) / F.greatest(F.size(x["words"]), F.size(u["words"]), F.lit(1))
+        return F.when((x["sku"] != "") & (x["sku"] == u["sku"]), F.lit(1.0)).when(common >= DESCRIPTION_MATCH, common)
+
+    mine = lines.select("invoice", "inv_seq", "unit_price", F.col("inv_text").alias("text"))
+    theirs = po.select("invoice", "po_seq", "po_price", F.col("po_text").alias("text"))
+    g = gathered(mine, theirs, "invoice", lambda: side("inv_seq", "unit_price"), lambda: side("po_seq", "po_price"))
+    got = walked(F.col("lines"), F.col("units"), score, g.schema["units"].dataType.elementType.simpleString())
+    r = g.select("invoice", F.explode(F.arrays_zip(F.col("lines").alias("line"), got.alias("got"))).alias("r")).select("invoice", "r.*")
+    sku = F.col("line.sku")
+    match = F.when(F.col("got").isNotNull(), F.when((sku != "") & (sku == F.col("got.unit.sku")), "exact").otherwise("fuzzy"))
+    return r.select(
+        "invoice", "line.inv_seq", "line.unit_price", "got.unit.po_seq", "got.unit.po_price", match.alias("match"), "got.score"
+    )
 
+
+def _po_long(lines: DataFrame, po: DataFrame) -> DataFrame:
+    """Any invoice, by joins of distinct texts and rounds of choices."""
     said = lambda c: F.coalesce(F.col(c), F.lit("")).alias("text")
     # Each text is taken apart once, however many lines repeat it.
     texts = lines.select(said("inv_text")).unionByName(po.select(said("po_text"))).distinct()
@@ -132,15 +171,7 @@ def po_match(lines: DataFrame, po: DataFrame) -> DataFrame:
     out = a.select("group", "cls", "inv_seq", "unit_price").join(named, ["group", "inv_seq"], "left").join(
         choices, ["group", "cls", "ucls"], "left"
     )
-    gap = F.abs(F.col("unit_price") - F.col("po_price")) > PRICE_TOLERANCE * F.col("po_price")
-    return out.select(
-        F.col("group").alias("invoice"),
-        "inv_seq",
-        "po_seq",
-        F.coalesce("match", F.lit("none")).alias("match"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
-        F.when(F.col("match").isNotNull(), F.coalesce((F.col("po_price") > 0) & gap, F.lit(False))).alias("price_mismatch"),
-    )
+    return out.select(F.col("group").alias("invoice"), "inv_seq", "unit_price", "po_seq", "po_price", "match", "score")
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -195,12 +226,62 @@ def closest_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         )
 
 
-def iou_block_merge(a: DataFrame, b: DataFrame, threshold: float = 0.5, similar: float = 0.95) -> DataFrame:
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def closest_texts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """For each of the texts, its highest similarity to any of the others; null for null."""
+
+    def best(x: str, others) -> float:
+        return max((SequenceMatcher(None, x, y).ratio() for y in others), default=0.0)
+
+    for texts, others in batches:
+        yield pd.Series([None if xs is None else [best(x, ys) for x in xs] for xs, ys in zip(texts, others)], dtype="object")
+
+
+def iou_block_merge(
+    a: DataFrame, b: DataFrame, threshold: float = 0.5, similar: float = 0.95, group_rows: int = GROUP_ROWS
+) -> DataFrame:
     """One block list per page from two readings (page, id, box, line, text, confidence).
 
     Boxes of ``a`` choose in line order, each box of ``b`` once, and pairs keep the surer text; unmatched boxes of b are added unless
-    some text of a on the page is nearly the same. Only such leftovers reach Python.
+    some text of a on the page is nearly the same. Only such leftovers reach Python. Pages with more than ``group_rows``
+    boxes on a side are matched in rounds of joins.
     """
+    small, large = by_size(a, b, "page", group_rows)
+    found = _merge_short(*small, threshold, similar)
+    return found if large is None else found.unionByName(_merge_long(*large, threshold, similar))
+
+
+def _merge_short(a: DataFrame, b: DataFrame, threshold: float, similar: float) -> DataFrame:
+    """Each page in one row."""
+    cols = ["line", "id", "text", "confidence", "box"]
+
+    def score(x: Column, u: Column) -> Column:
+        p, q, s = x["box"], u["box"], iou(x["box"], u["box"])
+        meet = (p["x1"] < q["x2"]) & (q["x1"] < p["x2"]) & (p["y1"] < q["y2"]) & (q["y1"] < p["y2"])
+        return F.when(meet & (s > threshold), s)
+
+    def block(x: Column, side: str) -> Column:
+        return F.struct(x["line"].alias("line"), F.lit(side).alias("side"), x["id"].alias("id"), x["text"].alias("text"), x["confidence"].alias("confidence"))
+
+    g = gathered(a.select("page", *cols), b.select("page", *cols), "page", lambda: F.struct(*cols), lambda: F.struct(*cols))
+    got = walked(F.col("lines"), F.col("units"), score, g.schema["units"].dataType.elementType.simpleString())
+    g = g.select("page", "lines", "units", got.alias("got"))
+    surer = lambda x, y: F.when(y["unit"]["confidence"] > x["confidence"], block(y["unit"], "b")).otherwise(block(x, "a"))
+    used = F.transform("got", lambda y: y["at"])
+    rest = F.filter("units", lambda u, i: ~F.coalesce(F.array_contains(used, -i), F.lit(False)))
+    texts = F.array_compact(F.transform("lines", lambda x: x["text"]))
+    rest = F.filter(rest, lambda u: u["text"].isNotNull() & ~F.array_contains(texts, u["text"]))
+    g = g.select("page", F.zip_with("lines", "got", surer).alias("kept"), F.transform(rest, lambda u: block(u, "b")).alias("rest"), texts.alias("texts"))
+    some = F.size("rest") > 0
+    near = closest_texts(F.when(some, F.transform("rest", lambda u: u["text"])), F.when(some, F.array_distinct("texts")))
+    g = g.select("page", "kept", "rest", near.alias("near"))
+    added = F.filter("rest", lambda u, i: F.get("near", i) <= similar)
+    blocks = F.array_sort(F.concat("kept", F.when(F.size("rest") > 0, added).otherwise(F.col("rest"))))
+    return g.select("page", F.posexplode(blocks).alias("seq", "r")).select("page", "r.line", "r.side", "r.id", "r.text", "r.confidence", "seq")
+
+
+def _merge_long(a: DataFrame, b: DataFrame, threshold: float, similar: float) -> DataFrame:
+    """Any page, by grid cells and rounds of choices."""
     cols = ["page", "line", "side", "id", "text", "confidence"]
     matched = matched_boxes(a, b, threshold)
     other = b.select("page", F.col("id").alias("id_b"), F.struct("line", F.lit("b").alias("side"), "id", "text", "confidence").alias("_b"))

@@ -62,3 +62,37 @@ def test_many_equal_lines_take_few_rounds(spark, monkeypatch):
     po = [(1, f"{i:04d}", "one two three four five six", 1.0) for i in range(n // 2 + 40)]
     assert run(spark, lines, po) == walk(lines, po)
     assert len(calls) < 12  # both kinds of line prefer the same units in the same order
+
+
+def test_short_and_long_invoices_agree(spark):
+    """The rows do not tell whether an invoice was walked in one row or in rounds."""
+    rnd = random.Random(5)
+    text = lambda: rnd.choice([None, "", "SKU AAA1 ", "Part BBB2 "] + [""] * 9) and "SKU AAA1 x" or " ".join(rnd.choice("ab") + str(i) for i in range(rnd.randint(6, 8)))
+    lines = [(inv, f"{i:03d}", text(), float(i % 3)) for inv in [*range(12), None] for i in range(rnd.randint(1, 12))]
+    po = [(inv, f"{i:03d}", text(), float(i % 4)) for inv in [*range(3, 14), None] for i in range(rnd.randint(0, 12))]
+    lines += [(20, "1", None, 1.0), (20, "2", "  ", 1.0)]
+    po += [(20, "1", "", 1.0), (20, "2", None, 1.0)]
+    one = spark.createDataFrame(lines, "invoice int, inv_seq string, inv_text string, unit_price double")
+    two = spark.createDataFrame(po, "invoice int, po_seq string, po_text string, po_price double")
+    got = [sorted(map(str, R.po_match(one, two, n).collect())) for n in (R.GROUP_ROWS, 6, 0)]
+    assert len(got[0]) == len(lines) and got[0] == got[1] == got[2]
+
+
+def test_short_groups_need_no_rounds(spark, monkeypatch):
+    def rounds(*_):
+        raise AssertionError("rounds of joins for a short invoice")
+
+    monkeypatch.setattr(R, "assign_in_order", rounds)
+    assert run(spark, [(1, "1", "a b c", 1.0), (2, "1", "a", 1.0)], [(1, "1", "a b c", 1.0)]) == {(1, "1"): ("1", 1.0), (2, "1"): (None, 0.0)}
+
+
+def test_short_and_long_pages_agree(spark):
+    rnd = random.Random(8)
+    box = lambda: (lambda x, y: (x, y, x + 30.0, y + 20.0))(rnd.randrange(8) * 6.0, rnd.randrange(8) * 4.0)
+    schema = "page int, id int, box struct<x1:double,y1:double,x2:double,y2:double>, line int, text string, confidence double"
+    side = lambda pages: spark.createDataFrame(
+        [(p, i, box(), rnd.randrange(5), rnd.choice(["part one", "part two", "another text", f"text {i}"]), rnd.random()) for p in pages for i in range(rnd.randint(1, 12))], schema
+    )
+    a, b = side(range(10)), side(range(2, 13))
+    got = [sorted(map(str, R.iou_block_merge(a, b, group_rows=n).collect())) for n in (R.GROUP_ROWS, 6, 0)]
+    assert len(got[0]) > 60 and got[0] == got[1] == got[2]
