@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,26 +42,42 @@ def _saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def term_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, dl, term, tf)`` without a shuffle: a document's terms are counted where it is read."""
+def page_blocks(docs: DataFrame, key: str, text: str, n_pages: int, avgdl: float) -> DataFrame:
+    """``(term, page, n, top, keys, tfs, dls)`` of documents whose texts move to the task of their page, where all is counted."""
     kind = docs.schema[key].dataType.simpleString()
-    tokens = docs.select(F.col(key).alias("key"), X.tokenize_words(F.col(text)).alias("tokens"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text <> ''").withColumn("page", _page_of("key", n_pages))
+    rows = rows.repartition("page").sortWithinPartitions("page", "key").select("page", "key", X.tokenize_words(F.col("text")).alias("tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, held, key_type = None, {}, None
+
+        def blocks() -> pa.RecordBatch:
+            n, flat = [len(x) for x in held.values()], [x for v in held.values() for x in v]
+            keys, tfs, dls = (list(x) for x in zip(*flat))
+            tf, dl = np.array(tfs, float), np.array(dls)
+            ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+            top = np.maximum.reduceat(tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)), ends[:-1])
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x, t)) for x, t in ((keys, key_type), (tfs, pa.int32()), (dls, pa.int32()))]
+            cols = [pa.array(list(held), pa.string()), pa.array([page] * len(n), pa.int32()), pa.array(n, pa.int32()), pa.array(top), *lists]
+            return pa.RecordBatch.from_arrays(cols, ["term", "page", "n", "top", "keys", "tfs", "dls"])
+
         for b in batches:
-            rows, dls, terms, tfs = [], [], [], []
-            for i, tokens_ in enumerate(b.column(1).to_pylist()):
-                counts = Counter(tokens_ or ())
-                rows += [i] * len(counts)
-                dls += [len(tokens_ or ())] * len(counts)
-                terms += counts.keys()
-                tfs += counts.values()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows, pa.int64())), pa.array(dls, pa.int32()), pa.array(terms, pa.string()), pa.array(tfs, pa.int32())],
-                ["key", "dl", "term", "tf"],
-            )
+            key_type = b.column(1).type
+            for at, k, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if at != page and held:
+                    yield blocks()
+                    held = {}
+                page, words = at, tokens.as_py()
+                for term, tf in Counter(words).items():
+                    held.setdefault(term, []).append((k, tf, len(words)))
+        if held:
+            yield blocks()
+
+    return rows.mapInArrow(run, f"term string, page int, n int, top double, keys array<{kind}>, tfs array<int>, dls array<int>")
 
-    return tokens.mapInArrow(run, f"key {kind}, dl int, term string, tf int")
+
+def _page_of(key: str, n_pages: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n_pages)).cast("int")
 
 
 class TextIndex:
@@ -104,7 +120,8 @@ class TextIndex:
             raise ValueError(f"no name of a segment: {segment!r}")
         if self.committed(segment):
             return False
-        self._write(segment, written(term_frequencies(docs, key, text), "frequencies"), vectors, [])
+        lengths = docs.select(F.col(key).alias("key"), F.size(X.tokenize_words(F.col(text))).alias("dl")).where("dl > 0")
+        self._write(segment, lengths, lambda n_pages, avgdl: page_blocks(docs, key, text, n_pages, avgdl), vectors, [])
         return True
 
     def compact(self, segment: str) -> bool:
@@ -115,31 +132,35 @@ class TextIndex:
         rows = self.postings().select("term", F.explode(F.arrays_zip("keys", "tfs", "dls")).alias("p"))
         counted = rows.select(F.col("p.keys").alias("key"), F.col("p.dls").alias("dl"), "term", F.col("p.tfs").alias("tf"))
         vectors = self.vectors() if stored_at(self.spark, f"{self.path}/vectors") else None
-        self._write(segment, written(counted, "frequencies"), vectors, old)
+        counted = written(counted, "frequencies")
+
+        def blocks(n_pages: int, avgdl: float) -> DataFrame:
+            impact = _saturation(F.col("tf"), F.col("dl"), F.lit(avgdl))
+            paged = counted.select("key", "dl", "term", "tf", _page_of("key", n_pages).alias("page"), impact.alias("impact"))
+            grouped = paged.groupBy("term", "page").agg(
+                F.count("*").cast("int").alias("n"), F.max("impact").alias("top"),
+                F.array_sort(F.collect_list(F.struct("key", "tf", "dl"))).alias("p"),
+            )
+            return grouped.select("term", "page", "n", "top", *[F.col(f"p.{c}").alias(f"{c}s") for c in ("key", "tf", "dl")])
+
+        self._write(segment, counted.groupBy("key").agg(F.max("dl").alias("dl")), blocks, vectors, old)
         return True
 
-    def _write(self, segment: str, counted: DataFrame, vectors: DataFrame | None, replaces: list[str]) -> None:
+    def _write(
+        self, segment: str, lengths: DataFrame, blocks: Callable[[int, float], DataFrame], vectors: DataFrame | None, replaces: list[str]
+    ) -> None:
         """Blocks, lengths and vectors, then the log row that makes them count.
 
         Terms go to (part, group of pages), so a term that stands in every document is dealt to as many tasks as
         there are groups.
         """
-        lengths = counted.groupBy("key").agg(F.max("dl").alias("dl"))
         lengths.write.mode("overwrite").parquet(f"{self.path}/documents/segment={segment}")
         totals = self.spark.read.parquet(f"{self.path}/documents/segment={segment}")
         n_docs, sum_dl = totals.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         n_pages, avgdl = max(1, -(-n_docs // PAGE_DOCS)), sum_dl / n_docs if n_docs else 0.0
-        page = F.pmod(F.xxhash64("key"), F.lit(n_pages)).cast("int")
-        impact = _saturation(F.col("tf"), F.col("dl"), F.lit(avgdl or 1.0))
         part = F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")
-        paged = counted.select("key", "dl", "term", "tf", page.alias("page"), impact.alias("impact"))
-        blocks = paged.groupBy("term", "page").agg(
-            F.count("*").cast("int").alias("n"), F.max("impact").alias("top"),
-            F.array_sort(F.collect_list(F.struct("key", "tf", "dl"))).alias("p"),
-        )
-        lists = [F.col(f"p.{c}").alias(f"{c}s") for c in ("key", "tf", "dl")]
         groups = max(1, n_pages // 4096)
-        laid = blocks.select("term", "page", "n", "top", *lists, part.alias("part")).withColumn("_g", F.col("page") % groups)
+        laid = blocks(n_pages, avgdl or 1.0).withColumns({"part": part, "_g": F.col("page") % groups})
         laid = laid.repartition("part", "_g").drop("_g").sortWithinPartitions("part", "term", "page")
         laid.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/segment={segment}")
         if vectors is not None:

@@ -121,3 +121,17 @@ def test_vectors_and_empty_index(spark, index):
     index.add("s0", docs, vectors=vectors)
     assert {r.key: r.embedding for r in index.vectors().collect()} == {1: [1.0, 0.0], 2: [0.0, 1.0]}
     assert [r[1] for r in found(index, queries, 3, spark)] == [1]
+
+
+def test_postings_are_counted_where_the_page_is(spark, tmp_path):
+    """Texts move once; no posting is shuffled by itself. Blocks are those that compaction makes by grouping."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 9) for _ in range(1 + (i + j) % 3))) for i in range(300)] + [(900, None)], "doc_id long, text string")
+    plan = T.page_blocks(docs, "doc_id", "text", 5, 9.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    one, two = (T.TextIndex(spark, str(tmp_path / n)) for n in ("one", "two"))
+    one.add("a", docs)
+    two.add("a", docs.where("doc_id < 100"))
+    two.add("b", docs.where("doc_id >= 100"))
+    two.compact("c")
+    rows = [sorted((r.term, r.page, r.n, round(r.top, 12), r.keys, r.tfs, r.dls, r.part) for r in x.postings().collect()) for x in (one, two)]
+    assert rows[0] and rows[0] == rows[1]
