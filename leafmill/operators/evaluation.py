@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql import types as T
@@ -190,31 +192,54 @@ def f1(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     return {"precision": p, "recall": r, "f1": F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)}
 
 
+_COUNTS = StructType([StructField("n", T.IntegerType()), *[StructField(c, T.LongType()) for c in ("matched", "n_hyp", "n_ref")]])
+
+
+@F.pandas_udf(T.ArrayType(_COUNTS))
+def _gram_counts(hyp: pd.Series, ref: pd.Series, max_n: pd.Series) -> pd.Series:
+    """Of two token arrays: clipped matches and grams of each length that either of them has."""
+
+    def counts(a, b, most: int) -> list[tuple]:
+        a, b = [] if a is None else list(a), [] if b is None else list(b)
+        out = []
+        for n in range(1, min(most, max(len(a), len(b))) + 1):
+            x, y = (Counter(zip(*(t[i:] for i in range(n)))) for t in (a, b))
+            few, many = sorted((x, y), key=len)
+            out.append((n, sum(min(c, many[g]) for g, c in few.items() if g in many), max(len(a) - n + 1, 0), max(len(b) - n + 1, 0)))
+        return out
+
+    return pd.Series([counts(*row) for row in zip(hyp, ref, max_n)])
+
+
 def ngram_overlap(pairs: DataFrame, key: list[str], hyp: Column, ref: Column, max_n: int = 4) -> DataFrame:
-    """Clipped n-gram matches per pair and n. Grams are counted per pair before anything moves."""
+    """Clipped n-gram matches per pair and n. A pair's grams are counted in its row; only the rows of a key that comes
+    more than once are spelled out, as their grams count together."""
 
     def gram(n: int):
         return lambda i: F.array_join(F.slice("_t", i, n), " ")
 
-    def grams(tokens: Column, side: str) -> DataFrame:
+    def grams(rows: DataFrame, tokens: Column, side: str) -> DataFrame:
         both = None
-        toks = pairs.select(*key, tokens.alias("_t"))
+        toks = rows.select(*key, tokens.alias("_t"))
         for n in range(1, max_n + 1):
             g = F.transform(F.sequence(F.lit(1), F.size("_t") - (n - 1)), gram(n))
             d = toks.where(F.size("_t") >= n).select(*key, F.lit(n).alias("n"), F.explode(g).alias("gram"))
             both = d if both is None else both.unionByName(d)
         return both.withColumns({"_h": F.lit(int(side == "h")), "_r": F.lit(int(side == "r"))})
 
-    per_gram = grams(hyp, "h").unionByName(grams(ref, "r")).groupBy(*key, "n", "gram").agg(
+    counted = pairs.withColumn("_rows", F.count("*").over(W.partitionBy(*key)))
+    alone = counted.where("_rows = 1").select(*key, F.inline(_gram_counts(hyp, ref, F.lit(max_n))))
+    repeated = counted.where("_rows > 1")
+    per_gram = grams(repeated, hyp, "h").unionByName(grams(repeated, ref, "r")).groupBy(*key, "n", "gram").agg(
         F.sum("_h").alias("_h"), F.sum("_r").alias("_r")
     )
-    return per_gram.groupBy(*key, "n").agg(
+    return alone.unionByName(per_gram.groupBy(*key, "n").agg(
         F.sum(F.least("_h", "_r")).alias("matched"), F.sum("_h").alias("n_hyp"), F.sum("_r").alias("n_ref")
-    )
+    ))
 
 
-def bleu(overlap: DataFrame, key: list[str]) -> DataFrame:
-    """bleu_1 and bleu_4 per pair. Smoothing: 0.1 for a zero unigram count, halving steps for higher orders."""
+def bleu_rouge1(overlap: DataFrame, key: list[str]) -> DataFrame:
+    """bleu_1, bleu_4 and rouge_1 per pair in one pass. Smoothing: 0.1 for a zero unigram count, halving steps for higher orders."""
     at = lambda c, n: F.max(F.when(F.col("n") == n, F.col(c)))
     w = overlap.groupBy(*key).agg(
         *[F.coalesce(at("matched", n), F.lit(0)).alias(f"_m{n}") for n in range(1, 5)],
@@ -232,10 +257,17 @@ def bleu(overlap: DataFrame, key: list[str]) -> DataFrame:
         logs = logs + 0.25 * F.log(F.when(m > 0, m / d).otherwise(1 / (F.pow(F.lit(2.0), zeros) * d)))
     one = F.when(F.col("_m1") > 0, F.col("_m1") / F.col("_d1")).otherwise(0.0)
     return w.select(
-        *key, (bp * one).alias("bleu_1"), F.when(F.col("_m1") > 0, bp * F.exp(logs)).otherwise(0.0).alias("bleu_4")
+        *key,
+        (bp * one).alias("bleu_1"),
+        F.when(F.col("_m1") > 0, bp * F.exp(logs)).otherwise(0.0).alias("bleu_4"),
+        F.when(F.col("_m1") > 0, 2.0 * F.col("_m1") / (F.col("_hyp") + F.col("_ref"))).otherwise(0.0).alias("rouge_1"),
     )
 
 
+def bleu(overlap: DataFrame, key: list[str]) -> DataFrame:
+    return bleu_rouge1(overlap, key).drop("rouge_1")
+
+
 def rouge1(overlap: DataFrame, key: list[str]) -> DataFrame:
     p, r = F.col("matched") / F.col("n_hyp"), F.col("matched") / F.col("n_ref")
     return overlap.where("n = 1").select(*key, F.when(F.col("matched") > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("rouge_1"))

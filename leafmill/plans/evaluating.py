@@ -118,10 +118,12 @@ _PAIRS = """pr as (select a.conv_id, a.turn, a.text as answer, q.text as questio
 
 
 def turn_pairs(t: Tables) -> DataFrame:
-    """Each turn with the one before it."""
-    a = t.conversations.select("conv_id", "turn", F.col("text").alias("answer"))
+    """Each turn with the one before it. Texts are dealt to a number of tasks that grows with the table."""
+    key = ["conv_id", "turn"]
+    a = t.conversations.select(*key, F.col("text").alias("answer"))
     q = t.conversations.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
-    return a.join(q, ["conv_id", "turn"])
+    parts = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * a.rdd.getNumPartitions())
+    return a.repartition(parts, *key).join(q.repartition(parts, *key), key)
 
 
 def _mean_score(*scores: str) -> Column:
@@ -259,9 +261,7 @@ select conv_id, turn, round(case when m1 > 0 then bp * m1 / d1 else 0 end, 6)::d
 )
 def bleu_rouge1(t: Tables) -> DataFrame:
     key = ["conv_id", "turn"]
-    o = _overlap(t)
-    j = E.bleu(o, key).join(E.rouge1(o, key), key)
-    return j.select(*key, *[F.round(c, 6).alias(c) for c in ("bleu_1", "bleu_4", "rouge_1")])
+    return E.bleu_rouge1(_overlap(t), key).select(*key, *[F.round(c, 6).alias(c) for c in ("bleu_1", "bleu_4", "rouge_1")])
 
 
 @query("rouge_l", "E5")

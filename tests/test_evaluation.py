@@ -153,3 +153,24 @@ def test_far_readings_take_bit_vectors(spark):
     got = [r["cer"] for r in E.with_cer(spark.createDataFrame(rows, "g string, p string").coalesce(1), "p", "g").collect()]
     assert time.time() - t0 < 25
     assert 0.3 < got[0] < 0.6 and got[1:] == [1.0, 1.0, 2 / 400]
+
+
+def test_grams_of_a_pair_do_not_move(spark):
+    """Only keys that come more than once are spelled out; their grams count together, as in the SQL."""
+    from pyspark.sql import functions as F
+
+    words = " ".join(f"w{i % 300}" for i in range(600))
+    rows = [(i, words, words[: 40 * i] if i else None) for i in range(40)] + [(100, "a b a", "a a"), (100, "b c", "c a b"), (101, None, None)]
+    df = spark.createDataFrame(rows, "k int, h string, r string")
+    store = spark._jsc.sc().statusStore()
+
+    def moved() -> dict:
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        every = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {every.apply(i).stageId(): every.apply(i).shuffleWriteRecords() for i in range(every.size())}
+
+    before = moved()
+    o = {(r.k, r.n): tuple(r)[2:] for r in E.ngram_overlap(df, ["k"], F.split("h", " "), F.split("r", " ")).collect()}
+    assert sum(n for stage, n in moved().items() if stage not in before) < 500
+    assert {n: o[100, n] for n in (1, 2, 3)} == {1: (4, 5, 5), 2: (1, 3, 3), 3: (0, 1, 1)} and (100, 4) not in o
+    assert o[0, 1] == (0, 600, 0) and o[39, 4][1] == 597 and (101, 1) not in o
