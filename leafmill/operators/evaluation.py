@@ -365,7 +365,7 @@ def triplets(chunks: DataFrame, n_candidates: int = 5) -> DataFrame:
 
     The first n chunks that differ from a given text are always among the first 2n of a list that holds each
     text at most n times; the first n chunks of other sources likewise. So every chunk meets at most 2n rows
-    of its source and 2n global ones, and no pairs of a source are spelled out.
+    of its source, which come as one list, and 2n global ones; no pairs of a source are spelled out.
     """
     n = n_candidates
     usable = chunks.where(F.length("text") > 30).withColumn("_o", -F.col("seq"))
@@ -374,13 +374,9 @@ def triplets(chunks: DataFrame, n_candidates: int = 5) -> DataFrame:
     heads = top_k_per_key(usable, ["source"], "_o", "seq", n, "_r").orderBy("seq").limit(2 * n)
     cross = heads.groupBy().agg(F.array_sort(F.collect_list(F.struct("seq", "source", "text"))).alias("c")).scalar()
     anchors = chunks.where(F.length(X.strip(F.col("text"))) > 50).select("source", "seq", "text")
-    mine = (
-        anchors.join(same, "source")
-        .where(F.col("t") != F.col("text"))
-        .groupBy("source", "seq")
-        .agg(F.array_sort(F.collect_list(F.struct("q", "t"))).alias("s"))
-    )
-    full = anchors.join(mine, ["source", "seq"], "left").withColumn("c", cross)
+    lists = same.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("q", "t"))).alias("near"))
+    mine = F.filter("near", lambda x: x["t"] != F.col("text"))
+    full = anchors.join(lists, "source", "left").withColumn("s", mine).withColumn("c", cross)
     others = F.transform(
         F.filter("c", lambda x: x["source"] != F.col("source")), lambda x: F.struct(x["seq"].alias("q"), x["text"].alias("t"))
     )

@@ -84,6 +84,14 @@ def test_triplets_against_brute_force(spark):
         assert (got[q]["negative_seq"], got[q]["negative"]) == cand[q % len(cand)]
 
 
+def test_triplets_move_a_chunk_once_to_its_candidates(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (None, 2, "b" * 60), (3, 3, "c" * 60), (3, 4, "d" * 60)], "source bigint, seq bigint, text string")
+    out = E.triplets(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    got = {r["seq"]: (r["n_candidates"], r["negative_seq"]) for r in out.collect()}
+    assert got == {2: (0, None), 3: (1, 4), 4: (1, 3)}
+
+
 def test_containing_documents(spark):
     docs = [(1, "aaa bbb ccc ddd eee"), (2, "xxaaa bbb ccc dddxx"), (3, "bbb ccc"), (4, "aaa  bbb ccc ddd")]
     q = spark.createDataFrame([(1, "aaa bbb ccc ddd"), (2, "zzz bbb q")], "query_id int, text string")
