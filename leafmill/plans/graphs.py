@@ -36,11 +36,14 @@ def vertices(t: Tables) -> DataFrame:
     )
 
 
-def edges(t: Tables) -> DataFrame:
+def edges(t: Tables, repeats: bool = False) -> DataFrame:
+    """``(src, type, dst)``; with ``repeats`` an order's supplier comes once for each of its lines."""
+
     def part(df, src, kind, dst):
         return df.select(src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst"))
 
-    involved = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
+    involved = t.lineitem.select("l_orderkey", "l_suppkey")
+    involved = involved if repeats else involved.distinct()
     return (
         part(t.customer, _id("C", "c_custkey"), "LOCATED_IN", _id("N", "c_nationkey"))
         .unionByName(part(t.supplier, _id("S", "s_suppkey"), "LOCATED_IN", _id("N", "s_nationkey")))
@@ -183,9 +186,11 @@ n as (select name, min(type) as type from (select src as name, st as type from c
 select 'node' as kind, name as a, type as b, '' as c from n union all select distinct 'edge', src, rel, dst from c""",
 )
 def visual_graph(t: Tables) -> DataFrame:
-    v = vertices(t)
+    v, e = vertices(t), edges(t, repeats=True).withColumnRenamed("type", "rel")
+    tasks = G.tasks_for(t.spark, v.count() + e.count())
     to = v.select(F.col("id").alias("dst"), F.col("name").alias("target"), F.col("type").alias("target_type"))
-    rec = v.join(edges(t).withColumnRenamed("type", "rel"), F.col("id") == F.col("src")).join(to, "dst")
+    aimed = e.repartition(tasks, "dst").join(to.repartition(tasks, "dst"), "dst")
+    rec = aimed.repartition(tasks, "src").join(v.repartition(tasks, "id"), F.col("src") == F.col("id"))
     records = rec.select(F.col("name").alias("entity"), "type", F.array(F.struct("rel", "target", "target_type")).alias("connections"))
     nodes, links = G.visual_graph(records)
     return nodes.select(F.lit("node").alias("kind"), F.col("name").alias("a"), F.col("type").alias("b"), F.lit("").alias("c")).unionByName(
