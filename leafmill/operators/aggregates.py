@@ -87,8 +87,10 @@ def discrepancies(a: DataFrame, b: DataFrame, keys: list[str], high: list[str])
 
 
 def year_over_year(cur: DataFrame, prev: DataFrame, key: str) -> DataFrame:
+    """Changes in per cent, with the sign of what rounds to zero (-0.00%) and of what has no base (inf%)."""
     j = cur.withColumnRenamed("value", "current").join(prev.withColumnRenamed("value", "previous"), key, "full")
-    change = round_scaled((F.col("current") - F.col("previous")) / F.col("previous") * 100, 2)
+    raw = F.try_divide(F.col("current") - F.col("previous"), F.col("previous")) * 100
+    change = round_scaled(raw, 2)
     return j.select(
         key,
         "current",
@@ -96,6 +98,8 @@ def year_over_year(cur: DataFrame, prev: DataFrame, key: str) -> DataFrame:
         F.when(F.col("previous").isNull(), "New")
         .when(F.col("current").isNull(), "Removed")
         .when(F.col("current") == F.col("previous"), "Same")
+        .when(F.col("previous") == 0, F.when(F.col("current") > 0, "inf%").otherwise("-inf%"))
+        .when((raw < 0) & (change == 0), "-0.00%")
         .otherwise(F.format_string("%.2f%%", change))
         .alias("change"),
     )

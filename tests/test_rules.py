@@ -196,3 +196,13 @@ def test_yearly_change_rounds_after_scaling(spark):
     got = {r.k: r.change for r in A.year_over_year(cur, prev, "k").collect()}
     want = {i: "Same" if c == p else f"{half_up((c - p) / p * 100 * 100) / 100:.2f}%" for i, c, p in pairs}
     assert got == want
+
+
+def test_small_and_baseless_changes_keep_their_sign(spark):
+    from leafmill.operators import aggregates as A
+
+    pairs = [(302128.95, 302130.98), (302130.98, 302128.95), (99.995, 100.0), (5.0, 0.0), (-5.0, 0.0), (0.0, 0.0), (0.0, 5.0), (-100.001, -100.0)]
+    cur = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(pairs)], "k long, value double")
+    prev = spark.createDataFrame([(i, p) for i, (_, p) in enumerate(pairs)], "k long, value double")
+    got = {r.k: r.change for r in A.year_over_year(cur, prev, "k").collect()}
+    assert [got[i] for i in range(len(pairs))] == ["-0.00%", "0.00%", "-0.00%", "inf%", "-inf%", "Same", "-100.00%", "0.00%"]
