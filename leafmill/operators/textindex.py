@@ -28,12 +28,15 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as X
 from leafmill.operators.ranking import top_k_per_key
+from leafmill.operators.running import running
 from leafmill.sources.scratch import stored_at, written
 
 # Keyword ranking constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Documents of a page, buckets of terms, queries that are scored together.
 PAGE_DOCS, PARTS, QUERY_BLOCK = 64, 32, 256
+#: Bins of a doubling of the score, within which all hits of a query are ranked, and documents per further set of bins.
+SCORE_BINS, BIN_DOCS = 8, 1 << 17
 
 LOG = "segment string, n_docs long, n_pages long, sum_dl long, avgdl double, replaces array<string>, added timestamp"
 
@@ -201,11 +204,13 @@ class TextIndex:
         return self.spark.read.parquet(path).first()[0] or 0.0
 
     def search(
-        self, queries: DataFrame, k: int, query_key: str = "query_id", text: str = "text", key: str = "doc_id",
+        self, queries: DataFrame, k: int | None, query_key: str = "query_id", text: str = "text", key: str = "doc_id",
         block: int = QUERY_BLOCK,
     ) -> DataFrame:
         """``(query_id, doc_id, score, rank)``: the best ``k`` documents of each query, scores above 0, ties by key.
 
+        Without ``k`` these are all documents with a score above 0; a query's hits are then ranked in bins of scores.
+
         Queries are a stated set and come in blocks of ``block``; a block's terms and weights go to the tasks. Of the index
         only the asked terms' blocks move, to the task of their page, where a page is scored for all queries at once,
         unless its bounds say that no document of it reaches the k-th best score known there.
@@ -222,10 +227,16 @@ class TextIndex:
             if rows:
                 out = out.unionByName(self._scored(rows, kind, k, n, total / n, log))
         named = out.withColumnsRenamed({"query": query_key, "key": key})
-        return top_k_per_key(named, [query_key], "score", key, k)
-
-    def _scored(self, rows: list, kind: str, k: int, n: int, avgdl: float, log: dict) -> DataFrame:
-        """The best ``k`` of each task for a block of queries, given as ``(query, term, qtf)`` rows."""
+        if k is not None:
+            return top_k_per_key(named, [query_key], "score", key, k)
+        finer = SCORE_BINS * (1 + n // BIN_DOCS)
+        bin_ = F.floor(-F.log2("score") * finer)
+        held = written(named, "scores").withColumn("_query", F.struct(query_key))  # a null query meets itself
+        ranked = running(held, ["_query"], [F.desc("score"), F.col(key)], bin_, {"rank": ("sum", F.lit(1))})
+        return ranked.select(query_key, key, "score", F.col("rank").cast("int").alias("rank"))
+
+    def _scored(self, rows: list, kind: str, k: int | None, n: int, avgdl: float, log: dict) -> DataFrame:
+        """The best ``k`` of each task, or all hits, for a block of queries, given as ``(query, term, qtf)`` rows."""
         names = sorted({r.term for r in rows})
         place = {t: i for i, t in enumerate(names)}
         asked = self.spark.createDataFrame(list(place.items()), "term string, _t int")
@@ -247,14 +258,25 @@ class TextIndex:
         arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
         types = [arrow[kind], arrow[key_type], pa.float64()]
 
+        names_of = pa.array(queries, types[0])
+
+        def hits(q: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [names_of.take(pa.array(q, pa.int64())), pa.array(keys, types[1]), pa.array(scores, types[2])], ["query", "key", "score"]
+            )
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = Best(len(queries), k)
+            best = None if k is None else Best(len(queries), k)
             for segment, columns in _pages(batches):
-                best.page(weights, grown[segment], avgdl, *columns)
-            q, keys, scores = best.result()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([queries[i] for i in q], types[0]), pa.array(keys, types[1]), pa.array(scores, types[2])], ["query", "key", "score"]
-            )
+                if best is None:
+                    term, _, *lists = columns
+                    docs, scores = _page_scores(weights.of(term), avgdl, *lists)
+                    row, col = np.nonzero(scores > 0)
+                    yield hits(row, docs[col], scores[row, col])
+                else:
+                    best.page(weights, grown[segment], avgdl, *columns)
+            if best is not None:
+                yield hits(*best.result())
 
         met = held.select("segment", "page", "_t", "top", "keys", "tfs", "dls")
         met = met.repartition("segment", "page").sortWithinPartitions("segment", "page")
@@ -287,6 +309,16 @@ class Weights:
         return out
 
 
+def _page_scores(matrix: np.ndarray, avgdl: float, keys, tfs, dls) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of a page and their scores by query, for a matrix of queries by the page's terms."""
+    n = np.array([len(x) for x in keys])
+    flat, tf, dl = np.concatenate(keys), np.concatenate(tfs).astype(float), np.concatenate(dls)
+    docs, column = np.unique(flat, return_inverse=True)
+    impact = np.zeros((len(n), len(docs)))
+    impact[np.repeat(np.arange(len(n)), n), column] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+    return docs, np.round(matrix @ impact, 6)
+
+
 class Best:
     """The best ``k`` documents of each query over the pages of a task."""
 
@@ -303,12 +335,7 @@ class Best:
         self.skipped += weights.n_queries - len(open_)
         if not len(open_):
             return
-        n = np.array([len(x) for x in keys])
-        flat, tf, dl = np.concatenate(keys), np.concatenate(tfs).astype(float), np.concatenate(dls)
-        docs, column = np.unique(flat, return_inverse=True)
-        impact = np.zeros((len(term), len(docs)))
-        impact[np.repeat(np.arange(len(term)), n), column] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
-        scores = np.round(matrix[open_] @ impact, 6)
+        docs, scores = _page_scores(matrix[open_], avgdl, keys, tfs, dls)
         row, col = np.nonzero((scores > 0) & (scores >= self.least[open_, None]))
         self.rows.append((open_[row], docs[col], scores[row, col]))
         self.held += len(row)

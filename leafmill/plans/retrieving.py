@@ -73,7 +73,8 @@ def search_index(t: Tables) -> TextIndex:
     return index
 
 
-def bm25_documents(t: Tables, k: int) -> DataFrame:
+def bm25_documents(t: Tables, k: int | None) -> DataFrame:
+    """The best ``k`` documents of each passage, or all that have a score above 0."""
     return search_index(t).search(passages(t), k)
 
 
@@ -95,9 +96,10 @@ def bm25_index(t: Tables) -> DataFrame:
     return blocks.agg(F.sum("n").alias("df"), total("tfs").alias("n_occurrences"), total("dls").alias("sum_dl"))
 
 
-@query("bm25_score", "R4", f"with {BM25} select query_id, doc_id, score, rank from bm where rank <= 20")
+@query("bm25_score", "R4", f"with {BM25} select query_id, doc_id, score, rank from bm")
 def bm25_score(t: Tables) -> DataFrame:
-    return bm25_documents(t, 20)
+    """Every score above 0; the best few of them are asked for by the searches that fuse, expand or cite them."""
+    return bm25_documents(t, None)
 
 
 _CENTROIDS = """c as (select label as query_id, list(m order by i) as v from (select label, i, avg(embedding[i]::double) as m

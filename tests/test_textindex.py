@@ -135,3 +135,31 @@ def test_postings_are_counted_where_the_page_is(spark, tmp_path):
     two.compact("c")
     rows = [sorted((r.term, r.page, r.n, round(r.top, 12), r.keys, r.tfs, r.dls, r.part) for r in x.postings().collect()) for x in (one, two)]
     assert rows[0] and rows[0] == rows[1]
+
+
+def test_all_hits_of_a_query(spark, index, monkeypatch):
+    """Without k every document with a score has a row, ranked over segments, bins of scores and ties."""
+    monkeypatch.setattr(T, "BIN_DOCS", 100)
+    parts = [make(21, 400), make(22, 300, 1000) + [(2000 + i, "w3 w7 w50") for i in range(90)]]
+    queries = [(1, "w0 w5 w17 w5"), (2, "w3"), (3, "W50 nowhere"), (4, ""), (5, None)]
+    for i, docs in enumerate(parts):
+        add(index, spark, f"s{i}", docs)
+    want = brute(queries, sum(parts, []), None)
+    assert len(want) > 600
+    assert found(index, queries, None, spark) == want
+    nameless = index.search(spark.createDataFrame([(None, "w3"), (2, "w3")], "query_id int, text string"), None).collect()
+    ranks = {q: sorted(r["rank"] for r in nameless if r.query_id == q) for q in (None, 2)}
+    assert ranks[None] == ranks[2] == list(range(1, len(nameless) // 2 + 1))
+
+
+def test_registered_scores_are_not_cut(spark, sf):
+    from leafmill.operators import retrieval as R
+    from leafmill.plans.retrieving import bm25_score, passages
+    from leafmill.sources.tables import Tables
+
+    t = Tables(spark, sf)
+    got = {(r.query_id, r.doc_id): r["rank"] for r in bm25_score(t).collect()}
+    scores = R.bm25_scores(passages(t), t.documents).selectExpr("query_id", "doc_id", "round(score, 6) AS score").where("score > 0")
+    want = {(r.query_id, r.doc_id) for r in scores.collect()}
+    assert set(got) == want and len(want) > 20 * len({q for q, _ in want})
+    assert sorted(got.values())[-1] == max(sum(q == x for q, _ in want) for x in {q for q, _ in want})
